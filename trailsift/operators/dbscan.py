@@ -71,8 +71,13 @@ def _choose_axes(units: DataFrame, gcols: list[str], width: int, max_axes: int)
 
 def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                    min_samples: int = DEFAULT_MIN_SAMPLES, cols: list[str] = FEATURES,
-                   max_grid_axes: int = 4) -> DbscanResult:
-    """Cluster the rows of ``features`` (columns ``cols``); one output row per distinct vector."""
+                   max_grid_axes: int = 4, exact_counts: bool = False) -> DbscanResult:
+    """Cluster the rows of ``features`` (columns ``cols``); one output row per distinct vector.
+
+    ``nbr_weight`` is exact for points of light sub-cells; points of heavy
+    sub-cells are core whatever their count, so their count is only computed
+    (cross-sub-cell pairs included) when ``exact_counts`` is set.
+    """
     d = len(cols)
     zcols = SCALED[:d] if d <= len(SCALED) else [f"z{i:02d}" for i in range(d)]
     gcols = [f"g{i:02d}" for i in range(d)]
@@ -119,7 +124,8 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
 
     # -- (a) neighbour weight of points in light sub-cells ---------------------------------
     p_cols = ["vid", "uid", "unit_w", "w", *zcols]
-    light = pts.filter(F.col("unit_w") < min_samples).select(*p_cols).alias("p")
+    counted = pts if exact_counts else pts.filter(F.col("unit_w") < min_samples)
+    light = counted.select(*p_cols).alias("p")
     other = pts.select(*p_cols).alias("q")
     near_light = materialize(
         light.join(unit_pairs, F.col("p.uid") == F.col("ua"))
@@ -151,7 +157,9 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                                .select("uid", F.col("cluster").cast("int").alias("cluster")))
 
     # -- labels --------------------------------------------------------------------------
-    border_near = (near_light.join(core.filter("core").select(F.col("vid").alias("nvid")), "nvid",
+    border_near = (near_light.join(pts.filter(F.col("unit_w") < min_samples).select("vid"), "vid",
+                                   "left_semi")
+                   .join(core.filter("core").select(F.col("vid").alias("nvid")), "nvid",
                                    "left_semi")
                    .join(unit_cluster.withColumnRenamed("uid", "nuid"), "nuid")
                    .groupBy("vid").agg(F.min("cluster").alias("near_cluster")))

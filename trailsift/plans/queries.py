@@ -164,7 +164,7 @@ def q_features_scaled(spark, sf_dir):
 
 def q_neighbour_counts(spark, sf_dir):
     feats = encode(_readonly(spark, sf_dir), keep=[])
-    vec = dbscan_vectors(feats).vectors
+    vec = dbscan_vectors(feats, exact_counts=True).vectors
     return vec.select(*FEATURES, "w", "nbr_weight", "core")
 
 
