@@ -2,7 +2,7 @@
 
 ``connected_components`` is the large-star / small-star algorithm (Kiveris et
 al., "Connected Components in MapReduce and Beyond", SoCC 2014): every round is
-a few joins and aggregations over the edge table, which is checkpointed to the
+a few joins and aggregations over the edge table, which is written as a table in the
 session's checkpoint folder so lineage stays short and a lost executor only
 re-runs the current round. It converges in O(log^2 n) rounds.
 """
@@ -33,32 +33,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(own).filter(F.col("x") != F.col("y")).distinct()
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """True when every edge is (child > root), roots have no parent, each child one root."""
-    directed = edges.select(F.greatest("x", "y").alias("c"), F.least("x", "y").alias("p"))
-    stats = directed.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    if stats.filter(F.col("n") > 1).limit(1).count() > 0:
-        return False
-    parents = directed.select(F.col("p").alias("c")).distinct()
-    return parents.join(stats, "c", "left_semi").limit(1).count() == 0
+def _fingerprint(edges: DataFrame) -> tuple:
+    """(count, order-free checksum) of an edge set: equal before and after a round <=> fixed point."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"),
+                    F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Map every node that has an edge to the smallest node id of its component.
 
     ``edges`` has long columns ``x``, ``y`` (undirected, self loops ignored).
-    Returns (node, root). Nodes without edges are not returned.
+    Returns (node, root). Nodes without edges are not returned. One round =
+    large-star then small-star, written once; the loop stops at the fixed point
+    (a forest of stars centred on each component's minimum).
     """
     current = materialize(edges.select(F.col("x").cast("long"), F.col("y").cast("long"))
                           .filter(F.col("x") != F.col("y"))
                           .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-                          .distinct())
-    for _ in range(max_rounds):
-        current = materialize(_small_star(materialize(_large_star(current))))
-        if _is_star_forest(current):
+                          .distinct(), "cc-edges")
+    before = _fingerprint(current)
+    rounds = 0
+    while before[0]:
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError("connected components did not converge")
+        current = materialize(_small_star(_large_star(current)), "cc-edges")
+        after = _fingerprint(current)
+        if after == before:
             break
-    else:
-        raise RuntimeError("connected components did not converge")
+        before = after
     directed = current.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("root"))
     roots = directed.select(F.col("root").alias("node"), "root").distinct()
     return directed.unionByName(roots)

@@ -94,9 +94,9 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     scaled = vectors.select("vid", "w", *cols, *scaled_columns(stats, zcols))
     scaled = scaled.select("*", *[F.floor(F.col(z) / F.lit(delta)).cast("long").alias(g)
                                   for z, g in zip(zcols, gcols)])
-    units = materialize(scaled.groupBy(*gcols).agg(F.sum("w").alias("unit_w"),
-                                                   F.count(F.lit(1)).alias("n"))
-                        .withColumn("uid", F.monotonically_increasing_id()))
+    # Sub-cell id = smallest vector id inside it: unique and deterministic.
+    units = scaled.groupBy(*gcols).agg(F.sum("w").alias("unit_w"), F.count(F.lit(1)).alias("n"),
+                                       F.min("vid").alias("uid"))
     pts = materialize(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols)
                       .withColumn("skey", _scan_key(cols)))
 

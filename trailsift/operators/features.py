@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailsift.functions import scalars as S
+from trailsift.session import spread_if_narrow
 
 # Fixed feature order (f00 first); the last one is the primary key of the scan order.
 FEATURE_SOURCES = [
@@ -75,7 +76,7 @@ def encode(events: DataFrame, keep: list[str] | None = None,
            session_path: str = "$.sessionIssuer.type", missing_as: str = "null") -> DataFrame:
     """PRJ-2: ``keep`` columns (default: all) followed by ``f00..f12``."""
     keep_cols = events.columns if keep is None else keep
-    return events.select(*keep_cols, *feature_columns(session_path, missing_as))
+    return spread_if_narrow(events).select(*keep_cols, *feature_columns(session_path, missing_as))
 
 
 def collapse(features: DataFrame, cols: list[str] = FEATURES) -> DataFrame:

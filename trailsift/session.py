@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,12 +62,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage: write ``df`` as a Parquet table under the session's checkpoint folder
+    and read it back.
+
+    One job, no recomputation (an eager RDD checkpoint computes the plan twice),
+    and later reads get column pruning. The folder is the shared one the cluster
+    names in ``spark.checkpoint.dir``, so the table survives executor loss.
+    """
+    spark = df.sparkSession
+    path = table_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder for intermediate tables written as Parquet."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    base = ensure_checkpoint_dir(spark)
+    return base.rstrip("/") + "/trailsift-tables/" + name
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin rows over the session's cores when the scan has fewer splits than cores.
+
+    A large input already arrives in thousands of splits and is left alone (no
+    shuffle); a tiny input stored as one row group would otherwise run every
+    per-row expression in a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
