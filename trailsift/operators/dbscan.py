@@ -22,7 +22,8 @@ Plan (no all-pairs step, no per-row Python):
    neighbours and find core neighbours; (b) between core points, to connect
    sub-cells.
 6. Components of core sub-cells (large-star / small-star), numbered by the
-   smallest scan key of their core points (distributed dense index).
+   first core point in scan order. Vector ids are scan-order ranks from a
+   distributed dense index, so that is the smallest id.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import itertools
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,12 @@ class DbscanResult:
     stats: list[dict]      # standardisation row per feature
 
 
-def _scan_key(cols: list[str]) -> Column:
-    """Lexsort order: last feature is the primary key."""
-    return F.struct(*[F.col(c).alias(f"k{i:02d}") for i, c in enumerate(reversed(cols))])
+def _keep(df: DataFrame, cached: list) -> DataFrame:
+    """Persist a deterministic intermediate that is read more than once (lineage stays short:
+    it starts at a written table, so a lost executor recomputes only a few narrow steps)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(df)
+    return df
 
 
 def _dist2(a: str, b: str, zcols: list[str]) -> Column:
@@ -79,11 +84,16 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     (cross-sub-cell pairs included) when ``exact_counts`` is set.
     """
     d = len(cols)
+    cached: list[DataFrame] = []
     zcols = SCALED[:d] if d <= len(SCALED) else [f"z{i:02d}" for i in range(d)]
     gcols = [f"g{i:02d}" for i in range(d)]
 
-    vectors = materialize(collapse(features.select(*cols), cols)
-                          .withColumn("vid", F.monotonically_increasing_id()))
+    # Vector id = rank in scan order (distributed numbering over a written table):
+    # deterministic, unique, and its minimum over a set is the first point scanned.
+    keyed = collapse(features.select(*cols), cols).select(
+        "*", *[F.col(c).alias(f"k{i:02d}") for i, c in enumerate(reversed(cols))])
+    kcols = [f"k{i:02d}" for i in range(d)]
+    vectors = _keep(dense_index(keyed, kcols, "vid").drop(*kcols), cached)
     stats = scale_stats(vectors, cols)
 
     delta = eps / math.sqrt(d) * (1 - 1e-9)       # sub-cell side: diameter < eps
@@ -97,8 +107,7 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     # Sub-cell id = smallest vector id inside it: unique and deterministic.
     units = scaled.groupBy(*gcols).agg(F.sum("w").alias("unit_w"), F.count(F.lit(1)).alias("n"),
                                        F.min("vid").alias("uid"))
-    pts = materialize(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols)
-                      .withColumn("skey", _scan_key(cols)))
+    pts = _keep(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols), cached)
 
     # -- candidate pairs of distinct sub-cells ------------------------------------------
     axes = _choose_axes(units, gcols, width, max_grid_axes)
@@ -119,25 +128,25 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     for g in gcols:
         gd = F.greatest(F.abs(F.col(f"a.{g}") - F.col(f"b.{g}")) - 1, F.lit(0))
         gap = gd * gd if gap is None else gap + gd * gd
-    unit_pairs = materialize(joined.filter((F.col("a.uid") != F.col("b.uid")) & (gap <= gap_limit))
-                             .select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")))
+    unit_pairs = _keep(joined.filter((F.col("a.uid") != F.col("b.uid")) & (gap <= gap_limit))
+                       .select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")), cached)
 
     # -- (a) neighbour weight of points in light sub-cells ---------------------------------
     p_cols = ["vid", "uid", "unit_w", "w", *zcols]
     counted = pts if exact_counts else pts.filter(F.col("unit_w") < min_samples)
     light = counted.select(*p_cols).alias("p")
     other = pts.select(*p_cols).alias("q")
-    near_light = materialize(
+    near_light = _keep(
         light.join(unit_pairs, F.col("p.uid") == F.col("ua"))
         .join(other, F.col("q.uid") == F.col("ub"))
         .filter(_dist2("p", "q", zcols) <= F.lit(eps * eps))
         .select(F.col("p.vid").alias("vid"), F.col("q.vid").alias("nvid"),
-                F.col("q.uid").alias("nuid"), F.col("q.w").alias("nw")))
+                F.col("q.uid").alias("nuid"), F.col("q.w").alias("nw")), cached)
     counts = near_light.groupBy("vid").agg(F.sum("nw").alias("outside"))
     core = (pts.join(counts, "vid", "left")
             .withColumn("nbr_weight", F.col("unit_w") + F.coalesce("outside", F.lit(0)))
             .withColumn("core", F.col("nbr_weight") >= F.lit(min_samples)))
-    core = materialize(core.select("vid", "uid", "w", "skey", "nbr_weight", "core", *cols, *zcols))
+    core = _keep(core.select("vid", "uid", "w", "nbr_weight", "core", *cols, *zcols), cached)
 
     # -- (b) connections between core sub-cells ----------------------------------------------
     core_pts = core.filter("core").select("vid", "uid", *zcols)
@@ -148,13 +157,13 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                   .filter(_dist2("p", "q", zcols) <= F.lit(eps * eps))
                   .select(F.col("ua").alias("x"), F.col("ub").alias("y")).distinct())
     comp = connected_components(core_edges)
-    core_units = core.filter("core").groupBy("uid").agg(F.min("skey").alias("ukey"))
+    core_units = core.filter("core").groupBy("uid").agg(F.min("vid").alias("ukey"))
     unit_root = (core_units.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
                  .select("uid", "ukey", F.coalesce("root", "uid").alias("root")))
     roots = unit_root.groupBy("root").agg(F.min("ukey").alias("rkey"))
     numbered = dense_index(roots, ["rkey"], "cluster")
-    unit_cluster = materialize(unit_root.join(numbered.select("root", "cluster"), "root")
-                               .select("uid", F.col("cluster").cast("int").alias("cluster")))
+    unit_cluster = _keep(unit_root.join(numbered.select("root", "cluster"), "root")
+                         .select("uid", F.col("cluster").cast("int").alias("cluster")), cached)
 
     # -- labels --------------------------------------------------------------------------
     border_near = (near_light.join(pts.filter(F.col("unit_w") < min_samples).select("vid"), "vid",
@@ -168,8 +177,11 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                 .withColumn("cluster", F.when(F.col("core"), F.col("own_cluster")).otherwise(
                     F.coalesce(F.least("own_cluster", "near_cluster"), F.lit(-1)))
                     .cast("int")))
-    out = labelled.select(*cols, "w", *zcols, "nbr_weight", "core", "cluster")
-    return DbscanResult(vectors=materialize(out), stats=stats)
+    out = materialize(labelled.select(*cols, "w", *zcols, "nbr_weight", "core", "cluster"),
+                      "dbscan-vectors")
+    for df in cached:
+        df.unpersist()
+    return DbscanResult(vectors=out, stats=stats)
 
 
 def attach_labels(features: DataFrame, vectors: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
