@@ -79,7 +79,7 @@ def json_length(c: ColumnOrName) -> Column:
     """SCL-5: length of the JSON text as Python's ``json.dumps`` prints the value.
 
     Separators ``", "`` and ``": "`` add one character per ``,``/``:`` outside
-    strings; non-ASCII characters are escaped (``\\uXXXX``: +5 in the BMP, a
+    strings; DEL and non-ASCII characters are escaped (``\\uXXXX``: +5 in the BMP, a
     surrogate pair: +11 above it). Null prints ``null`` (4).
     """
     js = _col(c)
@@ -87,7 +87,7 @@ def json_length(c: ColumnOrName) -> Column:
     structure = F.regexp_replace(compact, _JSON_STRING, "")
     n = (F.length(compact)
          + F.regexp_count(structure, F.lit("[,:]"))
-         + F.lit(5) * F.regexp_count(compact, F.lit(r"[\x{80}-\x{FFFF}]"))
+         + F.lit(5) * F.regexp_count(compact, F.lit(r"[\x{7F}-\x{FFFF}]"))
          + F.lit(11) * F.regexp_count(compact, F.lit(r"[\x{10000}-\x{10FFFF}]")))
     return F.when(js.isNull(), F.lit(4)).otherwise(n).cast("bigint")
 

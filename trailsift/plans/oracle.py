@@ -59,7 +59,7 @@ def json_len(x: str) -> str:
     compact = f"regexp_replace({x}, {_q('(' + _STR_RE + r')|\s+')}, '\\1', 'g')"
     structure = f"regexp_replace({compact}, {_q(_STR_RE)}, '', 'g')"
     return (f"(CASE WHEN {x} IS NULL THEN 4 ELSE length({compact}) + {_count_re(structure, '[,:]')}"
-            f" + 5 * {_count_re(compact, r'[\x{80}-\x{FFFF}]')}"
+            f" + 5 * {_count_re(compact, r'[\x{7F}-\x{FFFF}]')}"
             f" + 11 * {_count_re(compact, r'[\x{10000}-\x{10FFFF}]')} END)::BIGINT")
 
 

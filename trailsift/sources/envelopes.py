@@ -67,10 +67,13 @@ def records_from_envelopes(envelopes: DataFrame, value_col: str = "value", file_
 
 def bad_envelopes(envelopes: DataFrame, value_col: str = "value",
                   file_col: str = "file") -> DataFrame:
-    """SRC-5: files whose text parses as neither an envelope object nor a list."""
+    """SRC-5: files whose text is not a JSON object or array (malformed or truncated).
+
+    ``json_object_keys`` / ``json_array_length`` parse the whole text and give
+    NULL when it is not valid JSON of that shape.
+    """
     value = F.col(value_col)
-    ok = F.from_json(value, "struct<Records: array<string>>").isNotNull() | \
-        F.from_json(value, "array<string>").isNotNull()
+    ok = F.json_object_keys(value).isNotNull() | F.json_array_length(value).isNotNull()
     return envelopes.filter(~F.coalesce(ok, F.lit(False))).select(F.col(file_col).alias("file"))
 
 

@@ -91,7 +91,7 @@ def read_audit_logs(spark: SparkSession, patterns: list[str] | str) -> Ingested:
                                   "file STRING, file_no LONG, from_dir BOOLEAN")
     distinct_files = sorted(set(files))
     texts = (spark.read.option("wholetext", "true").text(distinct_files)
-             .select(F.input_file_name().alias("file"), "value"))
+             .select(F.col("_metadata.file_path").alias("file"), "value"))
     env = texts.join(index, "file")
     events = records_from_envelopes(env, require_event_name=F.col("from_dir"))
     return Ingested(events=events, bad_files=bad_envelopes(texts).distinct(), files=files)
