@@ -71,7 +71,8 @@ def suspicious_summary(flagged: DataFrame) -> DataFrame:
 def names_limited(profile: DataFrame, limit: int = 20) -> DataFrame:
     """SNK-5 data / TOP-3 / AGG-12: the first ``limit`` names grouped by prefix, plus the remainder."""
     from trailsift.operators.timeframes import grouped_by_prefix
+    # WIN-8: clusters are numbered 0, 1, ... so the display ordinal is the id + 1.
     return profile.select(
-        "cluster", "size", "error_rate", "n_event_names",
+        (F.col("cluster") + 1).alias("ordinal"), "cluster", "size", "error_rate", "n_event_names",
         grouped_by_prefix(F.slice("event_names", 1, limit)).alias("names_shown"),
         F.greatest(F.size("event_names") - limit, F.lit(0)).alias("more_names"))
