@@ -21,9 +21,8 @@ Plan (no all-pairs step, no per-row Python):
    exact distance over all d axes: (a) for points of light sub-cells, to count
    neighbours and find core neighbours; (b) between core points, to connect
    sub-cells.
-6. Components of core sub-cells (large-star / small-star), numbered by the
-   first core point in scan order. Vector ids are scan-order ranks from a
-   distributed dense index, so that is the smallest id.
+6. Components of core sub-cells (large-star / small-star), numbered in scan
+   order of their first core point (distributed dense index over the roots).
 """
 
 from __future__ import annotations
@@ -51,6 +50,11 @@ class DbscanResult:
     stats: list[dict]      # standardisation row per feature
 
 
+def _scan_key(cols: list[str]) -> Column:
+    """Scan order of the sequential algorithm: lexicographic with the last feature first."""
+    return F.struct(*[F.col(c).alias(f"k{i:02d}") for i, c in enumerate(reversed(cols))])
+
+
 def _keep(df: DataFrame, cached: list) -> DataFrame:
     """Persist a deterministic intermediate that is read more than once (lineage stays short:
     it starts at a written table, so a lost executor recomputes only a few narrow steps)."""
@@ -88,12 +92,9 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     zcols = SCALED[:d] if d <= len(SCALED) else [f"z{i:02d}" for i in range(d)]
     gcols = [f"g{i:02d}" for i in range(d)]
 
-    # Vector id = rank in scan order (distributed numbering over a written table):
-    # deterministic, unique, and its minimum over a set is the first point scanned.
-    keyed = collapse(features.select(*cols), cols).select(
-        "*", *[F.col(c).alias(f"k{i:02d}") for i, c in enumerate(reversed(cols))])
-    kcols = [f"k{i:02d}" for i in range(d)]
-    vectors = _keep(dense_index(keyed, kcols, "vid").drop(*kcols), cached)
+    # One written table of distinct vectors: its ids are stable on every re-read.
+    vectors = materialize(collapse(features.select(*cols), cols)
+                          .withColumn("vid", F.monotonically_increasing_id()), "dbscan-collapse")
     stats = scale_stats(vectors, cols)
 
     delta = eps / math.sqrt(d) * (1 - 1e-9)       # sub-cell side: diameter < eps
@@ -107,7 +108,8 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     # Sub-cell id = smallest vector id inside it: unique and deterministic.
     units = scaled.groupBy(*gcols).agg(F.sum("w").alias("unit_w"), F.count(F.lit(1)).alias("n"),
                                        F.min("vid").alias("uid"))
-    pts = _keep(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols), cached)
+    pts = _keep(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols)
+                .withColumn("skey", _scan_key(cols)), cached)
 
     # -- candidate pairs of distinct sub-cells ------------------------------------------
     axes = _choose_axes(units, gcols, width, max_grid_axes)
@@ -146,7 +148,8 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     core = (pts.join(counts, "vid", "left")
             .withColumn("nbr_weight", F.col("unit_w") + F.coalesce("outside", F.lit(0)))
             .withColumn("core", F.col("nbr_weight") >= F.lit(min_samples)))
-    core = _keep(core.select("vid", "uid", "w", "nbr_weight", "core", *cols, *zcols), cached)
+    core = _keep(core.select("vid", "uid", "w", "skey", "nbr_weight", "core", *cols, *zcols),
+                 cached)
 
     # -- (b) connections between core sub-cells ----------------------------------------------
     core_pts = core.filter("core").select("vid", "uid", *zcols)
@@ -157,7 +160,7 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                   .filter(_dist2("p", "q", zcols) <= F.lit(eps * eps))
                   .select(F.col("ua").alias("x"), F.col("ub").alias("y")).distinct())
     comp = connected_components(core_edges)
-    core_units = core.filter("core").groupBy("uid").agg(F.min("vid").alias("ukey"))
+    core_units = core.filter("core").groupBy("uid").agg(F.min("skey").alias("ukey"))
     unit_root = (core_units.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
                  .select("uid", "ukey", F.coalesce("root", "uid").alias("root")))
     roots = unit_root.groupBy("root").agg(F.min("ukey").alias("rkey"))
