@@ -59,3 +59,19 @@ def test_readonly(events, spark):
     booleans = spark.createDataFrame([(1, True), (2, False), (3, None)], "event_id LONG, readOnly BOOLEAN")
     assert ids(filter_readonly(booleans)) == [1]
     assert ids(filter_readonly(events.drop("readOnly"))) == [1, 2, 3, 4, 5]
+
+
+def test_landed_table_prunes_date_partitions(spark, tmp_path):
+    from trailsift.sources.ingest import land_as_parquet, read_landed
+    from trailsift.sources.schema import AUDIT_COLUMNS
+    from pyspark.sql import functions as F
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 5, 12, 0)) for i in range(20)]
+    base = spark.createDataFrame(rows, "event_id LONG, eventTime TIMESTAMP")
+    full = base.select(*[F.col(c) if c in base.columns else F.lit(None).cast("string").alias(c)
+                         for c in AUDIT_COLUMNS])
+    land_as_parquet(full, str(tmp_path / "landed"))
+    landed = read_landed(spark, str(tmp_path / "landed"))
+    out = filter_by_time(landed, "2024-01-02T00:00:00Z", "2024-01-03T23:59:59Z")
+    assert sorted(r.event_id for r in out.collect()) == [i for i in range(20) if i % 5 in (1, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan

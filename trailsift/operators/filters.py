@@ -55,6 +55,13 @@ def filter_by_time(df: DataFrame, start_time: str | None = None, end_time: str |
         cond = cond & (F.col(time_col) >= _bound_literal(start, data_type))
     if end is not None:
         cond = cond & (F.col(time_col) <= _bound_literal(end, data_type))
+    if "event_date" in df.columns:
+        # A table landed by ``land_as_parquet``: the same bounds on the partition column
+        # let the scan skip whole date directories.
+        if start is not None:
+            cond = cond & (F.col("event_date") >= F.lit(start.date().isoformat()).cast("date"))
+        if end is not None:
+            cond = cond & (F.col("event_date") <= F.lit(end.date().isoformat()).cast("date"))
     return df.filter(cond)
 
 

@@ -157,6 +157,14 @@ def timeframe_identities(tf_events: DataFrame, order_col: str = "event_id") -> D
     return tf_events.select("tf_start", F.col(order_col).alias("ord"), *identity_columns())
 
 
+def timeframe_identities_distinct(tf_events: DataFrame) -> DataFrame:
+    """AGG-10 variant: each distinct identity of a timeframe with its number of events
+    and the input position of its first event (map-side combined, skew-safe)."""
+    return (tf_events.select("tf_start", F.col("event_id").alias("ord"), *identity_columns())
+            .groupBy("tf_start", "ip", "iam", "user_agent", "os")
+            .agg(F.count(F.lit(1)).alias("n_events"), F.min("ord").alias("first_ord")))
+
+
 def timeframe_apis(tf_events: DataFrame) -> DataFrame:
     """AGG-11: sorted distinct API names per timeframe (bounded by the API vocabulary)."""
     return tf_events.groupBy("tf_start").agg(

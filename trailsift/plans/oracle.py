@@ -357,6 +357,9 @@ SQL["timeframes"] = with_ctes(
 SQL["timeframes_5min_40pct"] = with_ctes(
     "SELECT tf_start, tf_end, round(confidence, 9) AS confidence FROM f_tf", "f_tf")
 SQL["timeframe_identities"] = with_ctes("SELECT * FROM tfid", "tfid")
+SQL["timeframe_identities_distinct"] = with_ctes(
+    "SELECT tf_start, ip, iam, user_agent, os, count(*) AS n_events, min(ord) AS first_ord "
+    "FROM tfid GROUP BY ALL", "tfid")
 SQL["timeframe_apis"] = with_ctes(
     "SELECT tf_start, " + _join("apis") + " AS example_apis, n_identities FROM tfapi", "tfapi")
 SQL["timeframe_report"] = with_ctes(

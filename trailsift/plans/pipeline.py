@@ -37,6 +37,7 @@ class Detection:
     timeframes: DataFrame     # tf_start, tf_end, confidence
     tf_events: DataFrame      # suspicious events inside each timeframe
     identities: DataFrame     # tf_start, ord, ip, iam, user_agent, os
+    identities_distinct: DataFrame  # tf_start, ip, iam, user_agent, os, n_events, first_ord
     apis: DataFrame           # tf_start, example_apis, n_identities
     report: DataFrame         # display-ready timeframe rows
 
@@ -69,5 +70,7 @@ def detect(events: DataFrame, start_time: str | None = None, end_time: str | Non
         readonly=readonly, vectors=vectors, labelled=flagged, profile=prof,
         totals=P.cluster_totals(labelled), chosen=chosen, summary=P.suspicious_summary(flagged),
         timeframes=timeframes, tf_events=tf_events,
-        identities=T.timeframe_identities(tf_events), apis=T.timeframe_apis(tf_events),
+        identities=T.timeframe_identities(tf_events),
+        identities_distinct=T.timeframe_identities_distinct(tf_events),
+        apis=T.timeframe_apis(tf_events),
         report=T.timeframe_report(timeframes, tf_events))

@@ -249,6 +249,10 @@ def q_timeframe_identities(spark, sf_dir):
     return detect(audit_events(spark, sf_dir)).identities
 
 
+def q_timeframe_identities_distinct(spark, sf_dir):
+    return detect(audit_events(spark, sf_dir)).identities_distinct
+
+
 def q_timeframe_apis(spark, sf_dir):
     d = detect(audit_events(spark, sf_dir))
     return d.apis.select("tf_start", _joined(F.col("example_apis")).alias("example_apis"),
@@ -335,6 +339,7 @@ QUERIES: dict[str, Query] = {
     "timeframes": q_timeframes,
     "timeframes_5min_40pct": q_timeframes_5min_40pct,
     "timeframe_identities": q_timeframe_identities,
+    "timeframe_identities_distinct": q_timeframe_identities_distinct,
     "timeframe_apis": q_timeframe_apis,
     "timeframe_report": q_timeframe_report,
     "clusters_json": q_clusters_json,

@@ -101,3 +101,8 @@ def land_as_parquet(events: DataFrame, path: str, mode: str = "overwrite") -> No
     """Write the audit table partitioned by event date for pruned re-reads."""
     (events.select(*AUDIT_COLUMNS, F.to_date("eventTime").alias("event_date"))
      .sortWithinPartitions("event_date").write.mode(mode).partitionBy("event_date").parquet(path))
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table written by ``land_as_parquet`` (time filters prune its date partitions)."""
+    return spark.read.parquet(path)
