@@ -17,10 +17,12 @@ Plan (no all-pairs step, no per-row Python):
 4. Candidate sub-cell pairs: equi-join on a coarse grid over the few most
    spread axes (one side exploded to the 3^k adjacent coarse cells), then an
    exact integer filter on the gap between the two boxes over all d axes.
-5. Vector pairs only across distinct sub-cells of a candidate pair, with the
-   exact distance over all d axes: (a) for points of light sub-cells, to count
+5. Bounding boxes of the points in each sub-cell decide a (point, sub-cell) or
+   (sub-cell, sub-cell) pair wholesale when the boxes are entirely within or
+   beyond eps; only partly overlapping pairs go to vector pairs with the exact
+   distance over all d axes: (a) for points of light sub-cells, to count
    neighbours and find core neighbours; (b) between core points, to connect
-   sub-cells.
+   sub-cells. Two heavy, tight sub-cells therefore connect with no vector pair.
 6. Components of core sub-cells (large-star / small-star), numbered in scan
    order of their first core point (distributed dense index over the roots).
 """
@@ -133,18 +135,64 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     unit_pairs = _keep(joined.filter((F.col("a.uid") != F.col("b.uid")) & (gap <= gap_limit))
                        .select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")), cached)
 
+    # Bounding boxes of the points actually inside each sub-cell (a box per sub-cell:
+    # lo/hi per axis). A point and a box, or two boxes, are decided wholesale when
+    # the box distances are clearly within or beyond eps; only the rest goes to
+    # vector pairs. Margins send near-eps cases to the exact path.
+    within, beyond = eps * eps * (1 - 1e-9), eps * eps * (1 + 1e-9)
+    lo = [f"lo{i:02d}" for i in range(d)]
+    hi = [f"hi{i:02d}" for i in range(d)]
+
+    def boxes(points: DataFrame) -> DataFrame:
+        return points.groupBy("uid").agg(*[F.min(z).alias(l) for z, l in zip(zcols, lo)],
+                                         *[F.max(z).alias(h) for z, h in zip(zcols, hi)])
+
+    def point_box(p: str, b: str) -> tuple[Column, Column]:
+        near = far = None
+        for z, l, h in zip(zcols, lo, hi):
+            pz, bl, bh = F.col(f"{p}.{z}"), F.col(f"{b}.{l}"), F.col(f"{b}.{h}")
+            g = F.greatest(bl - pz, pz - bh, F.lit(0.0))
+            sp = F.greatest(pz - bl, bh - pz)
+            near = g * g if near is None else near + g * g
+            far = sp * sp if far is None else far + sp * sp
+        return near, far
+
+    def box_box(a: str, b: str) -> tuple[Column, Column]:
+        near = far = None
+        for l, h in zip(lo, hi):
+            al, ah, bl, bh = (F.col(f"{a}.{l}"), F.col(f"{a}.{h}"), F.col(f"{b}.{l}"),
+                              F.col(f"{b}.{h}"))
+            g = F.greatest(bl - ah, al - bh, F.lit(0.0))
+            sp = F.greatest(bh - al, ah - bl)
+            near = g * g if near is None else near + g * g
+            far = sp * sp if far is None else far + sp * sp
+        return near, far
+
     # -- (a) neighbour weight of points in light sub-cells ---------------------------------
     p_cols = ["vid", "uid", "unit_w", "w", *zcols]
     counted = pts if exact_counts else pts.filter(F.col("unit_w") < min_samples)
     light = counted.select(*p_cols).alias("p")
     other = pts.select(*p_cols).alias("q")
-    near_light = _keep(
+    ubox = boxes(pts).join(units.select("uid", "unit_w"), "uid").alias("b")
+    near, far = point_box("p", "b")
+    to_boxes = _keep(
         light.join(unit_pairs, F.col("p.uid") == F.col("ua"))
-        .join(other, F.col("q.uid") == F.col("ub"))
+        .join(ubox, F.col("b.uid") == F.col("ub"))
+        .select(F.col("p.vid").alias("vid"), F.col("ub").alias("nuid"),
+                F.col("b.unit_w").alias("nw"),
+                F.when(far <= F.lit(within), F.lit("all"))
+                .when(near > F.lit(beyond), F.lit("none")).otherwise(F.lit("some")).alias("fit"))
+        .filter(F.col("fit") != "none"), cached)
+    whole = to_boxes.filter(F.col("fit") == "all").select("vid", "nuid", "nw")
+    some = to_boxes.filter(F.col("fit") == "some").select("vid", "nuid").alias("s")
+    near_pts = _keep(
+        some.join(light, F.col("p.vid") == F.col("s.vid"))
+        .join(other, F.col("q.uid") == F.col("s.nuid"))
         .filter(_dist2("p", "q", zcols) <= F.lit(eps * eps))
         .select(F.col("p.vid").alias("vid"), F.col("q.vid").alias("nvid"),
                 F.col("q.uid").alias("nuid"), F.col("q.w").alias("nw")), cached)
-    counts = near_light.groupBy("vid").agg(F.sum("nw").alias("outside"))
+    counts = (whole.select("vid", "nw").unionByName(near_pts.select("vid", "nw"))
+              .groupBy("vid").agg(F.sum("nw").alias("outside")))
     core = (pts.join(counts, "vid", "left")
             .withColumn("nbr_weight", F.col("unit_w") + F.coalesce("outside", F.lit(0)))
             .withColumn("core", F.col("nbr_weight") >= F.lit(min_samples)))
@@ -153,12 +201,23 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
 
     # -- (b) connections between core sub-cells ----------------------------------------------
     core_pts = core.filter("core").select("vid", "uid", *zcols)
+    cbox = boxes(core_pts)
+    near, far = box_box("a", "b")
+    box_pairs = _keep(
+        unit_pairs.filter(F.col("ua") < F.col("ub"))
+        .join(cbox.alias("a"), F.col("a.uid") == F.col("ua"))
+        .join(cbox.alias("b"), F.col("b.uid") == F.col("ub"))
+        .select("ua", "ub", F.when(far <= F.lit(within), F.lit("all"))
+                .when(near > F.lit(beyond), F.lit("none")).otherwise(F.lit("some")).alias("fit"))
+        .filter(F.col("fit") != "none"), cached)
     cp, cq = core_pts.alias("p"), core_pts.alias("q")
-    core_edges = (unit_pairs.filter(F.col("ua") < F.col("ub"))
-                  .join(cp, F.col("p.uid") == F.col("ua"))
-                  .join(cq, F.col("q.uid") == F.col("ub"))
-                  .filter(_dist2("p", "q", zcols) <= F.lit(eps * eps))
-                  .select(F.col("ua").alias("x"), F.col("ub").alias("y")).distinct())
+    checked = (box_pairs.filter(F.col("fit") == "some")
+               .join(cp, F.col("p.uid") == F.col("ua"))
+               .join(cq, F.col("q.uid") == F.col("ub"))
+               .filter(_dist2("p", "q", zcols) <= F.lit(eps * eps))
+               .select(F.col("ua").alias("x"), F.col("ub").alias("y")))
+    core_edges = box_pairs.filter(F.col("fit") == "all").select(
+        F.col("ua").alias("x"), F.col("ub").alias("y")).unionByName(checked)
     comp = connected_components(core_edges)
     core_units = core.filter("core").groupBy("uid").agg(F.min("skey").alias("ukey"))
     unit_root = (core_units.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
@@ -169,10 +228,13 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                          .select("uid", F.col("cluster").cast("int").alias("cluster")), cached)
 
     # -- labels --------------------------------------------------------------------------
-    border_near = (near_light.join(pts.filter(F.col("unit_w") < min_samples).select("vid"), "vid",
-                                   "left_semi")
-                   .join(core.filter("core").select(F.col("vid").alias("nvid")), "nvid",
-                                   "left_semi")
+    # Border candidates: whole boxes within eps (their core points, if any, share the
+    # box's cluster) and checked neighbours that are core.
+    core_near = near_pts.join(core.filter("core").select(F.col("vid").alias("nvid")), "nvid",
+                              "left_semi").select("vid", "nuid")
+    border_near = (whole.select("vid", "nuid").unionByName(core_near)
+                   .join(pts.filter(F.col("unit_w") < min_samples).select("vid"), "vid",
+                         "left_semi")
                    .join(unit_cluster.withColumnRenamed("uid", "nuid"), "nuid")
                    .groupBy("vid").agg(F.min("cluster").alias("near_cluster")))
     labelled = (core.join(unit_cluster.withColumnRenamed("cluster", "own_cluster"), "uid", "left")
