@@ -108,8 +108,13 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     scaled = scaled.select("*", *[F.floor(F.col(z) / F.lit(delta)).cast("long").alias(g)
                                   for z, g in zip(zcols, gcols)])
     # Sub-cell id = smallest vector id inside it: unique and deterministic.
-    units = scaled.groupBy(*gcols).agg(F.sum("w").alias("unit_w"), F.count(F.lit(1)).alias("n"),
-                                       F.min("vid").alias("uid"))
+    # The same aggregation keeps each sub-cell's bounding box (lo/hi per axis).
+    lo = [f"lo{i:02d}" for i in range(d)]
+    hi = [f"hi{i:02d}" for i in range(d)]
+    units = _keep(scaled.groupBy(*gcols).agg(
+        F.sum("w").alias("unit_w"), F.count(F.lit(1)).alias("n"), F.min("vid").alias("uid"),
+        *[F.min(z).alias(l) for z, l in zip(zcols, lo)],
+        *[F.max(z).alias(h) for z, h in zip(zcols, hi)]), cached)
     pts = _keep(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols)
                 .withColumn("skey", _scan_key(cols)), cached)
 
@@ -140,8 +145,6 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     # the box distances are clearly within or beyond eps; only the rest goes to
     # vector pairs. Margins send near-eps cases to the exact path.
     within, beyond = eps * eps * (1 - 1e-9), eps * eps * (1 + 1e-9)
-    lo = [f"lo{i:02d}" for i in range(d)]
-    hi = [f"hi{i:02d}" for i in range(d)]
 
     def boxes(points: DataFrame) -> DataFrame:
         return points.groupBy("uid").agg(*[F.min(z).alias(l) for z, l in zip(zcols, lo)],
@@ -173,7 +176,7 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     counted = pts if exact_counts else pts.filter(F.col("unit_w") < min_samples)
     light = counted.select(*p_cols).alias("p")
     other = pts.select(*p_cols).alias("q")
-    ubox = boxes(pts).join(units.select("uid", "unit_w"), "uid").alias("b")
+    ubox = units.select("uid", "unit_w", *lo, *hi).alias("b")
     near, far = point_box("p", "b")
     to_boxes = _keep(
         light.join(unit_pairs, F.col("p.uid") == F.col("ua"))
