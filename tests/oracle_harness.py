@@ -27,11 +27,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("TRAILSIFT_STRICT_FLOATS") == "1"
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else (v if STRICT else round(v, 6))
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, bool):
@@ -65,11 +68,31 @@ def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
 
+_SPARK_KIND = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8",
+               "double": "float64", "float": "float32", "string": "str", "boolean": "bool",
+               "timestamp_ntz": "ts", "timestamp": "ts", "date": "date"}
+_DUCK_KIND = {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "TINYINT": "int8",
+              "DOUBLE": "float64", "FLOAT": "float32", "VARCHAR": "str", "BOOLEAN": "bool",
+              "TIMESTAMP": "ts", "TIMESTAMP WITH TIME ZONE": "ts", "DATE": "date"}
+
+
+def kinds(df, con, sql):
+    s = {f.name: _SPARK_KIND.get(f.dataType.simpleString(), f.dataType.simpleString())
+         for f in df.schema.fields}
+    rel = con.sql(sql)
+    d = {n: _DUCK_KIND.get(str(t), str(t)) for n, t in zip(rel.columns, rel.types)}
+    return s, d
+
+
 def compare(df, con, sql) -> tuple[bool, str]:
     s_cols, s_rows = spark_rows(df)
     d_cols, d_rows = duck_rows(con, sql)
     if s_cols != d_cols:
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    s_kind, d_kind = kinds(df, con, sql)
+    differ = {c: (s_kind[c], d_kind[c]) for c in s_cols if s_kind[c] != d_kind[c]}
+    if differ:
+        return False, f"column types differ (spark, duck): {differ}"
     if len(s_rows) != len(d_rows):
         return False, f"row count differs: spark={len(s_rows)} duck={len(d_rows)}"
     a, b = sorted(s_rows, key=_key), sorted(d_rows, key=_key)

@@ -188,13 +188,14 @@ def q_cluster_profile(spark, sf_dir):
 def q_cluster_names_limited(spark, sf_dir):
     labelled, _ = label_events(_readonly(spark, sf_dir))
     lim = P.names_limited(P.cluster_profile(labelled), limit=2)
-    return lim.select("cluster", "names_shown", "more_names")
+    return lim.select("cluster", "names_shown", F.col("more_names").cast("long").alias("more_names"))
 
 
 def q_top_clusters(spark, sf_dir):
     labelled, _ = label_events(_readonly(spark, sf_dir))
     top = P.top_clusters(P.cluster_profile(labelled))
-    return top.select("cluster", _r("error_rate", 9).alias("error_rate"), "size", "rank")
+    return top.select("cluster", _r("error_rate", 9).alias("error_rate"), "size",
+                      F.col("rank").cast("long").alias("rank"))
 
 
 def q_suspicious_events(spark, sf_dir):
@@ -261,8 +262,10 @@ def q_timeframe_apis(spark, sf_dir):
 
 def q_timeframe_report(spark, sf_dir):
     d = detect(audit_events(spark, sf_dir))
-    return d.report.select("ordinal", "period_start", "period_end", "duration_seconds",
-                           "confidence_pct", "n_apis", "apis_shown", "identities_shown",
+    return d.report.select(F.col("ordinal").cast("long").alias("ordinal"), "period_start",
+                           "period_end", "duration_seconds", "confidence_pct",
+                           F.col("n_apis").cast("long").alias("n_apis"), "apis_shown",
+                           "identities_shown",
                            "n_identities", "more_identities")
 
 
