@@ -47,11 +47,13 @@ def safe_str(c: ColumnOrName) -> Column:
 def hash32(c: ColumnOrName) -> Column:
     """SCL-2: stable signed 32-bit hash of the text of ``c``; '' (and null) -> 0.
 
-    First 8 hex digits of md5 read as an unsigned 32-bit number, folded to signed.
+    First 8 hex digits of md5 read as an unsigned 32-bit number, folded to signed
+    (flipping bit 31 and subtracting 2^31 maps [2^31, 2^32) to [-2^31, 0) and
+    leaves the rest, with md5 evaluated once).
     """
     s = safe_str(c)
     unsigned = F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
-    signed = F.when(unsigned >= F.lit(2**31), unsigned - F.lit(2**32)).otherwise(unsigned)
+    signed = unsigned.bitwiseXOR(F.lit(2**31)) - F.lit(2**31)
     return F.when(s == "", F.lit(0).cast("bigint")).otherwise(signed)
 
 

@@ -82,17 +82,17 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n, *order_cols)
                          .withColumn("__pid", F.spark_partition_id()))
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = {}, 0
-    for pid, cnt in counts:
-        offsets[pid] = total
-        total += cnt
-    if not offsets:
+    counts = dict((r["__pid"], r["n"]) for r in
+                  ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    if not counts:
         return ranged.drop("__pid").withColumn(name, F.lit(0).cast("long"))
-    # One row per partition: its size is bounded by the partition count.
-    offset_df = spark.createDataFrame(list(offsets.items()), "__pid INT, __off LONG")
+    # Offset of each partition = rows in the partitions before it; one literal per
+    # partition (bounded by the partition count), looked up by partition id.
+    offsets, total = [], 0
+    for pid in range(max(counts) + 1):
+        offsets.append(total)
+        total += counts.get(pid, 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("__pid") + 1)
     w = Window.partitionBy("__pid").orderBy(*order_cols)
-    return (ranged.join(F.broadcast(offset_df), "__pid")
-            .withColumn(name, F.row_number().over(w) - 1 + F.col("__off"))
-            .drop("__pid", "__off"))
+    return (ranged.withColumn(name, F.row_number().over(w) - 1 + offset)
+            .drop("__pid"))

@@ -34,11 +34,13 @@ import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trailsift.operators.components import connected_components, dense_index
-from trailsift.operators.features import FEATURES, SCALED, collapse, scale_stats, scaled_columns
+from trailsift.operators.features import (FEATURES, SCALED, collapse, scale_stats, scaled_columns,
+                                         stat_metrics, stats_from_metrics)
 from trailsift.session import materialize
 
 # Defaults of the reference (fixed there): eps 1.5, min_samples 20.
@@ -73,11 +75,24 @@ def _dist2(a: str, b: str, zcols: list[str]) -> Column:
     return total
 
 
-def _choose_axes(units: DataFrame, gcols: list[str], width: int, max_axes: int) -> list[int]:
-    counts = units.agg(*[F.approx_count_distinct(F.floor(F.col(g) / width)).alias(g)
-                         for g in gcols]).first()
-    ranked = sorted(range(len(gcols)), key=lambda i: (-(counts[gcols[i]] or 0), i))
-    return [i for i in ranked if (counts[gcols[i]] or 0) > 1][:max_axes]
+def _choose_axes(stats: list[dict], cell: float, max_axes: int) -> list[int]:
+    """Grid axes: the ones expected to spread the data over the most coarse cells.
+
+    Cells along an axis are at most its span in coarse cells and at most its
+    number of distinct values (both from the standardisation statistics). Only
+    the work balance depends on the choice; the join is exact for any axes.
+    """
+    scored = []
+    for i, s in enumerate(stats):
+        if s["constant"] or s["lo"] is None:
+            continue
+        zlo, zhi = (s["lo"] - s["mean"]) / s["scale"], (s["hi"] - s["mean"]) / s["scale"]
+        cells = math.floor(zhi / cell) - math.floor(zlo / cell) + 1
+        if s.get("distinct"):
+            cells = min(cells, s["distinct"])
+        scored.append((cells, i))
+    ranked = sorted(scored, key=lambda t: (-t[0], t[1]))
+    return [i for cells, i in ranked if cells > 1][:max_axes]
 
 
 def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
@@ -95,9 +110,17 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     gcols = [f"g{i:02d}" for i in range(d)]
 
     # One written table of distinct vectors: its ids are stable on every re-read.
-    vectors = materialize(collapse(features.select(*cols), cols)
+    # The standardisation statistics are observed on the uncollapsed rows during
+    # the same write (no job of their own).
+    obs = Observation()
+    observed = features.select(*cols).observe(obs, *stat_metrics(cols))
+    vectors = materialize(collapse(observed, cols)
                           .withColumn("vid", F.monotonically_increasing_id()), "dbscan-collapse")
-    stats = scale_stats(vectors, cols)
+    try:
+        stats = stats_from_metrics(obs.get, cols)
+    except Py4JError:
+        # No metrics when the optimiser proved the input empty and dropped the scan.
+        stats = scale_stats(vectors, cols)
 
     delta = eps / math.sqrt(d) * (1 - 1e-9)       # sub-cell side: diameter < eps
     reach = int(math.floor(eps / delta)) + 1       # |cell index difference| of neighbours
@@ -119,7 +142,7 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                 .withColumn("skey", _scan_key(cols)), cached)
 
     # -- candidate pairs of distinct sub-cells ------------------------------------------
-    axes = _choose_axes(units, gcols, width, max_grid_axes)
+    axes = _choose_axes(stats, delta * width, max_grid_axes)
     ccols = [f"c{j}" for j in range(len(axes))]
     coarse = units.select("uid", *gcols, *[F.floor(F.col(gcols[a]) / width).cast("long").alias(c)
                                            for a, c in zip(axes, ccols)])

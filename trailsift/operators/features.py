@@ -105,7 +105,38 @@ def scale_stats(vectors: DataFrame, cols: list[str] = FEATURES, weight: str = "w
         const = first[f"lo_{c}"] is None or first[f"lo_{c}"] == first[f"hi_{c}"]
         var = (second[f"v_{c}"] or 0.0) / n if n else 0.0
         stats.append({"col": c, "mean": means[c], "std": math.sqrt(var), "constant": const,
-                      "scale": 1.0 if const else math.sqrt(var)})
+                      "scale": 1.0 if const else math.sqrt(var), "lo": first[f"lo_{c}"],
+                      "hi": first[f"hi_{c}"], "distinct": None})
+    return stats
+
+
+def stat_metrics(cols: list[str] = FEATURES) -> list[Column]:
+    """AGG-1 as one aggregation over the uncollapsed rows, for ``DataFrame.observe``.
+
+    Count, mean, population std (Spark's central-moment aggregate merges
+    partial moments stably), min/max for the constant guard, and an approximate
+    distinct count that only steers the choice of grid axes. Observed while
+    the collapse is written, so standardisation costs no job of its own.
+    """
+    return [F.count(F.lit(1)).alias("n"),
+            *[F.avg(c).alias(f"m_{c}") for c in cols],
+            *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
+            *[F.min(c).alias(f"lo_{c}") for c in cols],
+            *[F.max(c).alias(f"hi_{c}") for c in cols],
+            *[F.approx_count_distinct(c).alias(f"d_{c}") for c in cols]]
+
+
+def stats_from_metrics(row, cols: list[str] = FEATURES) -> list[dict]:
+    """The ``scale_stats`` rows from one row of ``stat_metrics``."""
+    n = row["n"] or 0
+    stats = []
+    for c in cols:
+        lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
+        const = n == 0 or lo is None or lo == hi
+        std = row[f"s_{c}"] or 0.0
+        stats.append({"col": c, "mean": row[f"m_{c}"] or 0.0, "std": std, "constant": const,
+                      "scale": 1.0 if const else std, "lo": lo, "hi": hi,
+                      "distinct": row[f"d_{c}"]})
     return stats
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailsift.functions import scalars as S
+from trailsift.session import literal_table
 
 # The reconnaissance API list by category (88 names).
 SIGNATURES = {
@@ -49,7 +50,7 @@ SIGNATURES = {
 def signature_table(spark) -> DataFrame:
     """(eventName, category): 88 fixed rows, safe to broadcast."""
     rows = [(name, cat) for cat, names in SIGNATURES.items() for name in names]
-    return spark.createDataFrame(rows, "eventName STRING, category STRING")
+    return literal_table(spark, rows, "eventName STRING, category STRING")
 
 
 def signature_match(events: DataFrame) -> DataFrame:

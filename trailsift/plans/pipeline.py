@@ -47,7 +47,10 @@ def label_events(readonly: DataFrame, eps: float = DEFAULT_EPS,
                  missing_as: str = "null", keep: list[str] | None = None):
     """Encode, cluster and attach labels; returns (labelled, vectors)."""
     keep = keep or LABELLED_COLUMNS
-    feats = encode(readonly, keep=keep, session_path=session_path, missing_as=missing_as)
+    # The encode (JSON parsing, md5 hashes, regexes) runs once: its narrow output is
+    # written, then read by the collapse and again by the label join.
+    feats = materialize(encode(readonly, keep=keep, session_path=session_path,
+                               missing_as=missing_as), "encoded")
     result = dbscan_vectors(feats, eps=eps, min_samples=min_samples)
     labelled = feats.join(result.vectors.select(*FEATURES, "cluster"), FEATURES, "inner")
     return materialize(labelled.select(*keep, "cluster")), result.vectors

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 # Settings every job relies on: UTC wall clock for minute buckets, AQE for
 # runtime coalescing / skew splitting / broadcast conversion.
@@ -76,6 +78,37 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _sql_literal(value, type_name: str) -> str:
+    if value is None:
+        text = "NULL"
+    elif isinstance(value, bool):
+        text = "TRUE" if value else "FALSE"
+    elif isinstance(value, int):
+        text = str(value)
+    else:
+        text = "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({text} AS {type_name})"
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table (``schema`` as DDL) from a SQL ``VALUES`` list: a local relation.
+
+    ``createDataFrame`` on a Python list goes through a Python RDD, so every
+    task of the stage that reads it starts a Python worker; a literal array
+    would be compiled into generated code. A ``VALUES`` list needs neither.
+    Only for tables whose size is fixed or bounded (a lookup list, a file
+    index), never for data.
+    """
+    fields = _parse_datatype_string(schema).fields
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    types = [f.dataType.simpleString() for f in fields]
+    values = ", ".join("(" + ", ".join(_sql_literal(v, t) for v, t in zip(row, types)) + ")"
+                       for row in rows)
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder for intermediate tables written as Parquet."""
     base = ensure_checkpoint_dir(spark)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trailsift.sources.envelopes import bad_envelopes, records_from_envelopes
 from trailsift.sources.schema import AUDIT_COLUMNS
+from trailsift.session import literal_table
 
 
 @dataclass
@@ -83,12 +84,12 @@ def read_audit_logs(spark: SparkSession, patterns: list[str] | str) -> Ingested:
     entries = expand_paths(spark, patterns)
     files = [f for f, _ in entries]
     if not entries:
-        empty = spark.createDataFrame([], "file STRING, file_no LONG, value STRING, from_dir BOOLEAN")
+        empty = literal_table(spark, [], "file STRING, file_no LONG, value STRING, from_dir BOOLEAN")
         return Ingested(records_from_envelopes(empty, require_event_name=F.col("from_dir")),
                         empty.select("file"), [])
     # One small row per input file (names only), joined to the texts by path.
-    index = spark.createDataFrame([(f, i, d) for i, (f, d) in enumerate(entries)],
-                                  "file STRING, file_no LONG, from_dir BOOLEAN")
+    index = literal_table(spark, [(f, i, d) for i, (f, d) in enumerate(entries)],
+                          "file STRING, file_no LONG, from_dir BOOLEAN")
     distinct_files = sorted(set(files))
     texts = (spark.read.option("wholetext", "true").text(distinct_files)
              .select(F.col("_metadata.file_path").alias("file"), "value"))
