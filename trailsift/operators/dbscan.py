@@ -67,12 +67,23 @@ def _keep(df: DataFrame, cached: list) -> DataFrame:
     return df
 
 
+# The wide per-axis expressions are written as one SQL text each: a single call to
+# the JVM instead of several per axis. Sums run left to right, squares are x * x.
+def _dbl(x: float) -> str:
+    """An exact DOUBLE literal."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _sq(e: str) -> str:
+    return f"({e}) * ({e})"
+
+
+def _sum_sql(terms: list[str]) -> str:
+    return " + ".join(terms)
+
+
 def _dist2(a: str, b: str, zcols: list[str]) -> Column:
-    total = None
-    for z in zcols:
-        d = F.col(f"{a}.{z}") - F.col(f"{b}.{z}")
-        total = d * d if total is None else total + d * d
-    return total
+    return F.expr(_sum_sql([_sq(f"{a}.{z} - {b}.{z}") for z in zcols]))
 
 
 def _choose_axes(stats: list[dict], cell: float, max_axes: int) -> list[int]:
@@ -128,8 +139,8 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     gap_limit = d                                  # sum of squared box gaps (in cells) <= d
 
     scaled = vectors.select("vid", "w", *cols, *scaled_columns(stats, zcols))
-    scaled = scaled.select("*", *[F.floor(F.col(z) / F.lit(delta)).cast("long").alias(g)
-                                  for z, g in zip(zcols, gcols)])
+    scaled = scaled.selectExpr("*", *[f"CAST(FLOOR({z} / {_dbl(delta)}) AS BIGINT) AS {g}"
+                                      for z, g in zip(zcols, gcols)])
     # Sub-cell id = smallest vector id inside it: unique and deterministic.
     # The same aggregation keeps each sub-cell's bounding box (lo/hi per axis).
     lo = [f"lo{i:02d}" for i in range(d)]
@@ -156,10 +167,7 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     a, b = coarse.alias("a"), shifted.alias("b")
     cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ccols] or None
     joined = a.join(b, cond, "inner") if cond else a.join(b, how="inner")
-    gap = None
-    for g in gcols:
-        gd = F.greatest(F.abs(F.col(f"a.{g}") - F.col(f"b.{g}")) - 1, F.lit(0))
-        gap = gd * gd if gap is None else gap + gd * gd
+    gap = F.expr(_sum_sql([_sq(f"greatest(abs(a.{g} - b.{g}) - 1, 0)") for g in gcols]))
     unit_pairs = _keep(joined.filter((F.col("a.uid") != F.col("b.uid")) & (gap <= gap_limit))
                        .select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")), cached)
 
@@ -173,26 +181,22 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
         return points.groupBy("uid").agg(*[F.min(z).alias(l) for z, l in zip(zcols, lo)],
                                          *[F.max(z).alias(h) for z, h in zip(zcols, hi)])
 
+    zero = _dbl(0.0)
+
     def point_box(p: str, b: str) -> tuple[Column, Column]:
-        near = far = None
-        for z, l, h in zip(zcols, lo, hi):
-            pz, bl, bh = F.col(f"{p}.{z}"), F.col(f"{b}.{l}"), F.col(f"{b}.{h}")
-            g = F.greatest(bl - pz, pz - bh, F.lit(0.0))
-            sp = F.greatest(pz - bl, bh - pz)
-            near = g * g if near is None else near + g * g
-            far = sp * sp if far is None else far + sp * sp
-        return near, far
+        """Squared distance from a point to the nearest and to the farthest corner of a box."""
+        near = [_sq(f"greatest({b}.{l} - {p}.{z}, {p}.{z} - {b}.{h}, {zero})")
+                for z, l, h in zip(zcols, lo, hi)]
+        far = [_sq(f"greatest({p}.{z} - {b}.{l}, {b}.{h} - {p}.{z})")
+               for z, l, h in zip(zcols, lo, hi)]
+        return F.expr(_sum_sql(near)), F.expr(_sum_sql(far))
 
     def box_box(a: str, b: str) -> tuple[Column, Column]:
-        near = far = None
-        for l, h in zip(lo, hi):
-            al, ah, bl, bh = (F.col(f"{a}.{l}"), F.col(f"{a}.{h}"), F.col(f"{b}.{l}"),
-                              F.col(f"{b}.{h}"))
-            g = F.greatest(bl - ah, al - bh, F.lit(0.0))
-            sp = F.greatest(bh - al, ah - bl)
-            near = g * g if near is None else near + g * g
-            far = sp * sp if far is None else far + sp * sp
-        return near, far
+        """Squared smallest and largest distance between the points of two boxes."""
+        near = [_sq(f"greatest({b}.{l} - {a}.{h}, {a}.{l} - {b}.{h}, {zero})")
+                for l, h in zip(lo, hi)]
+        far = [_sq(f"greatest({b}.{h} - {a}.{l}, {a}.{h} - {b}.{l})") for l, h in zip(lo, hi)]
+        return F.expr(_sum_sql(near)), F.expr(_sum_sql(far))
 
     # -- (a) neighbour weight of points in light sub-cells ---------------------------------
     p_cols = ["vid", "uid", "unit_w", "w", *zcols]

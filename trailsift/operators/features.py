@@ -147,5 +147,7 @@ def scaled_columns(stats: list[dict], out: list[str] = SCALED) -> list[Column]:
         if s["constant"] or s["scale"] == 0:
             cols.append(F.lit(0.0).alias(name))
         else:
-            cols.append(((F.col(s["col"]) - F.lit(s["mean"])) / F.lit(s["scale"])).alias(name))
+            mean, scale = float(s["mean"]), float(s["scale"])
+            cols.append(F.expr(f"({s['col']} - CAST('{mean!r}' AS DOUBLE)) / "
+                               f"CAST('{scale!r}' AS DOUBLE)").alias(name))
     return cols
