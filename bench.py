@@ -2,7 +2,7 @@
 
 Each query is executed in full with the no-op writer (nothing is collected to
 the driver). Times are wall-clock seconds including planning and the eager
-checkpoints inside the query.
+checkpoints inside the query, measured after one untimed warm-up run of the JVM.
 """
 
 from __future__ import annotations
@@ -38,8 +38,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-ckpt-"))
-    # Warm-up: JVM, parquet footers, codegen caches.
-    QUERIES["features_encoded"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # Warm-up (untimed): load and JIT-compile Spark's planner, scheduler, joins and
+    # writers once, so the first timed query is not charged for JVM start-up. It runs
+    # the flagship on the smallest fixture (different tables: nothing computed there is
+    # reused) when that exists, else the encode on the bench tables.
+    warm_dir = os.path.join(os.path.dirname(os.path.normpath(sf_dir)), "sf0.001")
+    if os.path.isdir(warm_dir) and os.path.normpath(warm_dir) != os.path.normpath(sf_dir):
+        QUERIES["timeframes"](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    else:
+        QUERIES["features_encoded"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.perf_counter()
