@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trailsift.operators.components import connected_components, dense_index
-from trailsift.operators.features import (FEATURES, SCALED, collapse, scale_stats, scaled_columns,
-                                         stat_metrics, stats_from_metrics)
+from trailsift.operators.features import (FEATURES, SCALED, collapse, first_pass_metrics,
+                                         scale_stats, scaled_columns)
 from trailsift.session import materialize
 
 # Defaults of the reference (fixed there): eps 1.5, min_samples 20.
@@ -121,17 +121,19 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
     gcols = [f"g{i:02d}" for i in range(d)]
 
     # One written table of distinct vectors: its ids are stable on every re-read.
-    # The standardisation statistics are observed on the uncollapsed rows during
-    # the same write (no job of their own).
+    # The first pass of the standardisation statistics is observed on the collapsed
+    # rows during the same write (final stage: applied once per partition); the
+    # centred second pass reads the distinct vectors only.
     obs = Observation()
-    observed = features.select(*cols).observe(obs, *stat_metrics(cols))
-    vectors = materialize(collapse(observed, cols)
-                          .withColumn("vid", F.monotonically_increasing_id()), "dbscan-collapse")
+    observed = collapse(features.select(*cols), cols).observe(obs, *first_pass_metrics(cols))
+    vectors = materialize(observed.withColumn("vid", F.monotonically_increasing_id()),
+                          "dbscan-collapse")
     try:
-        stats = stats_from_metrics(obs.get, cols)
+        first = obs.get
     except Py4JError:
         # No metrics when the optimiser proved the input empty and dropped the scan.
-        stats = scale_stats(vectors, cols)
+        first = None
+    stats = scale_stats(vectors, cols, first=first)
 
     delta = eps / math.sqrt(d) * (1 - 1e-9)       # sub-cell side: diameter < eps
     reach = int(math.floor(eps / delta)) + 1       # |cell index difference| of neighbours

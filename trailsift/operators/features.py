@@ -84,18 +84,35 @@ def collapse(features: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
     return features.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
 
 
-def scale_stats(vectors: DataFrame, cols: list[str] = FEATURES, weight: str = "w") -> list[dict]:
+def first_pass_metrics(cols: list[str] = FEATURES, weight: str = "w") -> list[Column]:
+    """First pass of AGG-1 over weighted distinct vectors: total weight, weighted sums,
+    min/max (the constant guard) and an approximate distinct count (steers the grid axes).
+
+    Usable as a plain aggregation or with ``DataFrame.observe`` on the collapsed
+    rows: placed after the collapse's aggregation it runs in the final stage of
+    the write, whose task updates Spark applies once per partition even when an
+    executor is lost and tasks are re-run.
+    """
+    w = F.col(weight).cast("double")
+    return [F.sum(w).alias("n"),
+            *[F.sum(F.col(c) * w).alias(f"s_{c}") for c in cols],
+            *[F.min(c).alias(f"lo_{c}") for c in cols],
+            *[F.max(c).alias(f"hi_{c}") for c in cols],
+            *[F.approx_count_distinct(c).alias(f"d_{c}") for c in cols]]
+
+
+def scale_stats(vectors: DataFrame, cols: list[str] = FEATURES, weight: str = "w",
+                first=None) -> list[dict]:
     """AGG-1 on weighted distinct vectors: mean, population std and constant flag per column.
 
     Two passes over the (small) collapsed table: means first, then centred
     squares, so large hash values lose no precision. Constant columns are
-    detected by ``max = min`` and get scale 1.
+    detected by ``max = min`` and get scale 1. ``first`` is a row of
+    ``first_pass_metrics`` already computed (observed during the collapse write).
     """
     w = F.col(weight).cast("double")
-    first = vectors.agg(F.sum(w).alias("n"),
-                        *[F.sum(F.col(c) * w).alias(f"s_{c}") for c in cols],
-                        *[F.min(c).alias(f"lo_{c}") for c in cols],
-                        *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    if first is None:
+        first = vectors.agg(*first_pass_metrics(cols, weight)).first()
     n = first["n"] or 0.0
     means = {c: (first[f"s_{c}"] / n if n else 0.0) for c in cols}
     second = vectors.agg(*[F.sum(w * (F.col(c) - F.lit(means[c])) ** 2).alias(f"v_{c}")
@@ -106,37 +123,7 @@ def scale_stats(vectors: DataFrame, cols: list[str] = FEATURES, weight: str = "w
         var = (second[f"v_{c}"] or 0.0) / n if n else 0.0
         stats.append({"col": c, "mean": means[c], "std": math.sqrt(var), "constant": const,
                       "scale": 1.0 if const else math.sqrt(var), "lo": first[f"lo_{c}"],
-                      "hi": first[f"hi_{c}"], "distinct": None})
-    return stats
-
-
-def stat_metrics(cols: list[str] = FEATURES) -> list[Column]:
-    """AGG-1 as one aggregation over the uncollapsed rows, for ``DataFrame.observe``.
-
-    Count, mean, population std (Spark's central-moment aggregate merges
-    partial moments stably), min/max for the constant guard, and an approximate
-    distinct count that only steers the choice of grid axes. Observed while
-    the collapse is written, so standardisation costs no job of its own.
-    """
-    return [F.count(F.lit(1)).alias("n"),
-            *[F.avg(c).alias(f"m_{c}") for c in cols],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
-            *[F.min(c).alias(f"lo_{c}") for c in cols],
-            *[F.max(c).alias(f"hi_{c}") for c in cols],
-            *[F.approx_count_distinct(c).alias(f"d_{c}") for c in cols]]
-
-
-def stats_from_metrics(row, cols: list[str] = FEATURES) -> list[dict]:
-    """The ``scale_stats`` rows from one row of ``stat_metrics``."""
-    n = row["n"] or 0
-    stats = []
-    for c in cols:
-        lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
-        const = n == 0 or lo is None or lo == hi
-        std = row[f"s_{c}"] or 0.0
-        stats.append({"col": c, "mean": row[f"m_{c}"] or 0.0, "std": std, "constant": const,
-                      "scale": 1.0 if const else std, "lo": lo, "hi": hi,
-                      "distinct": row[f"d_{c}"]})
+                      "hi": first[f"hi_{c}"], "distinct": first[f"d_{c}"]})
     return stats
 
 
