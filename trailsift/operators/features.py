@@ -135,6 +135,6 @@ def scaled_columns(stats: list[dict], out: list[str] = SCALED) -> list[Column]:
             cols.append(F.lit(0.0).alias(name))
         else:
             mean, scale = float(s["mean"]), float(s["scale"])
-            cols.append(F.expr(f"({s['col']} - CAST('{mean!r}' AS DOUBLE)) / "
+            cols.append(F.expr(f"(`{s['col']}` - CAST('{mean!r}' AS DOUBLE)) / "
                                f"CAST('{scale!r}' AS DOUBLE)").alias(name))
     return cols
