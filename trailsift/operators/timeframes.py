@@ -16,7 +16,8 @@ Plan, with no dense minute spine and no one-partition window over events:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,8 +107,18 @@ def islands(density: DataFrame, threshold: float, last_minute: Column) -> DataFr
 def detect_timeframes(events: DataFrame, flag: str | Column | None, window_minutes: int = 60,
                       density_threshold: float = 0.10, time_col: str = "eventTime") -> DataFrame:
     """ML-5: (tf_start, tf_end, confidence) for the events' suspicious ``flag``."""
-    minutes = materialize(minute_counts(events, flag, time_col))
-    last = last_minute_literal(minutes)
+    # The last minute is observed while the minute series is written (after its
+    # aggregation, so once per partition); no separate job reads it back.
+    obs = Observation()
+    counts = minute_counts(events, flag, time_col)
+    minutes = materialize(counts.observe(obs, F.max("minute").cast("string").alias("last")))
+    try:
+        text = obs.get["last"]
+        last = None if text is None else F.lit(text).cast(
+            minutes.schema["minute"].dataType.simpleString())
+    except Py4JError:
+        # No metrics when the optimiser proved the input empty and dropped the scan.
+        last = last_minute_literal(minutes)
     if last is None:
         return minutes.select(F.col("minute").alias("tf_start"), F.col("minute").alias("tf_end"),
                               F.lit(0.0).alias("confidence")).limit(0)
