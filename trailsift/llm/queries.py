@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailsift.llm import minhash, packing
+from pyspark.sql import functions as F
+
+from trailsift.llm import minhash, mixing, packing, quality
 from trailsift.llm.common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +59,48 @@ LEFT JOIN sets s ON s.g = q.g LEFT JOIN comps c ON c.node = s.node
 """
 
 
+@query
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    planned = mixing.plan_mix(docs)
+    taken = F.aggregate("mix.taken", F.lit(0).cast("long"), lambda a, x: a + x)
+    return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
+
+
+SQL["op3_curriculum_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+src AS (
+  SELECT source, sum(size)::DOUBLE AS s, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+  FROM sized GROUP BY source),
+shares AS (
+  SELECT *, sum(s) OVER () AS total, sum(w) OVER () AS all_w,
+    (sum(s) OVER () - coalesce(sum(3 * s) OVER lower, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER lower, 0)) AS share
+  FROM src WINDOW lower AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rest AS (
+  SELECT *, 3 * s / w < share AS capped,
+    total - sum(CASE WHEN 3 * s / w < share THEN 3 * s ELSE 0 END) OVER () AS left_over,
+    all_w - sum(CASE WHEN 3 * s / w < share THEN w ELSE 0 END) OVER () AS free FROM shares),
+goal AS (SELECT source, s, CASE WHEN capped OR free <= 0 THEN 3 * s ELSE least(3 * s, w * left_over / free) END AS target
+  FROM rest),
+placed AS (
+  SELECT z.doc_id, z.size, g.s, g.target, floor(g.target + 0.5) AS quota,
+    coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY z.k, z.doc_id NULLS FIRST, z.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized z JOIN goal g ON z.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, s::BIGINT AS source_size, target,
+  (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - s - start))
+   + greatest(0, least(size, quota - 2 * s - start)))::BIGINT AS taken
+FROM placed
+"""
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe(), 2048)
+
+
+@query
+def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
