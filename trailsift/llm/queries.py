@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from trailsift.llm import minhash, mixing, packing, quality
-from trailsift.llm.common import prepare, read_table
+from trailsift.llm import language_id, minhash, mixing, packing, quality
+from trailsift.llm.common import fold, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,15 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(fold(F.col("doc_id")) != 0), "text", "lang", F.xxhash64("doc_id"))
+    found = language_id.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
 @query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
