@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from trailsift.llm import language_id, minhash, mixing, packing, quality
+from trailsift.llm import language_id, lm_score, minhash, mixing, packing, quality
 from trailsift.llm.common import fold, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe(), 2048)
 
 
+@query
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"))
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"), byte_bpe(), part == 1, part != 1)
+
+
 @query
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
