@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from trailsift.llm.common import row_blocks, string_bytes
@@ -229,7 +230,7 @@ def _labeller(model: bytes):
         network = pickle.loads(model)
         names = np.array(network.languages, object)
         for batch in batches:
-            data, offsets = string_bytes(batch.column("text"))
+            data, offsets = string_bytes(batch.column("__text"))
             for a, b in row_blocks(offsets, 1 << 20):
                 scores = _document_scores(network, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 best = scores.argmax(axis=1)
@@ -242,13 +243,14 @@ def _labeller(model: bytes):
 
 
 def identify(docs: DataFrame, model: bytes | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` with ``lang_pred`` and ``score``, for every row of ``docs``."""
+    """Columns ``keep`` (none named lang_pred or score) with ``lang_pred`` and ``score``, for every row."""
     lettered = F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
-    slim = docs.select(*keep, F.coalesce(lettered, F.lit(False)).alias("lettered"),
-                       F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(*keep, F.coalesce(lettered, F.lit(False)).alias("__lettered"),
+                       F.col(text_col).cast("string").alias("__text"))
     if model is None or pickle.loads(model) is None:
-        return slim.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).drop("lettered")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("text").schema.fields)
-    found = slim.mapInArrow(_labeller(model), f"{fields}, lang_pred string, score double")
-    return found.withColumns({"lang_pred": F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN),
-                              "score": F.when(F.col("lettered"), F.col("score")).otherwise(0.0)}).drop("lettered")
+        return slim.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = StructType([*slim.drop("__text").schema.fields, StructField("lang_pred", StringType()),
+                         StructField("score", DoubleType())])
+    found = slim.mapInArrow(_labeller(model), schema)
+    return found.select(*keep, F.when(F.col("__lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+                        F.when(F.col("__lettered"), F.col("score")).otherwise(0.0).alias("score"))

@@ -74,9 +74,14 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.col("twice"), _sum_of(covered)).otherwise(F.lit(0).cast("long")))
 
 
-def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, base measures, chars, common): histograms as shares, one pass over the texts."""
+def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang, base measures, chars, common): histograms as shares, one pass over the texts.
+
+    ``carry`` names further columns to keep, as one struct ``carried``.
+    """
     kept = [F.col(id_col).alias("id"), F.col(lang_col).alias("lang")]
+    if carry:
+        kept.append(F.struct(*carry).alias("carried"))
     df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = df.withColumn("words", F.array_remove(F.split("text", _SPACE), ""))
     # What is neither small letter nor white space: a few hundredths of ordinary text.
@@ -105,7 +110,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     df = df.withColumn("found", F.concat("found", F.array(
         F.col("n_words") - F.aggregate("found", F.lit(0.0), lambda a, x: a + x))))
     share = lambda a, n: F.transform(a, lambda x: x / F.greatest(n, F.lit(1)))
-    return df.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return df.select("id", "lang", *(["carried"] if carry else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                      share(F.array(*[c.cast("double") for c in classes]), F.col("n_chars")).alias("chars"),
                      share("found", F.col("n_words")).alias("common"))
 
@@ -144,10 +149,11 @@ def _distances(known: list[tuple[list[float], list[float]]]) -> dict[str, Column
     return {"char_distance": _nearest("chars", tables[0]), "word_distance": _nearest("common", tables[1])}
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, base measures, char_distance, word_distance, base_failed, kept): one row per document."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, [carried,] base measures, char_distance, word_distance, base_failed, kept): one row per document."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = materialize(measures(docs, id_col, text_col, lang_col).withColumn("base_failed", failed), "quality")
+    measured = materialize(measures(docs, id_col, text_col, lang_col, carry).withColumn("base_failed", failed), "quality")
     # Once with all documents, then without those far from every first reference, so that
     # junk does not colour what it is compared with.
     near = (F.col("char_distance") <= TRIM_CHAR_DISTANCE) & (F.col("word_distance") <= TRIM_WORD_DISTANCE)
@@ -157,5 +163,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         (F.col("n_words") < MIN_COMMON_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE)) & ~(
         (F.col("char_distance") > BOTH_CHAR_DISTANCE) & (F.col("word_distance") > BOTH_WORD_DISTANCE))
     return measured.withColumns(_distances(known)).select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("id").alias(id_col), *(["carried"] if carry else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "char_distance", "word_distance", "base_failed", (~F.col("base_failed") & fine).alias("kept"))
