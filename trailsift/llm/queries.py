@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from trailsift.llm import language_id, lm_score, minhash, mixing, packing, quality
+from trailsift.llm import language_id, lm_score, minhash, mixing, packing, quality, vector_links
 from trailsift.llm.common import fold, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,29 @@ FROM placed
 """
 
 
+@query
+def op7_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+SQL["op7_vector_links"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+comps AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT m.vec_id, coalesce(d.n, 0) AS n_links, c.root AS component_id, m.vec_id = c.root AS kept
+FROM embeddings m JOIN comps c ON c.x = m.vec_id LEFT JOIN degree d ON d.x = m.vec_id
+"""
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe(), 2048)
