@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from trailsift.llm import language_id, lm_score, minhash, mixing, packing, quality, vector_links
+from trailsift.llm import (language_id, licenses, lm_score, minhash, mixing, packing, quality, url_filter,
+                           vector_links, wrappers)
 from trailsift.llm.common import fold, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +106,25 @@ FROM placed
 """
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
