@@ -22,31 +22,34 @@ like any other. An empty table gives an empty table. Memory: one document's ids
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailsift.llm.common import materialize
 
-#: Splits text as the byte-level BPE does before it merges.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts that stay below this code point are split here, all others by the tokenizer itself.
-_PLAIN = regex.compile("[^\x00-\x1b\x20-ſ]")
-#: Pieces of text a Python worker remembers.
-REMEMBERED = 300_000
+#: Letters of the texts that are split here: ASCII, Latin-1 and Latin Extended-A.
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+#: Splits such a text as the byte-level BPE does before it merges.
+_PIECES = re.compile(
+    rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: A text with any other character goes to the tokenizer whole (²³¹¼½¾ count as numbers there).
+_OTHER = re.compile("[^\x00-\x1b\x20-±´-¸º»¿-ſ]")
+#: Pieces of text a Python worker remembers: two generations of this many.
+REMEMBERED = 200_000
 
 
 class Encoder:
     """ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    Word pieces repeat, so their ids are remembered (a bounded number of them); pieces not
-    yet seen go to the tokenizer, many at once.
+    Word pieces repeat, so their ids are remembered (a bounded number of them, the least
+    recently used ones go first); pieces not yet seen go to the tokenizer, many at once.
     """
 
     def __init__(self, path: str):
@@ -54,30 +57,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            plain = not _PLAIN.search(text) and not any(s in text for s in self.special)
-            split.append(_PIECES.findall(text) if plain else None)
-        known = self.known
-        new = list({p for pieces in split if pieces for p in pieces if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({p for pieces in split if pieces for p in pieces})
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for piece in pieces:
+            code = older.get(piece)
+            if code is None:
+                new.append(piece)
+            else:
+                known[piece] = code
         for start in range(0, len(new), 10_000):
             part = new[start:start + 10_000]
             for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = np.array(code.ids, "<u4").tobytes()
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
-                                    "<u4").tobytes())
-            else:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers."""
+        split: list[list[str] | None] = []
+        codes: list = []
+        get = self.known.get
+        missing: set[str] = set()
+        late = []
+        for i, text in enumerate(texts):
+            if _OTHER.search(text) or any(s in text for s in self.special):
+                codes.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                split.append(None)
+                continue
+            pieces = _PIECES.findall(text)
+            found = list(map(get, pieces))
+            try:
+                codes.append(b"".join(found))
+                split.append(None)
+            except TypeError:  # some piece is not known yet
+                missing.update(p for p, code in zip(pieces, found) if code is None)
+                codes.append(None)
+                split.append(pieces)
+                late.append(i)
+        if late:
+            # Known pieces may move to the older generation meanwhile, so all of these texts' pieces are asked for.
+            if len(self.known) + len(missing) > REMEMBERED:
+                missing = {p for i in late for p in split[i]}
+            self._learn(missing)
+            known = self.known
+            for i in late:
+                codes[i] = b"".join(map(known.__getitem__, split[i]))
+        return codes
 
 
 _encoders: dict[str, Encoder] = {}
