@@ -85,8 +85,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """``docs`` with struct ``mix``: size, source_size, target, rank, offset, taken (array by pass).
 
     The size of a text is counted once here; columns of ``docs`` other than the three named
-    pass through.
+    pass through, but for columns named as the new ones, which give way.
     """
+    docs = docs.drop("mix", "mix_pass", "mix_taken", "mix_time")
     key = _source_key(F.col(source_col))
     ident = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = docs.select("*", F.struct(key.alias("key"), word_count(F.col(text_col)).alias("size"),
