@@ -8,12 +8,12 @@ sketch value. Empty bins borrow from a bin chosen by a hash of (bin, attempt) (o
 densification), so two documents that share a set agree on all bins. Bands of
 ``ROWS`` bins make bucket keys.
 
-Candidates are stars: each bucket links its members to a few centres, never to each
-other, and each edge is confirmed on both full sets. A bucket is settled when all its
-members lie in one component. Buckets that are not get eight times as many centres
-in the next round, among members of different components only, until every pair that
-shares a bucket is either confirmed, refused or in one component. No bucket is capped
-and no pair of a bucket is dropped.
+Candidates are stars: each bucket links its members to one centre, never to each other,
+and each edge is confirmed on both full sets. A bucket is settled when all its members lie
+in one component. In the buckets that are not, members of different components are
+compared by their smallest fingerprints, in pieces of bounded size, and only pairs that
+may be links leave the bucket, to be confirmed on full sets too. No bucket is capped and
+no pair of a bucket is dropped.
 
 Documents with equal sets are one node, so thousands of exact copies cost one edge each.
 A pair of Jaccard similarity 0.8 shares no bucket with probability below 3e-6
@@ -43,6 +43,11 @@ from trailsift.operators.components import connected_components
 BINS, ROWS, BANDS = 256, 6, 42
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
+#: Smallest fingerprints of a set that stand for it where a bucket's members are compared;
+#: sets of at most so many are compared exactly, larger ones must reach MARGIN less.
+LOW, MARGIN = 256, 18
+#: Members of a bucket that are compared in one piece; larger buckets are split into pairs of pieces.
+CHUNK = 1024
 #: More candidate ids than this are joined by shuffle instead of broadcast (16 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -178,8 +183,9 @@ def _full_sets(size: int):
     def run(batches):
         for rows, sets in _sets(batches, size):
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "shingles"])
+                [rows.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([(s[:LOW] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())],
+                names=["id", "shingles", "low"])
     return run
 
 
@@ -201,6 +207,86 @@ def _confirm(percent: int):
     return run
 
 
+class _Bucket:
+    """Members of one bucket (or of two of its pieces) of which pairs are compared."""
+
+    def __init__(self, own, node, n, comp, low):
+        self.own, self.node, self.n, self.comp = own, node, n, comp.copy()
+        values = [np.frombuffer(x, "<u4") for x in low]
+        self.starts = np.cumsum([0, *map(len, values)])
+        self.values = np.concatenate(values)
+        # Up to here a member's fingerprints are all known.
+        self.until = np.array([v[-1] if k > len(v) else 0xFFFFFFFF for v, k in zip(values, n)], np.uint32)
+
+    def similar(self, c: int, rest: np.ndarray, percent: int) -> np.ndarray:
+        """Which of ``rest`` may reach ``percent`` with member c, judged by the fingerprints both know."""
+        mine = self.values[self.starts[c]:self.starts[c + 1]]
+        sizes = self.starts[rest + 1] - self.starts[rest]
+        begin = np.cumsum(sizes) - sizes
+        theirs = self.values[np.repeat(self.starts[rest] - begin, sizes) + np.arange(sizes.sum())]
+        inside = theirs <= self.until[c]
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == theirs) & inside, begin, dtype=np.int64)
+        known_theirs = np.add.reduceat(inside, begin, dtype=np.int64)
+        known_mine = np.searchsorted(mine, self.until[rest], side="right")
+        whole = (self.until[rest] == 0xFFFFFFFF) & (self.until[c] == 0xFFFFFFFF)
+        need = np.where(whole, percent, percent - MARGIN)
+        return 100 * both >= need * (known_mine + known_theirs - both)
+
+    def pairs(self, percent: int):
+        """Pairs of different components that may be links."""
+        across = len(np.unique(self.own)) > 1
+        for c in range(len(self.node) - 1):
+            rest = np.arange(c + 1, len(self.node))
+            ok = (self.comp[rest] != self.comp[c]) & (
+                100 * np.minimum(self.n[rest], self.n[c]) >= percent * np.maximum(self.n[rest], self.n[c]))
+            if across:
+                ok &= self.own[rest] != self.own[c]
+            rest = rest[ok]
+            if len(rest):
+                for other in rest[self.similar(c, rest, percent)]:
+                    yield self.node[c], self.node[other]
+
+
+def _open_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            column = {c: rows.column(c).to_numpy() for c in ("band", "i", "j", "own", "node", "n", "comp")}
+            low = rows.column("low").to_pylist()
+            key = np.stack([column["band"], column["i"], column["j"]])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            out = []
+            for a, b in zip([0, *cut], [*cut, rows.num_rows]):
+                if b - a > 1:
+                    out.extend(_Bucket(*(column[c][a:b] for c in ("own", "node", "n", "comp")),
+                                       low[a:b]).pairs(percent))
+            x, y = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).astype(np.int64)),
+                                               pa.array(np.maximum(x, y).astype(np.int64))], names=["x", "y"])
+
+        for batch in batches:  # a bucket may go on in the next batch
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in ("band", "i", "j")]
+            last = np.ones(batch.num_rows, bool)
+            for k in key:
+                last &= k == k[-1]
+            begin = int(np.flatnonzero(~last)[-1]) + 1 if (~last).any() else 0
+            if begin == 0 and waiting and any(waiting[-1].column(c)[0].as_py() != batch.column(c)[0].as_py()
+                                              for c in ("band", "i", "j")):
+                yield found(pa.Table.from_batches(waiting))
+                waiting = []
+            elif begin:
+                yield found(pa.Table.from_batches([*waiting, batch.slice(0, begin)]))
+                waiting = []
+            waiting.append(batch.slice(begin))
+        if waiting:
+            yield found(pa.Table.from_batches(waiting))
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per input row.
@@ -227,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(
-        _full_sets(shingle), "id long, shingles binary"), "minhash-sets")
+        _full_sets(shingle), "id long, shingles binary, low binary"), "minhash-sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("left_set"))
@@ -242,33 +328,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("node").alias("x"), F.col("centre").alias("y")).distinct()
     roots = materialize(connected_components(
         confirmed(stars).unionByName(_repeated_ids(meta, nodes))), "minhash-roots")
-    centres = 1
-    while True:
-        placed = members.filter(F.col("size") > max(centres, 2)).join(
-            roots.withColumnRenamed("root", "comp"), "node", "left").withColumn(
-            "comp", F.coalesce("comp", "node"))
-        split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
-            F.col("lo") != F.col("hi")).select("band")
-        # u: a member's fixed place in [0, 1). The centres of a round are the members between
-        # the last round's bound and this one's; those below the old bound were centres already.
-        u = F.xxhash64("node", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-        low = F.lit(0.0) if centres == 1 else F.lit(float(centres)) / F.col("size")
-        untried = placed.filter(u >= low) if centres > 1 else placed.filter(F.col("node") != F.col("centre"))
-        untried = materialize(untried.join(split, "band", "left_semi").select(
-            "band", "node", "n", "comp", (u < F.lit(centres * 8.0) / F.col("size")).alias("is_centre")),
-            "minhash-open")
-        if untried.isEmpty():
-            break
-        chosen = untried.filter("is_centre").select(
-            "band", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("comp").alias("c_comp"))
-        pairs = untried.join(chosen, "band").filter(
-            (F.col("comp") != F.col("c_comp")) & comparable("n", "c_n")).select(
-            F.least("node", "c").alias("x"), F.greatest("node", "c").alias("y")).distinct()
-        found = materialize(confirmed(pairs), "minhash-links")
-        centres *= 8
-        if not found.isEmpty():
-            roots = materialize(connected_components(found.unionByName(
-                roots.select(F.col("node").alias("x"), F.col("root").alias("y")))), "minhash-roots")
+    # Buckets whose members still lie in several components: every pair between different
+    # components that the stars did not try, compared inside the bucket.
+    placed = members.filter("size > 2").filter(F.col("node") != F.col("centre")).join(
+        roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
+        F.col("lo") != F.col("hi")).select("band")
+    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
+    untried = (placed.join(split, "band", "left_semi")
+               .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int"))
+               # A row meets every chunk of its bucket once: as (own, other) with the smaller first.
+               .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+               .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       "own", "node", "n", "comp")
+               .join(sets.select(F.col("id").alias("node"), "low"), "node"))
+    pairs = materialize(untried.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+                        .mapInArrow(_open_pairs(percent), "x long, y long").distinct(), "minhash-open")
+    if not pairs.isEmpty():
+        roots = materialize(connected_components(confirmed(pairs).unionByName(
+            roots.select(F.col("node").alias("x"), F.col("root").alias("y")))), "minhash-roots")
     per_set = nodes.select("set_key", "node").join(roots, "node", "left").select(
         "set_key", F.coalesce("root", "node").alias("component_id"))
     return (meta.select("id", "n_shingles", "set_key").join(per_set, "set_key", "left")
