@@ -102,3 +102,39 @@ def test_dense_index_is_global_rank(spark):
     df = spark.createDataFrame([(int(k),) for k in keys], "k LONG")
     got = {r.k: r.idx for r in dense_index(df, ["k"], "idx", partitions=6).collect()}
     assert got == {k: k for k in range(500)}
+
+
+def _candidates(spark, cells, reach):
+    from trailsift.operators.dbscan import candidate_pairs
+    d = len(cells[0])
+    gcols = [f"g{i:02d}" for i in range(d)]
+    units = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(cells)],
+                                  "uid long, " + ", ".join(f"{g} long" for g in gcols))
+    rows = candidate_pairs(units, gcols, reach).select("a.uid", "b.uid").collect()
+    found = [tuple(r) for r in rows]
+    assert len(found) == len(set(found))
+    diff = np.abs(cells[:, None, :] - cells[None, :, :]).max(axis=2)
+    near = {(i, j) for i, j in zip(*np.nonzero(diff <= reach))}
+    assert near <= set(found)
+    return found, near
+
+
+def test_candidates_of_spread_cells_are_few(spark):
+    rng = np.random.default_rng(5)
+    spread = rng.integers(-300, 300, (1500, 4))
+    narrow = rng.integers(0, 6, (1500, 9))
+    found, near = _candidates(spark, np.concatenate([spread, narrow], axis=1), 4)
+    assert len(found) <= 3 * len(near) + 1500
+
+
+def test_gaps_separate_groups_without_replication(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 2, (200, 5)) * 40
+    found, near = _candidates(spark, centres + rng.integers(0, 4, (200, 5)), 4)
+    assert set(found) == near          # one coarse cell a segment: exactly the members of a group
+
+
+def test_all_axes_narrow(spark):
+    rng = np.random.default_rng(7)
+    found, near = _candidates(spark, rng.integers(0, 3, (40, 13)), 4)
+    assert len(found) == len(near) == 1600

@@ -39,6 +39,11 @@ def test_bad_bound_drops_whole_filter(events, bad):
     assert ids(filter_by_time(events, "2020-09-25T12:01:00Z", bad)) == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("start", ["2020/09/25 12:02", "25 Sep 2020 12:02", "Sep 25, 2020 12:02:00", "2020-9-25 12:02"])
+def test_other_forms_of_bounds(events, start):
+    assert ids(filter_by_time(events, start, None)) == [3, 5]
+
+
 @pytest.mark.parametrize("empty", ["", None])
 def test_empty_bounds_mean_no_filter(events, empty):
     assert ids(filter_by_time(events, empty, empty)) == [1, 2, 3, 4, 5]

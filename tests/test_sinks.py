@@ -8,7 +8,8 @@ import pytest
 
 from trailsift.plans.pipeline import detect
 from trailsift.sources.adapter import audit_events
-from trailsift.sources.sinks import write_section
+from trailsift.functions.scalars import iso_time
+from trailsift.sources.sinks import timeframes_json_lines, write_section
 
 
 @pytest.fixture(scope="module")
@@ -43,8 +44,27 @@ def test_json_sections(spark, detection):
     first = tfs[0]
     assert isinstance(first["start"], str) and isinstance(first["confidence"], float)
     assert all(len(i) == 4 for t in tfs for i in t["identities"])
-    ids = [json.loads(x) for x in _lines(os.path.join(base, "tf_identities"))]
-    assert len(ids) == sum(t["n_identities"] for t in tfs)
+    assert all(len(t["identities"]) == t["n_identities"] for t in tfs)
+
+
+def test_long_identity_lists_go_on_in_parts(spark, detection):
+    lines = [json.loads(r.json) for r in timeframes_json_lines(
+        detection.timeframes, detection.apis, detection.identities, per_line=4).collect()]
+    whole = {}
+    for line in sorted(lines, key=lambda x: (x["start"], x["part"])):
+        assert len(line["identities"]) <= 4 and (line["part"] == 0 or not line["example_apis"])
+        whole.setdefault(line["start"], []).extend(map(tuple, line["identities"]))
+    want = {}
+    for r in detection.identities.orderBy("tf_start", "ord").collect():
+        want.setdefault(r.tf_start.strftime("%Y-%m-%dT%H:%M:%S"), []).append((r.ip, r.iam, r.user_agent, r.os))
+    assert {k: v for k, v in whole.items() if v} == want
+    assert max(x["part"] for x in lines) > 0
+
+
+def test_zoned_times_show_their_offset(spark):
+    row = spark.sql("SELECT timestamp '2024-01-02 03:04:00' AS t").select(
+        iso_time("t", zoned=True).alias("a"), iso_time("t").alias("b")).first()
+    assert (row.a, row.b) == ("2024-01-02T03:04:00+00:00", "2024-01-02T03:04:00")
 
 
 def test_csv_and_unknown(spark, detection):

@@ -103,5 +103,5 @@ def test_interval_join_and_identities(spark):
 def test_first_identities_skewed_timeframe(spark):
     df = spark.range(0, 5000).select(F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
                                      .alias("tf_start"), F.col("id").alias("ord"))
-    got = T.first_identities(df, 5, salt_buckets=16).orderBy("pos").collect()
+    got = T.first_identities(df, 5).orderBy("pos").collect()
     assert [r.ord for r in got] == [0, 1, 2, 3, 4]

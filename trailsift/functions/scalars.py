@@ -165,7 +165,7 @@ def strip_service(c: ColumnOrName) -> Column:
 
 def name_prefix(c: ColumnOrName) -> Column:
     """SCL-13: text before the first '.', or 'Other' when there is none."""
-    s = safe_str(c)
+    s = safe_str(c) if isinstance(c, str) else c
     return F.when(s.contains("."), F.substring_index(s, ".", 1)).otherwise(F.lit("Other"))
 
 
@@ -176,9 +176,9 @@ def strip_brackets(c: ColumnOrName) -> Column:
                   F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
 
 
-def iso_time(c: ColumnOrName) -> Column:
-    """SCL-15: ISO text as ``isoformat`` prints a whole-second timestamp."""
-    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss")
+def iso_time(c: ColumnOrName, zoned: bool = False) -> Column:
+    """SCL-15: ISO text as ``isoformat`` prints a whole-second timestamp; with its offset when ``zoned``."""
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss" + ("xxx" if zoned else ""))
 
 
 def utc_time(c: ColumnOrName) -> Column:

@@ -74,25 +74,18 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
                 partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order (keys unique).
 
-    Distributed: range-partition and sort, count rows per partition (one small
-    row per partition reaches the driver), then number rows inside each
-    partition plus the partition's offset. No single-partition window.
+    Distributed: range-partition and sort, count rows per partition, then number rows
+    inside each partition plus the partition's offset. Only the counts (one row per
+    partition) pass through a single task.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n, *order_cols)
                          .withColumn("__pid", F.spark_partition_id()))
-    counts = dict((r["__pid"], r["n"]) for r in
-                  ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    if not counts:
-        return ranged.drop("__pid").withColumn(name, F.lit(0).cast("long"))
-    # Offset of each partition = rows in the partitions before it; one literal per
-    # partition (bounded by the partition count), looked up by partition id.
-    offsets, total = [], 0
-    for pid in range(max(counts) + 1):
-        offsets.append(total)
-        total += counts.get(pid, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("__pid") + 1)
+    # Offset of each partition = rows in the partitions before it: one small row per partition.
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+               .select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
     w = Window.partitionBy("__pid").orderBy(*order_cols)
-    return (ranged.withColumn(name, F.row_number().over(w) - 1 + offset)
-            .drop("__pid"))
+    return (ranged.withColumn(name, F.row_number().over(w) - 1).join(offsets, "__pid")
+            .withColumn(name, F.col(name) + F.col("__before")).drop("__pid", "__before"))

@@ -7,16 +7,19 @@ lowest-numbered cluster that has a core point within ``eps``; clusters are
 numbered 0, 1, ... in scan order of their first core point, the scan order
 being the lexicographic order of (f12, f11, ..., f00); the rest is noise (-1).
 
-Plan (no all-pairs step, no per-row Python):
+Plan (no per-row Python):
 
 1. Collapse identical vectors (weight ``w``): copies never reach a join.
 2. Standardise with weighted mean / population std of the collapsed table.
 3. Sub-cells of side ``eps / sqrt(d)``: any two points of a sub-cell are
    neighbours, so a sub-cell of weight >= ``min_samples`` is all core and
    internally connected without emitting a single pair.
-4. Candidate sub-cell pairs: equi-join on a coarse grid over the few most
-   spread axes (one side exploded to the 3^k adjacent coarse cells), then an
-   exact integer filter on the gap between the two boxes over all d axes.
+4. Candidate sub-cell pairs: equi-join on the segments between gaps wider than
+   eps on all axes and on a coarse grid over the most spread ones (one side
+   exploded to the 3^k adjacent coarse cells), then an exact integer filter on
+   the gap between the two boxes over all d axes. Where no axis spans more than
+   a few eps and none has a gap, most sub-cells are candidates of each other:
+   in 13 dimensions no partition by single axes separates such data.
 5. Bounding boxes of the points in each sub-cell decide a (point, sub-cell) or
    (sub-cell, sub-cell) pair wholesale when the boxes are entirely within or
    beyond eps; only partly overlapping pairs go to vector pairs with the exact
@@ -86,37 +89,77 @@ def _dist2(a: str, b: str, zcols: list[str]) -> Column:
     return F.expr(_sum_sql([_sq(f"{a}.{z} - {b}.{z}") for z in zcols]))
 
 
-def _choose_axes(stats: list[dict], cell: float, max_axes: int) -> list[int]:
-    """Grid axes: the ones expected to spread the data over the most coarse cells.
+def _occupied(units: DataFrame, gcols: list[str]) -> list[list[int]]:
+    """The cell numbers that occur on each axis, sorted (one aggregation; their number is
+    bounded by the spread of a standardised axis, at most sqrt(rows) / cell side)."""
+    row = units.agg(*[F.collect_set(g).alias(g) for g in gcols]).first()
+    return [sorted(row[g]) for g in gcols]
 
-    Cells along an axis are at most its span in coarse cells and at most its
-    number of distinct values (both from the standardisation statistics). Only
-    the work balance depends on the choice; the join is exact for any axes.
+
+def _cuts(cells: list[int], reach: int, most: int = 1000) -> list[int]:
+    """First cell after each gap wider than ``reach``: no neighbours lie on two sides of one.
+
+    Beyond ``most`` cuts an even selection of them is kept; fewer cuts prune less, but are as exact.
+    """
+    cuts = [b for a, b in zip(cells, cells[1:]) if b - a > reach]
+    step = -(-len(cuts) // most) if cuts else 1
+    return cuts[::step]
+
+
+def candidate_pairs(units: DataFrame, gcols: list[str], reach: int, max_axes: int = 4) -> DataFrame:
+    """(a, b) rows of ``units`` (uid, gcols) that may lie within ``reach`` cells on every axis.
+
+    An equi-join on the segments between gaps of all axes, which replicates nothing, and on a
+    coarse grid of cells ``reach`` wide over the axes with the most of them (one side takes the
+    3^k adjacent cells). A filter on the boxes decides; only its work depends on the choice of axes.
     """
-    scored = []
-    for i, s in enumerate(stats):
-        if s["constant"] or s["lo"] is None:
-            continue
-        zlo, zhi = (s["lo"] - s["mean"]) / s["scale"], (s["hi"] - s["mean"]) / s["scale"]
-        cells = math.floor(zhi / cell) - math.floor(zlo / cell) + 1
-        if s.get("distinct"):
-            cells = min(cells, s["distinct"])
-        scored.append((cells, i))
-    ranked = sorted(scored, key=lambda t: (-t[0], t[1]))
-    return [i for cells, i in ranked if cells > 1][:max_axes]
+    occupied = _occupied(units, gcols)
+    keys = []
+    for g, cells in zip(gcols, occupied):
+        cuts = _cuts(cells, reach)
+        if cuts:
+            keys.append(_segment(g, cuts))
+    segments = [f"s{j}" for j in range(len(keys))] or ["s0"]
+    base = units.select("uid", *gcols, *[k.alias(n) for k, n in zip(keys or [F.lit(0)], segments)])
+    coarse = [len({c // reach for c in cells}) for cells in occupied]
+    axes = [i for n, i in sorted(((n, i) for i, n in enumerate(coarse)), key=lambda t: (-t[0], t[1])) if n > 1][:max_axes]
+    ccols = [f"c{j}" for j in range(len(axes))]
+    a = base.select("*", *[F.floor(F.col(gcols[i]) / reach).cast("long").alias(c) for i, c in zip(axes, ccols)])
+    b = a
+    if axes:
+        offsets = F.array(*[F.array(*[F.lit(o) for o in off])
+                            for off in itertools.product((-1, 0, 1), repeat=len(axes))])
+        b = a.withColumn("off", F.explode(offsets)).select(
+            "uid", *gcols, *segments, *[(F.col(c) + F.col("off")[j]).alias(c) for j, c in enumerate(ccols)])
+    a, b = a.alias("a"), b.alias("b")
+    return a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*segments, *ccols]], "inner")
+
+
+def _segment(g: str, cuts: list[int]) -> Column:
+    """How many cuts lie at or below a cell number."""
+    listed = ", ".join(f"{c}L" if c >= 0 else f"({c}L)" for c in cuts)
+    return F.expr(f"size(filter(array({listed}), c -> c <= {g}))")
 
 
 def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                    min_samples: int = DEFAULT_MIN_SAMPLES, cols: list[str] = FEATURES,
-                   max_grid_axes: int = 4, exact_counts: bool = False) -> DbscanResult:
+                   exact_counts: bool = False) -> DbscanResult:
     """Cluster the rows of ``features`` (columns ``cols``); one output row per distinct vector.
 
-    ``nbr_weight`` is exact for points of light sub-cells; points of heavy
-    sub-cells are core whatever their count, so their count is only computed
-    (cross-sub-cell pairs included) when ``exact_counts`` is set.
+    ``nbr_weight`` is the whole neighbour count of points of light sub-cells; points of heavy
+    sub-cells are core whatever their count, so theirs is null unless ``exact_counts`` is set.
     """
-    d = len(cols)
     cached: list[DataFrame] = []
+    try:
+        return _clustered(features, eps, min_samples, cols, exact_counts, cached)
+    finally:
+        for df in cached:
+            df.unpersist()
+
+
+def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str], exact_counts: bool,
+               cached: list[DataFrame]) -> DbscanResult:
+    d = len(cols)
     zcols = SCALED[:d] if d <= len(SCALED) else [f"z{i:02d}" for i in range(d)]
     gcols = [f"g{i:02d}" for i in range(d)]
 
@@ -137,7 +180,6 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
 
     delta = eps / math.sqrt(d) * (1 - 1e-9)       # sub-cell side: diameter < eps
     reach = int(math.floor(eps / delta)) + 1       # |cell index difference| of neighbours
-    width = reach + 1                              # coarse cell, in sub-cells
     gap_limit = d                                  # sum of squared box gaps (in cells) <= d
 
     scaled = vectors.select("vid", "w", *cols, *scaled_columns(stats, zcols))
@@ -155,20 +197,7 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                 .withColumn("skey", _scan_key(cols)), cached)
 
     # -- candidate pairs of distinct sub-cells ------------------------------------------
-    axes = _choose_axes(stats, delta * width, max_grid_axes)
-    ccols = [f"c{j}" for j in range(len(axes))]
-    coarse = units.select("uid", *gcols, *[F.floor(F.col(gcols[a]) / width).cast("long").alias(c)
-                                           for a, c in zip(axes, ccols)])
-    offsets = list(itertools.product((-1, 0, 1), repeat=len(axes)))
-    if axes:
-        off_arr = F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])
-        shifted = coarse.select("*", F.explode(off_arr).alias("off")).select(
-            "uid", *gcols, *[(F.col(c) + F.col("off")[j]).alias(c) for j, c in enumerate(ccols)])
-    else:
-        shifted = coarse
-    a, b = coarse.alias("a"), shifted.alias("b")
-    cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ccols] or None
-    joined = a.join(b, cond, "inner") if cond else a.join(b, how="inner")
+    joined = candidate_pairs(units, gcols, reach)
     gap = F.expr(_sum_sql([_sq(f"greatest(abs(a.{g} - b.{g}) - 1, 0)") for g in gcols]))
     unit_pairs = _keep(joined.filter((F.col("a.uid") != F.col("b.uid")) & (gap <= gap_limit))
                        .select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")), cached)
@@ -274,13 +303,10 @@ def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                 .withColumn("cluster", F.when(F.col("core"), F.col("own_cluster")).otherwise(
                     F.coalesce(F.least("own_cluster", "near_cluster"), F.lit(-1)))
                     .cast("int")))
+    if not exact_counts:  # a partial sum for heavy sub-cells: not a neighbour count
+        heavy = units.filter(F.col("unit_w") >= min_samples).select("uid", F.lit(True).alias("heavy"))
+        labelled = labelled.join(heavy, "uid", "left").withColumn(
+            "nbr_weight", F.when(F.col("heavy").isNull(), F.col("nbr_weight")))
     out = materialize(labelled.select(*cols, "w", *zcols, "nbr_weight", "core", "cluster"),
                       "dbscan-vectors")
-    for df in cached:
-        df.unpersist()
     return DbscanResult(vectors=out, stats=stats)
-
-
-def attach_labels(features: DataFrame, vectors: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
-    """JOIN-2 / PRJ-3: add ``cluster`` to every row by its feature vector."""
-    return features.join(vectors.select(*cols, "cluster"), cols, "inner")

@@ -1,10 +1,11 @@
-"""Row filters (FLT-1, FLT-2, FLT-3, FLT-6). All narrow, all pushed to the scan when they can be."""
+"""Row filters (FLT-1, FLT-2, FLT-3). All narrow, all pushed to the scan when they can be."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,16 +14,13 @@ from trailsift.functions.scalars import is_readonly, strip_service
 
 
 def parse_bound(text: str | None) -> dt.datetime | None:
-    """Parse an ISO-8601 bound to a naive UTC datetime; raise ValueError when it is not one."""
+    """Parse a bound, in any form that pandas reads, to a naive UTC datetime; raise ValueError otherwise."""
     if text is None:
         raise ValueError("no bound")
-    s = str(text).strip()
-    if s.endswith(("Z", "z")):
-        s = s[:-1] + "+00:00"
-    value = dt.datetime.fromisoformat(s)
-    if value.tzinfo is not None:
-        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return value
+    value = pd.to_datetime(str(text).strip(), utc=True)
+    if pd.isna(value):
+        raise ValueError(f"no time: {text!r}")
+    return value.to_pydatetime(warn=False).replace(tzinfo=None)
 
 
 def _bound_literal(value: dt.datetime, data_type: T.DataType) -> Column:
@@ -33,16 +31,17 @@ def _bound_literal(value: dt.datetime, data_type: T.DataType) -> Column:
 
 
 def filter_by_time(df: DataFrame, start_time: str | None = None, end_time: str | None = None,
-                   time_col: str = "eventTime") -> DataFrame:
+                   time_col: str = "eventTime", absent: Collection[str] = ()) -> DataFrame:
     """FLT-1: keep ``start <= eventTime <= end``.
 
     Empty/None bounds mean no bound. If either given bound does not parse, the
     whole filter is dropped (the input comes back unchanged). Zone-less bounds
-    are read as UTC. Null times fail any bound.
+    are read as UTC. Null times fail any bound. ``absent`` names the fields that no
+    record has (``Ingested.absent``); without any time nothing is filtered.
     """
     if not start_time and not end_time:
         return df
-    if time_col not in df.columns:
+    if time_col not in df.columns or time_col in absent:
         return df
     try:
         start = parse_bound(start_time) if start_time else None
@@ -65,28 +64,29 @@ def filter_by_time(df: DataFrame, start_time: str | None = None, end_time: str |
     return df.filter(cond)
 
 
-def filter_by_services(df: DataFrame, services: Sequence[str | None] | None) -> DataFrame:
-    """FLT-2: keep events whose source minus '.amazonaws.com' is one of ``services`` (exact)."""
+def filter_by_services(df: DataFrame, services: Sequence[str | None] | None,
+                       absent: Collection[str] = ()) -> DataFrame:
+    """FLT-2: keep events whose source minus '.amazonaws.com' is one of ``services`` (exact).
+
+    A landed table's ``service`` column is tested as it stands, which the scan can push down.
+    """
     if not services:
         return df
-    if "eventSource" not in df.columns:
+    if "eventSource" not in df.columns or "eventSource" in absent:
         return df
     wanted = [s for s in services if s is not None]
     if not wanted:
         return df.filter(F.lit(False))
-    return df.filter(strip_service("eventSource").isin(*wanted))
+    service = F.col("service") if "service" in df.columns else strip_service("eventSource")
+    return df.filter(service.isin(*wanted))
 
 
-def filter_readonly(df: DataFrame, on_missing: str = "keep") -> DataFrame:
+def filter_readonly(df: DataFrame, on_missing: str = "keep", absent: Collection[str] = ()) -> DataFrame:
     """FLT-3: keep read-only events (boolean true or 'true','1','t','yes','y', any case).
 
-    Without a ``readOnly`` column every row is kept (``on_missing='keep'``).
+    Without a ``readOnly`` column, or where no record has the field (``absent``), every row is
+    kept (``on_missing='keep'``). A landed table's ``is_readonly`` is tested as it stands.
     """
-    if "readOnly" not in df.columns:
+    if "readOnly" not in df.columns or "readOnly" in absent:
         return df if on_missing == "keep" else df.filter(F.lit(False))
-    return df.filter(is_readonly("readOnly"))
-
-
-def drop_null_times(df: DataFrame, time_col: str = "eventTime") -> DataFrame:
-    """FLT-6."""
-    return df.filter(F.col(time_col).isNotNull())
+    return df.filter(F.col("is_readonly") if "is_readonly" in df.columns else is_readonly("readOnly"))

@@ -20,8 +20,8 @@ def cluster_profile(labelled: DataFrame) -> DataFrame:
     return (labelled.filter(F.col("cluster") != -1).groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
         F.avg(F.col("errorCode").isNotNull().cast("double")).alias("error_rate"),
-        F.array_sort(F.collect_set(S.safe_str("eventName"))).alias("event_names"),
-        F.count_distinct(S.safe_str("eventName")).alias("n_event_names")))
+        F.array_sort(F.collect_set(S.safe_str("eventName"))).alias("event_names"))
+            .withColumn("n_event_names", F.size("event_names").cast("long")))
 
 
 def cluster_totals(labelled: DataFrame) -> DataFrame:

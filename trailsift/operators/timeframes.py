@@ -183,25 +183,19 @@ def timeframe_apis(tf_events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_identities"))
 
 
-def first_identities(identities: DataFrame, k: int = 5, salt_buckets: int = 64) -> DataFrame:
+def first_identities(identities: DataFrame, k: int = 5) -> DataFrame:
     """TOP-3: the first ``k`` identities per timeframe by input order.
 
-    Two-level top-k so that one huge timeframe never lands in one task: a top-k
-    inside (timeframe, salt) groups first, then a top-k over at most
-    ``k * salt_buckets`` survivors per timeframe.
+    Spark keeps the first ``k`` of each timeframe in every task before the shuffle
+    (WindowGroupLimit), so one huge timeframe never lands in one task.
     """
-    salted = identities.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(salt_buckets)))
-    w1 = Window.partitionBy("tf_start", "salt").orderBy("ord")
-    partial = salted.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= k)
-    w2 = Window.partitionBy("tf_start").orderBy("ord")
-    return (partial.withColumn("pos", F.row_number().over(w2)).filter(F.col("pos") <= k)
-            .drop("salt", "r"))
+    w = Window.partitionBy("tf_start").orderBy("ord")
+    return identities.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
 def grouped_by_prefix(arr: Column) -> Column:
     """AGG-12 on an array of names: 'prefix: a, b | prefix2: c', prefixes in first-seen order."""
-    def prefix(x):
-        return F.when(x.contains("."), F.substring_index(x, ".", 1)).otherwise(F.lit("Other"))
+    prefix = S.name_prefix
     prefixes = F.array_distinct(F.transform(arr, prefix))
     parts = F.transform(prefixes, lambda p: F.concat(
         p, F.lit(": "), F.array_join(F.filter(arr, lambda x: prefix(x) == p), ", ")))
@@ -210,7 +204,11 @@ def grouped_by_prefix(arr: Column) -> Column:
 
 def timeframe_report(timeframes: DataFrame, tf_events: DataFrame, max_apis: int = 15,
                      max_identities: int = 5) -> DataFrame:
-    """SNK-6 (data part): one row per timeframe with display-ready fields."""
+    """SNK-6 (data part): one row per timeframe with display-ready fields.
+
+    ``timeframes`` is read several times: pass a written table. The ordinal is given to the bare
+    timeframes (three small columns), before any text is joined to them.
+    """
     apis = timeframe_apis(tf_events)
     firsts = first_identities(timeframe_identities(tf_events), max_identities)
     ident_text = firsts.select(
@@ -219,10 +217,10 @@ def timeframe_report(timeframes: DataFrame, tf_events: DataFrame, max_apis: int
     ident_agg = ident_text.groupBy("tf_start").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "txt"))),
                                  lambda s: s.getField("txt")), " || ").alias("identities_shown"))
-    ordinal = F.row_number().over(Window.orderBy("tf_start"))
-    rep = (timeframes.join(apis, "tf_start", "left").join(ident_agg, "tf_start", "left")
-           .select(
-               ordinal.alias("ordinal"), "tf_start", "tf_end",
+    numbered = timeframes.withColumn("ordinal", F.row_number().over(Window.orderBy("tf_start")))
+    return (numbered.join(apis, "tf_start", "left").join(ident_agg, "tf_start", "left")
+            .select(
+               "ordinal", "tf_start", "tf_end",
                S.utc_time("tf_start").alias("period_start"),
                S.utc_time("tf_end").alias("period_end"),
                ((F.unix_micros(F.col("tf_end").cast("timestamp"))
@@ -237,4 +235,3 @@ def timeframe_report(timeframes: DataFrame, tf_events: DataFrame, max_apis: int
                F.coalesce("n_identities", F.lit(0)).alias("n_identities"),
                F.greatest(F.coalesce("n_identities", F.lit(0)) - max_identities, F.lit(0))
                .alias("more_identities")))
-    return rep

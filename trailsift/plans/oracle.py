@@ -9,6 +9,7 @@ components. Tables ``events`` etc. are views registered by the caller.
 from __future__ import annotations
 
 from trailsift.functions.scalars import OS_RULES, READONLY_TRUE, SERVICE_SUFFIX
+from trailsift.operators.signatures import SIGNATURES
 from trailsift.sources.adapter import (CLICK_NAMES, ERROR_NAMES, REGIONS, USER_AGENTS,
                                        VIEW_NAMES)
 
@@ -212,6 +213,9 @@ def minutes_cte(source: str, flag: str, prefix: str, window: int, threshold: flo
 CTE.update(minutes_cte("ro", "errorCode IS NOT NULL", "e_", 60, 0.10))
 CTE.update(minutes_cte("flagged", "suspicious", "s_", 60, 0.10))
 CTE.update(minutes_cte("flagged", "suspicious", "f_", 5, 0.40))
+CTE["sigflag"] = (f"SELECT ro.*, eventName IN {_in(sorted({n for names in SIGNATURES.values() for n in names}))} "
+                  "AS suspicious FROM ro")
+CTE.update(minutes_cte("sigflag", "suspicious", "g_", 60, 0.10))
 CTE["tfev"] = """SELECT s_tf.tf_start, s_tf.tf_end, flagged.* FROM flagged JOIN s_tf
   ON flagged.eventTime >= s_tf.tf_start AND flagged.eventTime <= s_tf.tf_end WHERE flagged.suspicious"""
 CTE["tfid"] = (f"SELECT tf_start, event_id AS ord, coalesce(sourceIPAddress, '') AS ip, "
@@ -228,9 +232,9 @@ DEPS = {
     "cnum": ["comp"], "border": ["nb", "cnum", "core"], "vlab": ["zv", "cnt", "cnum", "border",
                                                                  "core"],
     "lab": ["feat", "vlab"], "prof": ["lab"], "top": ["prof"], "flagged": ["lab", "top"],
-    "tfev": ["flagged", "s_tf"], "tfid": ["tfev"], "tfapi": ["tfev"],
+    "sigflag": ["ro"], "tfev": ["flagged", "s_tf"], "tfid": ["tfev"], "tfapi": ["tfev"],
 }
-for _p, _src in (("e_", "ro"), ("s_", "flagged"), ("f_", "flagged")):
+for _p, _src in (("e_", "ro"), ("s_", "flagged"), ("f_", "flagged"), ("g_", "sigflag")):
     DEPS.update({f"{_p}min": [_src], f"{_p}spine": [f"{_p}min"],
                  f"{_p}dense": [f"{_p}spine", f"{_p}min"], f"{_p}roll": [f"{_p}dense"],
                  f"{_p}dens": [f"{_p}roll"], f"{_p}runs": [f"{_p}dens"],
@@ -285,6 +289,11 @@ SQL["json_missing_vs_null"] = with_ctes(
   CAST(CASE WHEN errorCode IS NULL THEN 1 ELSE (errorCode <> '')::INT END AS DOUBLE) AS error_flag_nan,
   CAST(CASE WHEN responseElements IS NULL THEN 3 ELSE {json_len('responseElements')} END AS DOUBLE)
     AS resp_len_nan FROM audit""", "audit")
+SQL["ingest_files"] = with_ctes(
+    """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN eventName END AS eventName,
+  CASE WHEN event_id % 2 = 0 AND event_id % 10 <> 0 THEN 2 ELSE 1 END::BIGINT AS n FROM audit""", "audit")
+SQL["bad_files"] = "SELECT 'no JSON object or list' AS reason, count(DISTINCT event_type) AS n FROM events"
+SQL["absent_fields"] = with_ctes("SELECT event_id, eventName FROM audit", "audit")
 SQL["time_range"] = with_ctes(
     f"SELECT event_id, eventTime, eventName FROM audit WHERE eventTime >= {TIME_START_SQL} "
     f"AND eventTime <= {TIME_END_SQL}", "audit")
@@ -380,8 +389,28 @@ SQL["timeframe_report"] = with_ctes(
       || ' / ' || os, ' || ' ORDER BY ord) AS shown
     FROM (SELECT * FROM tfid QUALIFY row_number() OVER (PARTITION BY tf_start ORDER BY ord) <= 5)
     GROUP BY tf_start) i USING (tf_start)""", "s_tf", "tfapi", "tfid")
-SQL["signature_match"] = None  # filled below (needs the signature list)
-SQL["signature_frequency"] = None
+SQL["clusters_json"] = with_ctes(
+    "SELECT cluster AS cluster_id, size, round(error_rate, 9) AS error_rate, " + _join("names")
+    + " AS event_names FROM prof", "prof")
+SQL["suspicious_json"] = with_ctes(
+    """SELECT (SELECT string_agg(cluster::VARCHAR, ',' ORDER BY rank) FROM top) AS suspicious_clusters,
+  count(*) FILTER (WHERE suspicious) AS suspicious_count, count(*) AS total_readonly FROM flagged""",
+    "flagged", "top")
+SQL["timeframes_json"] = with_ctes(
+    """SELECT strftime(t.tf_start, '%Y-%m-%dT%H:%M:%S') AS period_start,
+  strftime(t.tf_end, '%Y-%m-%dT%H:%M:%S') AS period_end, round(t.confidence, 9) AS confidence,
+  coalesce(i.part, 0) AS part, coalesce(i.shown, '') AS identities, coalesce(a.n_identities, 0) AS n_identities,
+  CASE WHEN coalesce(i.part, 0) = 0 THEN coalesce(""" + _join("a.apis") + """, '') ELSE '' END AS example_apis
+  FROM s_tf t LEFT JOIN tfapi a USING (tf_start)
+  LEFT JOIN (SELECT tf_start, row_number() OVER (PARTITION BY tf_start ORDER BY share) - 1 AS part, shown FROM (
+      SELECT tf_start, ord // 10000 AS share,
+        string_agg(ip || ' / ' || iam || ' / ' || user_agent || ' / ' || os, ' || ' ORDER BY ord) AS shown
+      FROM tfid GROUP BY ALL)) i USING (tf_start)""", "s_tf", "tfapi", "tfid")
+SQL["timeframes_csv"] = (
+    "SELECT ordinal, period_start, period_end, duration_seconds, confidence_pct, apis_shown, identities_shown, "
+    "n_identities FROM (" + SQL["timeframe_report"] + ")")
+SQL["timeframes_signature"] = with_ctes(
+    "SELECT tf_start, tf_end, round(confidence, 9) AS confidence FROM g_tf", "g_tf")
 SQL["distinct_apis_per_user"] = with_ctes(
     f"""SELECT cluster, count(*) AS n_users, round(avg(n_apis)::DOUBLE, 9) AS avg_distinct_apis FROM (
   SELECT cluster, {iam('userIdentity')} AS usr, count(DISTINCT coalesce(eventName, '')) AS n_apis
@@ -404,7 +433,6 @@ SQL["value_overlap"] = with_ctes(
 
 
 def _signature_values() -> str:
-    from trailsift.operators.signatures import SIGNATURES
     rows = ", ".join(f"({_q(n)}, {_q(c)})" for c, names in SIGNATURES.items() for n in names)
     return f"(VALUES {rows}) AS sig(eventName, category)"
 

@@ -8,6 +8,7 @@ caller decides what to write.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from trailsift.operators import timeframes as T
 from trailsift.operators.dbscan import DEFAULT_EPS, DEFAULT_MIN_SAMPLES, dbscan_vectors
 from trailsift.operators.features import FEATURES, encode
 from trailsift.operators.filters import filter_by_services, filter_by_time, filter_readonly
+from trailsift.operators.signatures import signature_table
 from trailsift.session import materialize
 
 # Columns the later steps read; the labelled table keeps only these.
@@ -28,6 +30,7 @@ LABELLED_COLUMNS = ["event_id", "eventTime", "eventName", "errorCode", "sourceIP
 @dataclass
 class Detection:
     readonly: DataFrame       # read-only events after the filters
+    # vectors, profile, totals and chosen are None with the signature approach
     vectors: DataFrame        # distinct feature vectors with weight, z, core, cluster
     labelled: DataFrame       # LABELLED_COLUMNS + cluster + rank + suspicious
     profile: DataFrame        # per cluster: size, error_rate, event_names, n_event_names
@@ -60,18 +63,39 @@ def detect(events: DataFrame, start_time: str | None = None, end_time: str | Non
            services: list[str] | None = None, eps: float = DEFAULT_EPS,
            min_samples: int = DEFAULT_MIN_SAMPLES, top_k: int = P.DEFAULT_TOP_K,
            window_minutes: int = 60, density_threshold: float = 0.10,
-           session_path: str = "$.sessionIssuer.type", missing_as: str = "null") -> Detection:
-    filtered = filter_by_services(filter_by_time(events, start_time, end_time), services)
-    readonly = filter_readonly(filtered)
-    labelled, vectors = label_events(readonly, eps, min_samples, session_path, missing_as)
-    prof = P.cluster_profile(labelled)
-    chosen = P.top_clusters(prof, top_k)
-    flagged = P.flag_suspicious(labelled, chosen)
-    timeframes = T.detect_timeframes(flagged, "suspicious", window_minutes, density_threshold)
+           session_path: str = "$.sessionIssuer.type", missing_as: str = "null",
+           absent: Collection[str] = (), approach: str = "clustering") -> Detection:
+    """The job over ``events``.
+
+    ``absent`` names the fields that no record has (``Ingested.absent``): filters on them keep
+    every row. ``approach``: "clustering" flags the events of the top clusters, "signature" the
+    events whose API is on the reconnaissance list; timeframes follow from either flag.
+    """
+    filtered = filter_by_services(filter_by_time(events, start_time, end_time, absent=absent), services, absent)
+    readonly = filter_readonly(filtered, absent=absent)
+    if approach == "signature":
+        listed = signature_table(events.sparkSession).select("eventName").distinct()
+        flagged = (readonly.select(*LABELLED_COLUMNS).join(
+            F.broadcast(listed.withColumn("suspicious", F.lit(True))), "eventName", "left")
+            .withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
+            .withColumns({"cluster": F.lit(None).cast("int"), "rank": F.lit(None).cast("int")}))
+        flagged = materialize(flagged, "flagged")
+        vectors = prof = totals = chosen = None
+    elif approach == "clustering":
+        labelled, vectors = label_events(readonly, eps, min_samples, session_path, missing_as)
+        prof = P.cluster_profile(labelled)
+        totals = P.cluster_totals(labelled)
+        chosen = P.top_clusters(prof, top_k)
+        flagged = P.flag_suspicious(labelled, chosen)
+    else:
+        raise ValueError(f"unknown approach {approach!r}")
+    # A few rows that every later step reads: written once, so that the island merge runs once.
+    timeframes = materialize(
+        T.detect_timeframes(flagged, "suspicious", window_minutes, density_threshold), "timeframes")
     tf_events = T.timeframe_events(timeframes, flagged.filter(F.col("suspicious")))
     return Detection(
         readonly=readonly, vectors=vectors, labelled=flagged, profile=prof,
-        totals=P.cluster_totals(labelled), chosen=chosen, summary=P.suspicious_summary(flagged),
+        totals=totals, chosen=chosen, summary=P.suspicious_summary(flagged),
         timeframes=timeframes, tf_events=tf_events,
         identities=T.timeframe_identities(tf_events),
         identities_distinct=T.timeframe_identities_distinct(tf_events),

@@ -8,6 +8,7 @@ joined text and doubles rounded so that two engines can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,11 @@ from trailsift.operators.dbscan import dbscan_vectors
 from trailsift.operators.features import (FEATURES, SCALED, encode, feature_columns,
                                          scaled_columns)
 from trailsift.plans.pipeline import detect, label_events
+from trailsift.session import materialize, table_path
 from trailsift.sources import envelopes as EV
 from trailsift.sources import sinks as SK
-from trailsift.sources.adapter import audit_events
+from trailsift.sources.adapter import audit_events, read_table
+from trailsift.sources.ingest import Ingested, read_audit_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,14 +73,59 @@ def q_json_missing_vs_null(spark, sf_dir):
     records = EV.records_from_envelopes(EV.envelopes_from_events(
         audit_events(spark, sf_dir), drop_null_keys=["errorCode", "responseElements"]))
     records = records.withColumn("event_id", _record_id())
-    feats_null = encode(records, keep=["event_id", "raw"], missing_as="null")
-    feats_nan = encode(records, keep=["event_id"], missing_as="nan")
     present = F.coalesce(F.array_contains(F.json_object_keys("raw"), "errorCode"), F.lit(False))
-    out = feats_null.select(
+    as_null, as_nan = feature_columns(missing_as="null"), feature_columns(missing_as="nan")
+    return records.select(
         "event_id", present.alias("error_key_present"),
-        F.col("f10").alias("error_flag_null"), F.col("f12").alias("resp_len_null"))
-    return out.join(feats_nan.select("event_id", F.col("f10").alias("error_flag_nan"),
-                                     F.col("f12").alias("resp_len_nan")), "event_id")
+        as_null[10].alias("error_flag_null"), as_null[12].alias("resp_len_null"),
+        as_nan[10].alias("error_flag_nan"), as_nan[12].alias("resp_len_nan"))
+
+
+def _log_folders(spark, sf_dir) -> tuple[str, str, str]:
+    """Envelopes of ``events`` as files in the shared folder: a folder of ``.json`` files with the even
+    events, a folder of texts with the odd ones as lists, and one of truncated texts, one for each
+    event type. Records of every tenth event have no ``eventName`` key."""
+    events = audit_events(spark, sf_dir).withColumn("eventName", F.when(F.col("event_id") % 10 != 0, F.col("eventName")))
+    base = table_path(spark, f"logs-{uuid.uuid4().hex}")
+
+    def wrapped(part):
+        return EV.envelopes_from_events(part, records_per_file=2000, drop_null_keys=["eventName"])
+
+    records = F.coalesce(F.from_json("value", "Records array<variant>")["Records"],
+                         F.from_json("value", "array<variant>")).alias("Records")
+    one_each = {"maxRecordsPerFile": "1"}
+    wrapped(events.filter("event_id % 2 = 0")).select(records).write.options(**one_each).json(f"{base}/dir")
+    wrapped(events.filter("event_id % 2 = 1")).select("value").write.options(**one_each).text(f"{base}/texts")
+    cut = read_table(spark, sf_dir, "events").select("event_type").distinct().select(
+        F.concat(F.lit('{"Records": [{"eventName": "'), "event_type").alias("value"))
+    cut.write.options(**one_each).text(f"{base}/broken")
+    return f"{base}/dir", f"{base}/texts", f"{base}/broken"
+
+
+def q_ingest_files(spark, sf_dir):
+    """SRC-1/2/3/5/6/7, TOP-5, SET-1: a directory, globs and overlapping arguments, read back."""
+    folder, texts, broken = _log_folders(spark, sf_dir)
+    got = read_audit_logs(spark, [folder, f"{texts}/*.txt", f"{folder}/part-*.json", f"{broken}/*.txt", f"{folder}/none"])
+    return got.events.groupBy(_record_id(), "eventName").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_bad_files(spark, sf_dir):
+    """SRC-5: files that hold no envelope, by reason."""
+    folder, _, broken = _log_folders(spark, sf_dir)
+    got = read_audit_logs(spark, [folder, f"{broken}/*.txt"])
+    return got.bad_files.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_absent_fields(spark, sf_dir):
+    """FLT-1/2/3 on records that never have the fields: every record is kept."""
+    bare = ["eventTime", "eventSource", "readOnly"]
+    events = audit_events(spark, sf_dir).withColumns(
+        {"eventTime": F.lit(None).cast("timestamp_ntz"), "eventSource": F.lit(None).cast("string"),
+         "readOnly": F.lit(None).cast("string")})
+    records = EV.records_from_envelopes(EV.envelopes_from_events(events, drop_null_keys=bare))
+    absent = Ingested(records, records, records).absent(*bare, "eventName")
+    kept = FL.filter_by_services(FL.filter_by_time(records, TIME_START, TIME_END, absent=absent), SERVICES, absent)
+    return FL.filter_readonly(kept, absent=absent).select(_record_id(), "eventName")
 
 
 # -- filters -----------------------------------------------------------------------------
@@ -157,7 +205,7 @@ def q_features_encoded(spark, sf_dir):
 def q_features_scaled(spark, sf_dir):
     from trailsift.operators.features import collapse, scale_stats
     feats = encode(_readonly(spark, sf_dir), keep=["event_id"])
-    stats = scale_stats(collapse(feats))
+    stats = scale_stats(materialize(collapse(feats), "collapsed"))
     return feats.select("event_id", *[_r(c).alias(z)
                                       for c, z in zip(scaled_columns(stats), SCALED)])
 
@@ -269,24 +317,45 @@ def q_timeframe_report(spark, sf_dir):
                            "n_identities", "more_identities")
 
 
-# -- sinks (text; checked on rows) -----------------------------------------------------------
+# -- sinks: the written text, parsed again -----------------------------------------------------
 def q_clusters_json(spark, sf_dir):
     labelled, _ = label_events(_readonly(spark, sf_dir))
-    return SK.clusters_json_lines(P.cluster_profile(labelled))
+    lines = SK.clusters_json_lines(P.cluster_profile(labelled))
+    rec = lines.select(F.from_json("json", "cluster_id int, size long, error_rate double, event_names array<string>")
+                       .alias("r"))
+    return rec.select("r.cluster_id", "r.size", _r("r.error_rate", 9).alias("error_rate"),
+                      _joined(F.col("r.event_names")).alias("event_names"))
 
 
 def q_suspicious_json(spark, sf_dir):
-    return SK.suspicious_json(detect(audit_events(spark, sf_dir)).summary)
+    lines = SK.suspicious_json(detect(audit_events(spark, sf_dir)).summary)
+    rec = lines.select(F.from_json(
+        "json", "suspicious_clusters array<int>, suspicious_count long, total_readonly long").alias("r"))
+    return rec.select(_joined(F.col("r.suspicious_clusters").cast("array<string>")).alias("suspicious_clusters"),
+                      "r.suspicious_count", "r.total_readonly")
 
 
 def q_timeframes_json(spark, sf_dir):
     d = detect(audit_events(spark, sf_dir))
-    return SK.timeframes_json_lines(d.timeframes, d.apis, d.identities)
+    lines = SK.timeframes_json_lines(d.timeframes, d.apis, d.identities)
+    rec = lines.select(F.from_json(
+        "json", "start string, end string, confidence double, part long, identities array<array<string>>, "
+                "n_identities long, example_apis array<string>").alias("r"))
+    tuples = F.transform("r.identities", lambda t: F.array_join(t, " / "))
+    return rec.select(F.col("r.start").alias("period_start"), F.col("r.end").alias("period_end"),
+                      _r("r.confidence", 9).alias("confidence"), "r.part", F.array_join(tuples, " || ").alias("identities"),
+                      "r.n_identities", _joined(F.col("r.example_apis")).alias("example_apis"))
 
 
 def q_timeframes_csv(spark, sf_dir):
-    d = detect(audit_events(spark, sf_dir))
-    return SK.timeframes_csv_rows(d.report)
+    rows = SK.timeframes_csv_rows(detect(audit_events(spark, sf_dir)).report)
+    return rows.withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def q_timeframes_signature(spark, sf_dir):
+    """DOC-1 as the first stage of the detection."""
+    d = detect(audit_events(spark, sf_dir), approach="signature")
+    return d.timeframes.select("tf_start", "tf_end", _r("confidence", 9).alias("confidence"))
 
 
 # -- signatures and per-user measures (documents of the reference) ---------------------------
@@ -315,6 +384,9 @@ QUERIES: dict[str, Query] = {
     "audit_events": q_audit_events,
     "envelope_records": q_envelope_records,
     "json_missing_vs_null": q_json_missing_vs_null,
+    "ingest_files": q_ingest_files,
+    "bad_files": q_bad_files,
+    "absent_fields": q_absent_fields,
     "time_range": q_time_range,
     "service_filter": q_service_filter,
     "readonly_filter": q_readonly_filter,
@@ -349,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "suspicious_json": q_suspicious_json,
     "timeframes_json": q_timeframes_json,
     "timeframes_csv": q_timeframes_csv,
+    "timeframes_signature": q_timeframes_signature,
     "signature_match": q_signature_match,
     "signature_frequency": q_signature_frequency,
     "distinct_apis_per_user": q_distinct_apis_per_user,

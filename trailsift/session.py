@@ -115,36 +115,3 @@ def table_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder for intermediate tables written as Parquet."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/trailsift-tables/" + name
-
-
-_WIDE_OPERATORS = {"Exchange", "ShuffleExchange", "HashAggregate", "SortAggregate",
-                   "ObjectHashAggregate", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin",
-                   "BroadcastNestedLoopJoin", "CartesianProduct", "Window", "Sort", "Expand"}
-
-
-def _plan_operators(df: DataFrame) -> set[str]:
-    """Names of the operators of the physical plan (first word of each tree line)."""
-    names = set()
-    for line in df._jdf.queryExecution().sparkPlan().toString().splitlines():
-        text = line.lstrip(" :+-")
-        if text.startswith("*("):
-            text = text.split(") ", 1)[-1]
-        if text:
-            names.add(text.split(" ", 1)[0].split("(", 1)[0])
-    return names
-
-
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin rows over the session's cores when a plain scan has fewer splits than cores.
-
-    A large input already arrives in thousands of splits and is left alone (no
-    shuffle); a tiny input stored as one row group would otherwise run every
-    per-row expression in a single task. Plans that already shuffle are left
-    alone too (their width is the shuffle's), and are never executed here.
-    """
-    if _plan_operators(df) & _WIDE_OPERATORS:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

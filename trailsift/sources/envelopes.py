@@ -65,16 +65,15 @@ def records_from_envelopes(envelopes: DataFrame, value_col: str = "value", file_
     return parsed.select(*[cols[c].alias(c) for c in AUDIT_COLUMNS], "src_file", "src_pos")
 
 
-def bad_envelopes(envelopes: DataFrame, value_col: str = "value",
-                  file_col: str = "file") -> DataFrame:
-    """SRC-5: files whose text is not a JSON object or array (malformed or truncated).
+def is_envelope(value_col: str = "value") -> Column:
+    """SRC-5: whether a text is a JSON object or array (not malformed or truncated, not null).
 
     ``json_object_keys`` / ``json_array_length`` parse the whole text and give
     NULL when it is not valid JSON of that shape.
     """
     value = F.col(value_col)
-    ok = F.json_object_keys(value).isNotNull() | F.json_array_length(value).isNotNull()
-    return envelopes.filter(~F.coalesce(ok, F.lit(False))).select(F.col(file_col).alias("file"))
+    return F.coalesce(F.json_object_keys(value).isNotNull() | F.json_array_length(value).isNotNull(),
+                      F.lit(False))
 
 
 def _record_json(events: DataFrame, drop_null_keys: list[str]) -> Column:

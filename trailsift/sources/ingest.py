@@ -1,107 +1,184 @@
 """File ingest of audit logs (SRC-1, SRC-3, SRC-5, SRC-7, SRC-10).
 
-Paths go through Hadoop's FileSystem, so local, HDFS and object-store paths
-work alike. Only file *names* reach the driver (to expand globs and order
-files); record data stays in the executors: each file is read whole as one
-text row (audit-log files are small, bounded objects) and unwrapped with
-``records_from_envelopes``.
-
-For repeated analysis, land the result once as Parquet partitioned by event
-date (``land_as_parquet``); time filters then prune partitions and row groups.
+Spark lists and reads the files: one ``binaryFile`` read per argument, so names with spaces,
+``%`` or glob characters need no encoding of their own, and a damaged compressed file is a
+row of ``bad_files`` instead of a failed job. Files are numbered by a distributed index
+over (argument, name); names that Spark's readers never list (leading ``_`` or ``.``) are
+reported in ``bad_files`` too, so that events and bad files together account for every
+listed file.
+
+For repeated analysis, land the result once as Parquet (``land_as_parquet``): rows are range
+partitioned by date and time, and carry ``is_readonly`` and ``service`` as typed columns
+that filters push to the scan.
 """
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from trailsift.sources.envelopes import bad_envelopes, records_from_envelopes
+from trailsift.functions.scalars import is_readonly, strip_service
+from trailsift.operators.components import dense_index
+from trailsift.session import literal_table, materialize
+from trailsift.sources.envelopes import is_envelope, records_from_envelopes
 from trailsift.sources.schema import AUDIT_COLUMNS
-from trailsift.session import literal_table
+
+#: Indexes of more files than this are joined by shuffle instead of broadcast.
+BROADCAST_FILES = 200_000
 
 
 @dataclass
 class Ingested:
     events: DataFrame       # AUDIT_COLUMNS + src_file, src_pos
-    bad_files: DataFrame    # file: texts that are neither an envelope nor a list
-    files: list[str]        # the files read, in order
+    bad_files: DataFrame    # file, reason: files that gave no envelope, once each
+    files: DataFrame        # file, file_no, from_dir: the files read, numbered in order
+
+    def absent(self, *fields: str) -> set[str]:
+        """Those of ``fields`` that no record has as a key (one aggregation over the records)."""
+        keys = F.json_object_keys("raw")
+        row = self.events.agg(*[F.bool_or(F.array_contains(keys, f)).alias(f) for f in fields]).first()
+        return {f for f in fields if not row[f]}
 
 
-def _fs(spark: SparkSession, path: str):
+def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hpath.getFileSystem(conf), hpath
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _escaped(path: str) -> str:
+    """The path as a glob that matches itself only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def expand_paths(spark: SparkSession, patterns: list[str]) -> list[tuple[str, bool]]:
-    """SRC-1 / SRC-3: (file, from_directory) pairs.
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
 
-    A pattern with ``*`` or ``?`` is a glob; other paths must exist and are
-    skipped otherwise. A directory contributes its ``*.json`` files (any case,
-    not recursive) sorted by name. Overlapping arguments are not de-duplicated.
+
+def expand_paths(spark: SparkSession, patterns: list[str]) -> tuple[list[tuple[int, str, bool]], list[tuple[int, str]]]:
+    """SRC-1 / SRC-3: (number, path, is directory) of what the arguments name, and hidden files.
+
+    A pattern with ``*`` or ``?`` is a glob; other paths must exist and are skipped otherwise.
+    Matches of a glob come in name order. Overlapping arguments are not de-duplicated.
     """
-    out: list[tuple[str, bool]] = []
+    found: list[tuple[int, str, bool]] = []
+    hidden: list[tuple[int, str]] = []
     for pattern in patterns:
         if not pattern:
             continue
-        fs, hpath = _fs(spark, pattern)
+        fs, hpath = _filesystem(spark, pattern)
         if "*" in pattern or "?" in pattern:
-            statuses = fs.globStatus(hpath) or []
-            matched = sorted(str(s.getPath().toString()) for s in statuses)
-            for m in matched:
-                out.extend(_entries(spark, m))
-            continue
-        if not fs.exists(hpath):
-            continue
-        out.extend(_entries(spark, pattern))
+            statuses = sorted(fs.globStatus(hpath) or [], key=lambda s: s.getPath().toString())
+        else:
+            statuses = [fs.getFileStatus(hpath)] if fs.exists(hpath) else []
+        for status in statuses:
+            path, number = status.getPath().toString(), len(found) + len(hidden)
+            if not status.isDirectory():
+                (hidden.append((number, path)) if _hidden(status.getPath().getName())
+                 else found.append((number, path, False)))
+                continue
+            found.append((number, path, True))
+            for child in fs.listStatus(status.getPath()):
+                name = child.getPath().getName()
+                if child.isFile() and _hidden(name) and name.lower().endswith(".json"):
+                    hidden.append((number, child.getPath().toString()))
+    return found, hidden
+
+
+def _listed(spark: SparkSession, found: list[tuple[int, str, bool]]) -> DataFrame:
+    """file, content, arg, from_dir: files named directly in one read, and one read per directory."""
+    parts = []
+    direct = [(n, p) for n, p, is_dir in found if not is_dir]
+    if direct:
+        # The same file may be named by several arguments: one row for each of them.
+        names = literal_table(spark, [(p, n) for n, p in direct], "file STRING, arg INT")
+        read = spark.read.format("binaryFile").load(sorted({_escaped(p) for _, p in direct}))
+        parts.append(read.select(F.col("path").alias("file"), "content").join(names, "file")
+                     .select("file", "content", "arg", F.lit(False).alias("from_dir")))
+    for number, path, is_dir in found:
+        if is_dir:
+            read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_escaped(path))
+            file = F.col("path")
+            inside = ~F.substring(file, len(path.rstrip("/")) + 2, 1 << 30).contains("/")
+            parts.append(read.filter(inside & F.lower(file).endswith(".json")).select(
+                file.alias("file"), "content", F.lit(number).alias("arg"), F.lit(True).alias("from_dir")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def _entries(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    fs, hpath = _fs(spark, path)
-    status = fs.getFileStatus(hpath)
-    if not status.isDirectory():
-        return [(str(status.getPath().toString()), False)]
-    names = []
-    for child in fs.listStatus(hpath):
-        if child.isFile() and child.getPath().getName().lower().endswith(".json"):
-            names.append((child.getPath().getName(), str(child.getPath().toString())))
-    return [(full, True) for _, full in sorted(names)]
+@F.pandas_udf(StringType())
+def _unpacked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Text of gzip files; null where a file is damaged."""
+    def text(content):
+        try:
+            return gzip.decompress(content).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+    for part in parts:
+        yield part.map(text, na_action="ignore")
 
 
 def read_audit_logs(spark: SparkSession, patterns: list[str] | str) -> Ingested:
     """Read audit-log files and directories into the audit-event table.
 
-    Files named directly keep every record; files found by a directory scan keep
-    only objects with an ``eventName`` key. Malformed files contribute no rows
-    and are listed in ``bad_files``. No input at all gives empty tables.
+    Files named directly keep every record; files found by a directory scan keep only objects
+    with an ``eventName`` key. No input at all gives empty tables.
     """
     if isinstance(patterns, str):
         patterns = [patterns]
-    entries = expand_paths(spark, patterns)
-    files = [f for f, _ in entries]
-    if not entries:
+    found, hidden = expand_paths(spark, patterns)
+    skipped = literal_table(spark, [(p, "hidden name, not listed by Spark") for _, p in hidden],
+                            "file STRING, reason STRING")
+    if not found:
         empty = literal_table(spark, [], "file STRING, file_no LONG, value STRING, from_dir BOOLEAN")
         return Ingested(records_from_envelopes(empty, require_event_name=F.col("from_dir")),
-                        empty.select("file"), [])
-    # One small row per input file (names only), joined to the texts by path.
-    index = literal_table(spark, [(f, i, d) for i, (f, d) in enumerate(entries)],
-                          "file STRING, file_no LONG, from_dir BOOLEAN")
-    distinct_files = sorted(set(files))
-    texts = (spark.read.option("wholetext", "true").text(distinct_files)
-             .select(F.col("_metadata.file_path").alias("file"), "value"))
-    env = texts.join(index, "file")
-    events = records_from_envelopes(env, require_event_name=F.col("from_dir"))
-    return Ingested(events=events, bad_files=bad_envelopes(texts).distinct(), files=files)
+                        skipped.distinct(), empty.select("file", "file_no", "from_dir"))
+    listed = _listed(spark, found)
+    # Numbers in (argument, name) order; only names are read for it.
+    index = dense_index(listed.select("arg", "file", "from_dir"), ["arg", "file"], "file_no")
+    index = materialize(index.select("arg", "file", "from_dir", F.col("file_no").cast("long").alias("file_no")),
+                        "ingest-files")
+    small = index.count() <= BROADCAST_FILES
+    numbered = listed.drop("from_dir").join(F.broadcast(index) if small else index, ["arg", "file"])
+    packed = F.lower("file").endswith(".gz")
+    # Spark decodes plain files; only packed ones pass through Python.
+    plain = numbered.filter(~packed).withColumn("value", F.decode("content", "UTF-8"))
+    unpacked = numbered.filter(packed).withColumn("value", _unpacked("content"))
+    texts = plain.unionByName(unpacked) if _any_packed(index) else plain
+    events = records_from_envelopes(texts, require_event_name=F.col("from_dir"))
+    bad = texts.filter(~is_envelope("value")).select("file", _reason(F.col("value")).alias("reason"))
+    return Ingested(events=events, bad_files=bad.unionByName(skipped).distinct(),
+                    files=index.select("file", "file_no", "from_dir"))
+
+
+def _any_packed(index: DataFrame) -> bool:
+    return not index.filter(F.lower("file").endswith(".gz")).isEmpty()
+
+
+def _reason(value: Column) -> Column:
+    return F.when(value.isNull(), F.lit("damaged compressed file")).otherwise(F.lit("no JSON object or list"))
 
 
 def land_as_parquet(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the audit table partitioned by event date for pruned re-reads."""
-    (events.select(*AUDIT_COLUMNS, F.to_date("eventTime").alias("event_date"))
-     .sortWithinPartitions("event_date").write.mode(mode).partitionBy("event_date").parquet(path))
+    """Write the audit table for pruned re-reads.
+
+    Rows are range partitioned and sorted by (date, time), so a date has few files and row groups
+    hold narrow time ranges; ``is_readonly`` and ``service`` are what the filters test.
+    """
+    (events.select(*AUDIT_COLUMNS, is_readonly("readOnly").alias("is_readonly"),
+                   strip_service("eventSource").alias("service"), F.to_date("eventTime").alias("event_date"))
+     .repartitionByRange("event_date", "eventTime").sortWithinPartitions("event_date", "eventTime")
+     .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The field names of the log format.
 # Top-level record keys kept as typed columns. Polymorphic fields are JSON text.
 STRING_FIELDS = [
     "eventName", "eventSource", "eventCategory", "eventType", "recipientAccountId",

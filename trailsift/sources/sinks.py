@@ -1,20 +1,21 @@
 """Writers for the detection results (SNK-1..7).
 
-Results are written as JSON lines / CSV by Spark's writers, one record per
-cluster or timeframe; no document is assembled on the driver. The reference
-prints one JSON document per section with every identity of a timeframe
-inline; here a timeframe line carries the first identities and their total,
-and the complete identity list is its own dataset (one line per event), so
-that no single row grows with the data.
+Results are written as JSON lines / CSV by Spark's writers, one record per cluster or timeframe;
+no document is assembled on the driver. A timeframe's identities are complete: lists of more than
+``IDENTITIES_PER_LINE`` input positions continue on further lines of the same timeframe (``part`` 0,
+1, ...), so that no single row grows with the data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
+from pyspark.sql.window import Window
 
 from trailsift.functions import scalars as S
-from trailsift.operators.timeframes import first_identities
+
+IDENTITIES_PER_LINE = 10_000
 
 
 def clusters_json_lines(profile: DataFrame) -> DataFrame:
@@ -30,30 +31,32 @@ def suspicious_json(summary: DataFrame) -> DataFrame:
 
 
 def timeframes_json_lines(timeframes: DataFrame, apis: DataFrame, identities: DataFrame,
-                          sample: int = 5) -> DataFrame:
-    """SNK-3: one line per timeframe: start, end, confidence, first identities, count, APIs."""
-    firsts = first_identities(identities, sample)
-    shown = firsts.groupBy("tf_start").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", F.array("ip", "iam", "user_agent", "os")
-                                             .alias("t")))),
-        lambda s: s.getField("t")).alias("identities"))
-    joined = timeframes.join(apis, "tf_start", "left").join(shown, "tf_start", "left")
+                          per_line: int = IDENTITIES_PER_LINE) -> DataFrame:
+    """SNK-3: lines of a timeframe: start, end, confidence, part, identities, their total, APIs.
+
+    Part 0 carries the APIs; every identity is on exactly one line, in input order. A part
+    covers ``per_line`` input positions (event ids), hence at most that many identities.
+    """
+    zoned = isinstance(timeframes.schema["tf_start"].dataType, TimestampType)
+    shares = identities.withColumn("share", F.floor(F.col("ord") / per_line)).groupBy("tf_start", "share").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", F.array("ip", "iam", "user_agent", "os").alias("t")))),
+                    lambda s: s.getField("t")).alias("identities"))
+    # Numbered among the parts of a timeframe: a few small keys, the lists are joined after that.
+    order = Window.partitionBy("tf_start").orderBy("share")
+    numbers = shares.select("tf_start", "share").withColumn("part", F.row_number().over(order) - 1)
+    parts = shares.join(numbers, ["tf_start", "share"])
+    joined = timeframes.join(apis, "tf_start", "left").join(parts, "tf_start", "left")
+    part = F.coalesce("part", F.lit(0))
     return joined.select("tf_start", F.to_json(F.struct(
-        S.iso_time("tf_start").alias("start"), S.iso_time("tf_end").alias("end"),
-        "confidence",
+        S.iso_time("tf_start", zoned).alias("start"), S.iso_time("tf_end", zoned).alias("end"),
+        "confidence", part.alias("part"),
         F.coalesce("identities", F.array().cast("array<array<string>>")).alias("identities"),
         F.coalesce("n_identities", F.lit(0)).alias("n_identities"),
-        F.coalesce("example_apis", F.array().cast("array<string>")).alias("example_apis"),
+        F.when(part == 0, F.coalesce("example_apis", F.array().cast("array<string>")))
+        .otherwise(F.array().cast("array<string>")).alias("example_apis"),
     )).alias("json"))
 
 
-def identities_json_lines(identities: DataFrame) -> DataFrame:
-    """The complete identity list of every timeframe, one line per suspicious event."""
-    return identities.select("tf_start", "ord", F.to_json(F.struct(
-        S.iso_time("tf_start").alias("timeframe_start"), "ord",
-        F.array("ip", "iam", "user_agent", "os").alias("identity"))).alias("json"))
-
-
 def timeframes_csv_rows(report: DataFrame) -> DataFrame:
     """SNK-4: flat timeframe rows as CSV would hold them."""
     return report.select("ordinal", "period_start", "period_end", "duration_seconds",
@@ -80,7 +83,6 @@ def write_section(result, section: str, fmt: str, path: str) -> None:
         elif section == "timeframes":
             write_json_lines(timeframes_json_lines(result.timeframes, result.apis,
                                                    result.identities), path)
-            write_json_lines(identities_json_lines(result.identities), path + "_identities")
         else:
             raise ValueError(f"unknown section {section!r}")
     elif fmt == "csv":
