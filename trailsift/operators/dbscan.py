@@ -143,22 +143,23 @@ def _segment(g: str, cuts: list[int]) -> Column:
 
 def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
                    min_samples: int = DEFAULT_MIN_SAMPLES, cols: list[str] = FEATURES,
-                   exact_counts: bool = False) -> DbscanResult:
+                   exact_counts: bool = False, extras: tuple[Column, ...] = ()) -> DbscanResult:
     """Cluster the rows of ``features`` (columns ``cols``); one output row per distinct vector.
 
     ``nbr_weight`` is the whole neighbour count of points of light sub-cells; points of heavy
     sub-cells are core whatever their count, so theirs is null unless ``exact_counts`` is set.
+    ``extras`` are aggregates of the rows of a vector (named columns) that come out with it.
     """
     cached: list[DataFrame] = []
     try:
-        return _clustered(features, eps, min_samples, cols, exact_counts, cached)
+        return _clustered(features, eps, min_samples, cols, exact_counts, extras, cached)
     finally:
         for df in cached:
             df.unpersist()
 
 
 def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str], exact_counts: bool,
-               cached: list[DataFrame]) -> DbscanResult:
+               extras: tuple[Column, ...], cached: list[DataFrame]) -> DbscanResult:
     d = len(cols)
     zcols = SCALED[:d] if d <= len(SCALED) else [f"z{i:02d}" for i in range(d)]
     gcols = [f"g{i:02d}" for i in range(d)]
@@ -168,7 +169,7 @@ def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str
     # rows during the same write (final stage: applied once per partition); the
     # centred second pass reads the distinct vectors only.
     obs = Observation()
-    observed = collapse(features.select(*cols), cols).observe(obs, *first_pass_metrics(cols))
+    observed = collapse(features, cols, extras).observe(obs, *first_pass_metrics(cols))
     vectors = materialize(observed.withColumn("vid", F.monotonically_increasing_id()),
                           "dbscan-collapse")
     try:
@@ -307,6 +308,9 @@ def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str
         heavy = units.filter(F.col("unit_w") >= min_samples).select("uid", F.lit(True).alias("heavy"))
         labelled = labelled.join(heavy, "uid", "left").withColumn(
             "nbr_weight", F.when(F.col("heavy").isNull(), F.col("nbr_weight")))
-    out = materialize(labelled.select(*cols, "w", *zcols, "nbr_weight", "core", "cluster"),
+    carried = [c for c in vectors.columns if c not in (*cols, "w", "vid")]
+    if carried:
+        labelled = labelled.join(vectors.select("vid", *carried), "vid")
+    out = materialize(labelled.select(*cols, "w", *zcols, "nbr_weight", "core", "cluster", *carried),
                       "dbscan-vectors")
     return DbscanResult(vectors=out, stats=stats)

@@ -78,9 +78,9 @@ def encode(events: DataFrame, keep: list[str] | None = None,
     return events.select(*keep_cols, *feature_columns(session_path, missing_as))
 
 
-def collapse(features: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
-    """Distinct vectors with their multiplicity ``w`` (map-side combined)."""
-    return features.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
+def collapse(features: DataFrame, cols: list[str] = FEATURES, extras: tuple[Column, ...] = ()) -> DataFrame:
+    """Distinct vectors with their multiplicity ``w`` and further aggregates (map-side combined)."""
+    return features.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"), *extras)
 
 
 def first_pass_metrics(cols: list[str] = FEATURES, weight: str = "w") -> list[Column]:

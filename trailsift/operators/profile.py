@@ -15,6 +15,28 @@ from trailsift.functions import scalars as S
 DEFAULT_TOP_K = 3
 
 
+def vector_extras() -> tuple:
+    """Aggregates for ``dbscan_vectors(extras=...)`` from which profiles follow without the events."""
+    return (F.count("errorCode").alias("n_errors"), F.collect_set(S.safe_str("eventName")).alias("names"))
+
+
+def vector_profile(vectors: DataFrame) -> DataFrame:
+    """``cluster_profile`` from the labelled vectors (with ``vector_extras``)."""
+    return (vectors.filter(F.col("cluster") != -1).groupBy("cluster").agg(
+        F.sum("w").alias("size"),
+        (F.sum("n_errors") / F.sum("w")).alias("error_rate"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("event_names"))
+            .withColumn("n_event_names", F.size("event_names").cast("long")))
+
+
+def vector_totals(vectors: DataFrame) -> DataFrame:
+    """``cluster_totals`` from the labelled vectors."""
+    w = F.coalesce(F.sum("w"), F.lit(0))
+    noise = F.coalesce(F.sum(F.when(F.col("cluster") == -1, F.col("w"))), F.lit(0))
+    return vectors.agg(w.alias("total"), F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias(
+        "n_clusters"), (w - noise).alias("clustered"), noise.alias("noise"))
+
+
 def cluster_profile(labelled: DataFrame) -> DataFrame:
     """ML-3 / AGG-2..5: per cluster (noise excluded) size, error rate, sorted distinct names."""
     return (labelled.filter(F.col("cluster") != -1).groupBy("cluster").agg(
@@ -68,6 +90,19 @@ def suspicious_summary(flagged: DataFrame) -> DataFrame:
     ).withColumn("suspicious_pct", F.round(S.percent("suspicious_count", "total_readonly"), 1))
 
 
+def vector_summary(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+    """AGG-7 from the labelled vectors."""
+    ranked = vectors.join(F.broadcast(chosen.select("cluster", "rank")), "cluster", "left").select(
+        "cluster", "rank", "w", F.col("rank").isNotNull().alias("suspicious"))
+    ids = F.array_sort(F.collect_set(F.when(F.col("suspicious"), F.struct(
+        F.col("rank").alias("r"), F.col("cluster").alias("c")))))
+    return ranked.agg(
+        F.transform(ids, lambda s: s.getField("c")).alias("suspicious_clusters"),
+        F.coalesce(F.sum(F.when(F.col("suspicious"), F.col("w"))), F.lit(0)).alias("suspicious_count"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("total_readonly"),
+    ).withColumn("suspicious_pct", F.round(S.percent("suspicious_count", "total_readonly"), 1))
+
+
 def names_limited(profile: DataFrame, limit: int = 20) -> DataFrame:
     """SNK-5 data / TOP-3 / AGG-12: the first ``limit`` names grouped by prefix, plus the remainder."""
     from trailsift.operators.timeframes import grouped_by_prefix

@@ -1,9 +1,8 @@
 """The whole detection job (ML-7): filters -> encode -> DBSCAN -> top clusters -> timeframes.
 
-``detect`` returns named DataFrames; only the small, reused intermediates are
-materialised (distinct vectors and their labels inside DBSCAN, the narrow
-labelled event table, the minute series). Everything else stays lazy so the
-caller decides what to write.
+``detect`` returns named DataFrames; only the reused intermediates are materialised (the
+narrow encoded events, the distinct vectors and their labels inside DBSCAN, the minute
+series, the timeframes). Everything else stays lazy so the caller decides what to write.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ class Detection:
     readonly: DataFrame       # read-only events after the filters
     # vectors, profile, totals and chosen are None with the signature approach
     vectors: DataFrame        # distinct feature vectors with weight, z, core, cluster
-    labelled: DataFrame       # LABELLED_COLUMNS + cluster + rank + suspicious
+    labelled: DataFrame       # LABELLED_COLUMNS + suspicious, cluster and rank of the chosen clusters
     profile: DataFrame        # per cluster: size, error_rate, event_names, n_event_names
     totals: DataFrame         # one row: total, n_clusters, clustered, noise
     chosen: DataFrame         # top_k clusters with rank
@@ -45,18 +44,43 @@ class Detection:
     report: DataFrame         # display-ready timeframe rows
 
 
+#: More chosen vectors than this are joined to the events by shuffle instead of broadcast.
+BROADCAST_VECTORS = 200_000
+
+
+def cluster_events(readonly: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
+                   session_path: str = "$.sessionIssuer.type", missing_as: str = "null",
+                   keep: list[str] | None = None):
+    """Encode and cluster; returns (encoded events, labelled vectors with ``vector_extras``).
+
+    The encode (JSON parsing, md5 hashes, regexes) runs once: its narrow output is written and
+    is the only copy of the events; profiles, totals and the choice follow from the vectors.
+    """
+    feats = materialize(encode(readonly, keep=keep or LABELLED_COLUMNS, session_path=session_path,
+                               missing_as=missing_as), "encoded")
+    return feats, dbscan_vectors(feats, eps=eps, min_samples=min_samples, extras=P.vector_extras()).vectors
+
+
 def label_events(readonly: DataFrame, eps: float = DEFAULT_EPS,
                  min_samples: int = DEFAULT_MIN_SAMPLES, session_path: str = "$.sessionIssuer.type",
                  missing_as: str = "null", keep: list[str] | None = None):
-    """Encode, cluster and attach labels; returns (labelled, vectors)."""
+    """Every event with its cluster; returns (labelled, vectors)."""
     keep = keep or LABELLED_COLUMNS
-    # The encode (JSON parsing, md5 hashes, regexes) runs once: its narrow output is
-    # written, then read by the collapse and again by the label join.
-    feats = materialize(encode(readonly, keep=keep, session_path=session_path,
-                               missing_as=missing_as), "encoded")
-    result = dbscan_vectors(feats, eps=eps, min_samples=min_samples)
-    labelled = feats.join(result.vectors.select(*FEATURES, "cluster"), FEATURES, "inner")
-    return materialize(labelled.select(*keep, "cluster")), result.vectors
+    feats, vectors = cluster_events(readonly, eps, min_samples, session_path, missing_as, keep)
+    labelled = feats.join(vectors.select(*FEATURES, "cluster"), FEATURES, "inner")
+    return labelled.select(*keep, "cluster"), vectors
+
+
+def flag_events(feats: DataFrame, vectors: DataFrame, chosen: DataFrame, how: str = "left") -> DataFrame:
+    """Events with ``cluster`` and ``rank`` of the chosen clusters (null elsewhere) and ``suspicious``.
+
+    Only the chosen clusters' vectors meet the events, by broadcast up to a checked number.
+    """
+    wanted = materialize(vectors.join(F.broadcast(chosen.select("cluster", "rank")), "cluster").select(
+        *FEATURES, "cluster", "rank"), "chosen-vectors")
+    small = wanted.count() <= BROADCAST_VECTORS
+    flagged = feats.join(F.broadcast(wanted) if small else wanted, FEATURES, how)
+    return flagged.drop(*FEATURES).withColumn("suspicious", F.col("rank").isNotNull())
 
 
 def detect(events: DataFrame, start_time: str | None = None, end_time: str | None = None,
@@ -82,11 +106,11 @@ def detect(events: DataFrame, start_time: str | None = None, end_time: str | Non
         flagged = materialize(flagged, "flagged")
         vectors = prof = totals = chosen = None
     elif approach == "clustering":
-        labelled, vectors = label_events(readonly, eps, min_samples, session_path, missing_as)
-        prof = P.cluster_profile(labelled)
-        totals = P.cluster_totals(labelled)
-        chosen = P.top_clusters(prof, top_k)
-        flagged = P.flag_suspicious(labelled, chosen)
+        feats, vectors = cluster_events(readonly, eps, min_samples, session_path, missing_as)
+        prof = P.vector_profile(vectors)
+        totals = P.vector_totals(vectors)
+        chosen = materialize(P.top_clusters(prof, top_k), "chosen")
+        flagged = flag_events(feats, vectors, chosen)
     else:
         raise ValueError(f"unknown approach {approach!r}")
     # A few rows that every later step reads: written once, so that the island merge runs once.
@@ -95,7 +119,8 @@ def detect(events: DataFrame, start_time: str | None = None, end_time: str | Non
     tf_events = T.timeframe_events(timeframes, flagged.filter(F.col("suspicious")))
     return Detection(
         readonly=readonly, vectors=vectors, labelled=flagged, profile=prof,
-        totals=totals, chosen=chosen, summary=P.suspicious_summary(flagged),
+        totals=totals, chosen=chosen,
+        summary=P.suspicious_summary(flagged) if vectors is None else P.vector_summary(vectors, chosen),
         timeframes=timeframes, tf_events=tf_events,
         identities=T.timeframe_identities(tf_events),
         identities_distinct=T.timeframe_identities_distinct(tf_events),

@@ -22,7 +22,7 @@ from trailsift.operators import timeframes as T
 from trailsift.operators.dbscan import dbscan_vectors
 from trailsift.operators.features import (FEATURES, SCALED, encode, feature_columns,
                                          scaled_columns)
-from trailsift.plans.pipeline import detect, label_events
+from trailsift.plans.pipeline import cluster_events, detect, flag_events, label_events
 from trailsift.session import materialize, table_path
 from trailsift.sources import envelopes as EV
 from trailsift.sources import sinks as SK
@@ -222,34 +222,33 @@ def q_dbscan_labels(spark, sf_dir):
 
 
 def q_cluster_totals(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
-    return P.cluster_totals(labelled)
+    _, vectors = cluster_events(_readonly(spark, sf_dir))
+    return P.vector_totals(vectors)
 
 
 def q_cluster_profile(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
-    prof = P.cluster_profile(labelled)
+    _, vectors = cluster_events(_readonly(spark, sf_dir))
+    prof = P.vector_profile(vectors)
     return prof.select("cluster", "size", _r("error_rate", 9).alias("error_rate"),
                        _joined(F.col("event_names")).alias("event_names"), "n_event_names")
 
 
 def q_cluster_names_limited(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
-    lim = P.names_limited(P.cluster_profile(labelled), limit=2)
+    _, vectors = cluster_events(_readonly(spark, sf_dir))
+    lim = P.names_limited(P.vector_profile(vectors), limit=2)
     return lim.select("cluster", "names_shown", F.col("more_names").cast("long").alias("more_names"))
 
 
 def q_top_clusters(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
-    top = P.top_clusters(P.cluster_profile(labelled))
+    _, vectors = cluster_events(_readonly(spark, sf_dir))
+    top = P.top_clusters(P.vector_profile(vectors))
     return top.select("cluster", _r("error_rate", 9).alias("error_rate"), "size",
                       F.col("rank").cast("long").alias("rank"))
 
 
 def q_suspicious_events(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
-    chosen = P.top_clusters(P.cluster_profile(labelled))
-    return P.suspicious_events(labelled, chosen).select("event_id", "cluster")
+    feats, vectors = cluster_events(_readonly(spark, sf_dir))
+    return flag_events(feats, vectors, P.top_clusters(P.vector_profile(vectors)), "inner").select("event_id", "cluster")
 
 
 def q_suspicious_summary(spark, sf_dir):
@@ -319,8 +318,8 @@ def q_timeframe_report(spark, sf_dir):
 
 # -- sinks: the written text, parsed again -----------------------------------------------------
 def q_clusters_json(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
-    lines = SK.clusters_json_lines(P.cluster_profile(labelled))
+    _, vectors = cluster_events(_readonly(spark, sf_dir))
+    lines = SK.clusters_json_lines(P.vector_profile(vectors))
     rec = lines.select(F.from_json("json", "cluster_id int, size long, error_rate double, event_names array<string>")
                        .alias("r"))
     return rec.select("r.cluster_id", "r.size", _r("r.error_rate", 9).alias("error_rate"),
@@ -369,13 +368,13 @@ def q_signature_frequency(spark, sf_dir):
 
 
 def q_distinct_apis_per_user(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
+    labelled = materialize(label_events(_readonly(spark, sf_dir))[0], "labelled")
     out = SG.distinct_apis_per_user(labelled)
     return out.select("cluster", "n_users", _r("avg_distinct_apis", 9).alias("avg_distinct_apis"))
 
 
 def q_value_overlap(spark, sf_dir):
-    labelled, _ = label_events(_readonly(spark, sf_dir))
+    labelled = materialize(label_events(_readonly(spark, sf_dir))[0], "labelled")
     out = SG.value_overlap(labelled)
     return out.select("cluster", *[_r(c, 9).alias(c) for c in out.columns if c != "cluster"])
 
