@@ -42,14 +42,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    Workers start with the driver's environment, not with its ``sys.path``. On a cluster whose
+    machines don't share that folder the package is installed or passed with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure reliable checkpoints have a directory.
+    """Make sure reliable checkpoints have a directory, and that workers find the package.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; it is used as
     is. Only a local-mode session without that setting (tests) gets a private
     temporary folder; a cluster session without it is a configuration error,
     because a machine-local folder would not survive the loss of an executor.
     """
+    _find_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
