@@ -225,32 +225,36 @@ def _document_scores(network: Network, data: np.ndarray, offsets: np.ndarray) ->
     return totals / np.maximum(sizes, 1)[:, None]
 
 
-def _labeller(model: bytes):
+def _labeller(model: bytes, text: str):
+    """Labels the column ``text``; all columns but ``__text`` go on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = pickle.loads(model)
         names = np.array(network.languages, object)
         for batch in batches:
-            data, offsets = string_bytes(batch.column("__text"))
+            data, offsets = string_bytes(batch.column(text))
+            names_on = [c for c in batch.schema.names if c != "__text"]
             for a, b in row_blocks(offsets, 1 << 20):
                 scores = _document_scores(network, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 best = scores.argmax(axis=1)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in range(part.num_columns - 1)), pa.array(names[best], pa.string()),
+                    [*(part.column(c) for c in names_on), pa.array(names[best], pa.string()),
                      pa.array(np.clip(scores.max(axis=1), 0, 1))],
-                    names=[*part.schema.names[:-1], "lang_pred", "score"])
+                    names=[*names_on, "lang_pred", "score"])
     return run
 
 
 def identify(docs: DataFrame, model: bytes | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` (none named lang_pred or score) with ``lang_pred`` and ``score``, for every row."""
     lettered = F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
+    # A text that is kept anyway travels once.
+    text = text_col if text_col in keep and docs.schema[text_col].dataType == StringType() else "__text"
     slim = docs.select(*keep, F.coalesce(lettered, F.lit(False)).alias("__lettered"),
-                       F.col(text_col).cast("string").alias("__text"))
+                       *([F.col(text_col).cast("string").alias("__text")] if text == "__text" else []))
     if model is None or pickle.loads(model) is None:
         return slim.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = StructType([*slim.drop("__text").schema.fields, StructField("lang_pred", StringType()),
                          StructField("score", DoubleType())])
-    found = slim.mapInArrow(_labeller(model), schema)
+    found = slim.mapInArrow(_labeller(model, text), schema)
     return found.select(*keep, F.when(F.col("__lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
                         F.when(F.col("__lettered"), F.col("score")).otherwise(0.0).alias("score"))
