@@ -23,6 +23,7 @@ like any other. An empty table gives an empty table. Memory: one document's ids
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,18 @@ _PIECES = re.compile(
     rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 #: A text with any other character goes to the tokenizer whole (²³¹¼½¾ count as numbers there).
 _OTHER = re.compile("[^\x00-\x1b\x20-±´-¸º»¿-ſ]")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
+def _byte_names() -> dict[int, str]:
+    """The characters by which byte-level BPE files name bytes: printable ones name themselves,
+    the others follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
 #: Pieces of text a Python worker remembers: two generations of this many.
 REMEMBERED = 200_000
 
@@ -49,7 +62,7 @@ class Encoder:
     """ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     Word pieces repeat, so their ids are remembered (a bounded number of them, the least
-    recently used ones go first); pieces not yet seen go to the tokenizer, many at once.
+    recently used ones go first); pieces not yet seen go to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -70,10 +83,11 @@ class Encoder:
                 new.append(piece)
             else:
                 known[piece] = code
-        for start in range(0, len(new), 10_000):
-            part = new[start:start + 10_000]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(code.ids, "<u4").tobytes()
+        # A piece is one word to the model already, so its merges are asked for directly.
+        merge = self.tokenizer.model.tokenize
+        for piece in new:
+            ids = [t.id for t in merge(piece.encode().decode("latin-1").translate(_BYTE_NAMES))]
+            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -83,7 +97,8 @@ class Encoder:
         missing: set[str] = set()
         late = []
         for i, text in enumerate(texts):
-            if _OTHER.search(text) or any(s in text for s in self.special):
+            odd = any(c in text for c in _CONTROLS) if text.isascii() else _OTHER.search(text)
+            if odd or any(s in text for s in self.special):
                 codes.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 split.append(None)
                 continue
