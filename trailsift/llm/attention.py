@@ -139,14 +139,18 @@ def _scatter(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def text_windows(tokens: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, WINDOW + 1) ids and whether each place lies within the text.
+def window_count(n_tokens: int) -> int:
+    return -(-(n_tokens + 1) // FRESH)
+
+
+def text_windows(tokens: np.ndarray, closing: int, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n, WINDOW + 1) ids and whether each place lies within the text; all windows, or those of ``pick``.
 
     The text is opened and closed by ``closing``; window i scores the FRESH targets that
     follow input i * FRESH.
     """
     line = np.concatenate([[closing], tokens, [closing]]).astype(np.int64)
-    n = -(-(len(line) - 1) // FRESH)
-    at = (np.arange(n) * FRESH)[:, None] + np.arange(-(WINDOW - FRESH), FRESH + 1)[None, :]
+    pick = np.arange(window_count(len(tokens))) if pick is None else pick
+    at = (pick * FRESH)[:, None] + np.arange(-(WINDOW - FRESH), FRESH + 1)[None, :]
     real = (at >= 0) & (at < len(line))
     return line[np.clip(at, 0, len(line) - 1)], real

@@ -78,7 +78,7 @@ def _encoder(path: str):
 
 def _encode_block(encode, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, block: int):
     hashes, n_words = hash_words(data, offsets)
-    words, codes = np.unique(hashes, return_inverse=True)
+    codes, words = pd.factorize(hashes)
     codes = codes.astype("<u4")
     learn = np.array(rows.column("learn").to_pylist(), bool)
     counts = np.bincount(codes, np.repeat(learn, n_words), len(words)).astype("<u4")
@@ -89,12 +89,10 @@ def _encode_block(encode, rows: pa.RecordBatch, data: np.ndarray, offsets: np.nd
     for a, b in row_blocks(offsets, 1 << 20):
         ids = encode([texts[offsets[i]:offsets[i + 1]].decode("utf-8", "replace") for i in range(a, b)])
         subs = [np.frombuffer(x, "<u4") for x in ids]
-        for i, x in zip(range(a, b), subs):
-            if learn[i] and len(x):
-                found = np.bincount(x)
-                if len(found) > len(sub_total):
-                    sub_total = np.pad(sub_total, (0, len(found) - len(sub_total)))
-                sub_total[:len(found)] += found
+        found = np.bincount(np.concatenate([x for i, x in zip(range(a, b), subs) if learn[i]] or [[]]).astype(np.int64))
+        if len(found) > len(sub_total):
+            sub_total = np.pad(sub_total, (0, len(found) - len(sub_total)))
+        sub_total[:len(found)] += found
         n, part = b - a, rows.slice(a, b - a)
         yield pa.RecordBatch.from_arrays([
             pa.array((np.int64(block) << 24) + np.arange(a, b)), pa.array(np.full(n, block, np.int64)),
@@ -175,8 +173,8 @@ class Scorer:
         unigram = np.append(counts[order] + 0.5, [rest.sum() + 0.5, texts + 0.5])
         self.model = att.Attention(unigram / unigram.sum())
 
-    def windows(self, subs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return att.text_windows(self.place[subs], self.closing)
+    def windows(self, subs: np.ndarray, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return att.text_windows(self.place[subs], self.closing, pick)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text, its end included."""
@@ -222,11 +220,10 @@ def _sampler(model: bytes, rate: float, shards: int):
             for row, subs in zip(batch.column("row").to_pylist(), batch.column("subs").to_pylist()):
                 rng = np.random.default_rng(row)
                 subs = np.frombuffer(subs, "<u2")
-                pick = rng.random(len(subs) // att.FRESH + 2)
-                ids, real = scorer.windows(subs)
-                pick = np.flatnonzero(pick[:len(ids)] < rate)
+                pick = np.flatnonzero(rng.random(att.window_count(len(subs))) < rate)
                 if len(pick):
-                    both = np.where(real[pick], ids[pick], scorer.other + 2).astype("<u2")
+                    ids, real = scorer.windows(subs, pick)
+                    both = np.where(real, ids, scorer.other + 2).astype("<u2")
                     kept.setdefault(int(rng.integers(shards)), []).append(both)
             if kept:
                 yield pa.RecordBatch.from_arrays(
