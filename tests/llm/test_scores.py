@@ -104,3 +104,33 @@ def test_query_scores_whole_documents(spark, sf_small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6))
                   for r in rows) == base_scores(docs)
+
+
+def test_spans_hold_the_windows_of_a_text():
+    for n in (0, 1, att.FRESH - 1, att.FRESH, 3 * att.WINDOW + 5, 500):
+        tokens = np.arange(n) % 50
+        ids, real = att.text_windows(tokens, 99)
+        line = att.text_line(tokens, 99, 100)
+        for size in (1, 3, 1000):
+            spans = [att.line_span(line, a, min(a + size, len(ids))) for a in range(0, len(ids), size)]
+            got = np.concatenate([att.span_windows(s) for s in spans])
+            assert (got == np.where(real, ids, 100)).all()
+
+
+def test_the_model_learns_from_every_training_window(spark, monkeypatch):
+    """However large the corpus: here its counts say 200 million tokens."""
+    monkeypatch.setattr(lm_score, "SPAN", 7)
+    texts = [np.random.default_rng(i).integers(0, 40, 37 * i).astype("<u2") for i in range(12)]
+    docs = spark.createDataFrame([(i, i != 3, bytearray(t.tobytes())) for i, t in enumerate(texts)],
+                                 "row long, learn boolean, subs binary").repartition(3)
+    rounds = []
+    monkeypatch.setattr(lm_score, "_trained", lambda scorer, spans, *_: rounds.append(spans.collect()) or scorer)
+    scorer = lm_score.fit(docs, np.full(40, 5_000_000), 12)
+    first, every = rounds
+    got = sorted(w.tobytes() for r in every for w in att.span_windows(np.frombuffer(r["span"], "<u2")))
+    want = []
+    for t in [*texts[:3], *texts[4:]]:
+        ids, real = scorer.windows(t)
+        want.extend(w.astype("<u2").tobytes() for w in np.where(real, ids, scorer.other + 2))
+    assert got == sorted(want)
+    assert len({r["shard"] for r in every}) > 10 and sorted(first) == sorted(r for r in every if r["shard"] == 0)

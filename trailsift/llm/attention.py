@@ -143,14 +143,33 @@ def window_count(n_tokens: int) -> int:
     return -(-(n_tokens + 1) // FRESH)
 
 
-def text_windows(tokens: np.ndarray, closing: int, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(n, WINDOW + 1) ids and whether each place lies within the text; all windows, or those of ``pick``.
+def text_windows(tokens: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, WINDOW + 1) ids and whether each place lies within the text.
 
     The text is opened and closed by ``closing``; window i scores the FRESH targets that
     follow input i * FRESH.
     """
     line = np.concatenate([[closing], tokens, [closing]]).astype(np.int64)
-    pick = np.arange(window_count(len(tokens))) if pick is None else pick
-    at = (pick * FRESH)[:, None] + np.arange(-(WINDOW - FRESH), FRESH + 1)[None, :]
+    at = (np.arange(window_count(len(tokens))) * FRESH)[:, None] + np.arange(-(WINDOW - FRESH), FRESH + 1)[None, :]
     real = (at >= 0) & (at < len(line))
     return line[np.clip(at, 0, len(line) - 1)], real
+
+
+def text_line(tokens: np.ndarray, closing: int, outside: int) -> np.ndarray:
+    """The opened and closed text with ``outside`` at both ends: window i of the text starts at i * FRESH."""
+    length = (window_count(len(tokens)) - 1) * FRESH + WINDOW + 1
+    line = np.full(length, outside, np.int64)
+    first = WINDOW - FRESH
+    line[first], line[first + 1 + len(tokens)] = closing, closing
+    line[first + 1:first + 1 + len(tokens)] = tokens
+    return line
+
+
+def line_span(line: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The part of a ``text_line`` that holds its windows ``first`` to ``end - 1``."""
+    return line[first * FRESH:(end - 1) * FRESH + WINDOW + 1]
+
+
+def span_windows(span: np.ndarray) -> np.ndarray:
+    """(n, WINDOW + 1) ids: the windows of a span."""
+    return np.lib.stride_tricks.sliding_window_view(span, WINDOW + 1)[::FRESH]

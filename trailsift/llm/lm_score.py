@@ -6,12 +6,11 @@ One pass encodes every document: 64-bit fingerprints of its words, written as pl
 dictionary of its block of rows, and subword ids of a public BPE. Dictionaries are summed by
 word over all training documents and the totals return to their blocks, so a word costs one
 row per block however often it occurs. The attention model (``attention``) learns its
-vocabulary and unigram from all training documents and its weights from windows dealt to
-shards: one shard starts the model, then all shards train from there side by side and
-their weights are averaged. Every document is then scored with overlapping windows.
+vocabulary and unigram from all training documents and its weights from all their windows,
+dealt to shards in spans: one shard starts the model, then all shards train from there side by
+side and their weights are averaged. Every document is then scored with overlapping windows.
 
-``RATE`` of all training windows are learned from, or as many as hold ``LEAST_TOKENS`` tokens if
-that is more: what is gathered grows with the corpus.
+No training window is left out: what is gathered grows with the corpus.
 
 Edge cases
 ----------
@@ -44,8 +43,8 @@ BLOCK = 32 << 20
 PIECE = 1 << 16
 #: Subword ids the model knows by themselves; the others share one place.
 VOCABULARY = 8192
-#: Share of the training windows learned from, tokens learned from at least, and a shard's tokens.
-RATE, LEAST_TOKENS, SHARD_TOKENS = 1 / 32, 4_000_000, 2_000_000
+#: A shard's tokens, and the windows of a document that go to one shard together.
+SHARD_TOKENS, SPAN = 2_000_000, 1024
 MAX_PASSES = 6
 
 
@@ -173,8 +172,8 @@ class Scorer:
         unigram = np.append(counts[order] + 0.5, [rest.sum() + 0.5, texts + 0.5])
         self.model = att.Attention(unigram / unigram.sum())
 
-    def windows(self, subs: np.ndarray, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        return att.text_windows(self.place[subs], self.closing, pick)
+    def windows(self, subs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return att.text_windows(self.place[subs], self.closing)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text, its end included."""
@@ -211,25 +210,29 @@ def _score_rows(model: bytes):
     return run
 
 
-def _sampler(model: bytes, rate: float, shards: int):
-    """Training windows of each batch, gathered by shard; windows are chosen by a hash."""
+def _dealer(model: bytes, shards: int, only: int | None = None):
+    """All training windows, dealt to shards by spans of a document (those of shard ``only``, if given).
+
+    A span is the line its windows are cut from: 2 bytes a token, where the windows overlap.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = pickle.loads(model)
         for batch in batches:
-            kept: dict[int, list] = {}
+            found, spans = [], []
             for row, subs in zip(batch.column("row").to_pylist(), batch.column("subs").to_pylist()):
-                rng = np.random.default_rng(row)
                 subs = np.frombuffer(subs, "<u2")
-                pick = np.flatnonzero(rng.random(att.window_count(len(subs))) < rate)
-                if len(pick):
-                    ids, real = scorer.windows(subs, pick)
-                    both = np.where(real, ids, scorer.other + 2).astype("<u2")
-                    kept.setdefault(int(rng.integers(shards)), []).append(both)
-            if kept:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(kept), pa.int32()),
-                     pa.array([np.concatenate(v).tobytes() for v in kept.values()], pa.binary())],
-                    names=["shard", "windows"])
+                n = att.window_count(len(subs))
+                to = np.random.default_rng(row).integers(shards, size=-(-n // SPAN))
+                if only is not None and not (to == only).any():
+                    continue
+                line = att.text_line(scorer.place[subs], scorer.closing, scorer.other + 2).astype("<u2")
+                for k, shard in enumerate(to.tolist()):
+                    if only is None or shard == only:
+                        found.append(shard)
+                        spans.append(att.line_span(line, k * SPAN, min((k + 1) * SPAN, n)).tobytes())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(spans, pa.binary())],
+                                                 names=["shard", "span"])
     return run
 
 
@@ -237,7 +240,7 @@ def _trainer(model: bytes, passes: int, rate: float, floor: float):
     """Trains on one shard from the given start and returns the weights by row, for averaging."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         scorer = pickle.loads(model)
-        ids = np.frombuffer(b"".join(sorted(rows["windows"])), "<u2").reshape(-1, att.WINDOW + 1).astype(np.int64)
+        ids = np.concatenate([att.span_windows(np.frombuffer(s, "<u2")) for s in sorted(rows["span"])]).astype(np.int64)
         real = ids != scorer.other + 2
         net = scorer.model.train(np.where(real, ids, 0), real, passes, rate, floor)
         table = np.concatenate([getattr(net, n) for n in net.NAMES], axis=1)
@@ -247,8 +250,23 @@ def _trainer(model: bytes, passes: int, rate: float, floor: float):
     return run
 
 
+def _task_means(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The weighted means of one task's shards: a task sends one model however many shards it trained."""
+    sums: dict[int, np.ndarray] = {}
+    weights: dict[int, float] = {}
+    for rows in frames:
+        for place, weight, values in zip(rows["place"], rows["weight"], rows["values"]):
+            part = np.frombuffer(values, "<f4") * weight
+            sums[place] = sums[place] + part if place in sums else part
+            weights[place] = weights.get(place, 0.0) + weight
+    if sums:
+        places = sorted(sums)
+        yield pd.DataFrame({"place": places, "weight": [weights[p] for p in places],
+                            "values": [(sums[p] / weights[p]).astype("<f4").tobytes() for p in places]})
+
+
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
-    """Means of the shards' rows for one range of places, weighted by their windows."""
+    """Means of the tasks' rows for one range of places, weighted by their windows."""
     out = []
     for place, group in rows.groupby("place"):
         values = np.stack([np.frombuffer(v, "<f4") for v in group["values"]]).astype(float)
@@ -256,13 +274,14 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["place", "values"])
 
 
-def _trained(scorer: Scorer, windows: DataFrame, passes: int, rate: float, floor: float) -> Scorer:
-    """One round: all shards of ``windows`` train from ``scorer``; the means replace its weights.
+def _trained(scorer: Scorer, spans: DataFrame, passes: int, rate: float, floor: float) -> Scorer:
+    """One round: all shards of ``spans`` train from ``scorer``; the means replace its weights.
 
     The model's rows (their number is fixed by VOCABULARY) are collected.
     """
-    rows = (windows.groupBy("shard").applyInPandas(
-        _trainer(pickle.dumps(scorer), passes, rate, floor), "place int, weight double, values binary")
+    kind = "place int, weight double, values binary"
+    rows = (spans.groupBy("shard").applyInPandas(_trainer(pickle.dumps(scorer), passes, rate, floor), kind)
+        .mapInPandas(_task_means, kind)
         .withColumn("range", F.floor(F.col("place") / 64))
         .groupBy("range").applyInPandas(_average, "place int, values binary").collect())
     if not rows:
@@ -284,14 +303,12 @@ def fit(docs: DataFrame, counts: np.ndarray, texts: int) -> Scorer:
     tokens = int(counts.sum())
     if not tokens:
         return scorer
-    rate = min(1.0, max(RATE, LEAST_TOKENS / tokens))
-    shards = max(1, round(tokens * rate / SHARD_TOKENS))
-    windows = _written(docs.filter("learn").select("row", "subs").mapInArrow(
-        _sampler(pickle.dumps(scorer), rate, shards), "shard int, windows binary"), "lm-windows")
-    shard_tokens = max(1, tokens * rate / shards)
-    passes = int(min(MAX_PASSES, max(1, round(2 * SHARD_TOKENS / shard_tokens))))
-    scorer = _trained(scorer, windows.filter("shard = 0"), passes, 0.012, 0.004)
-    return _trained(scorer, windows, 1, 0.004, 0.0005)
+    shards = max(1, round(tokens / SHARD_TOKENS))
+    passes = int(min(MAX_PASSES, max(1, round(2 * SHARD_TOKENS * shards / tokens))))
+    learned, start = docs.filter("learn").select("row", "subs"), pickle.dumps(scorer)
+    first = learned.mapInArrow(_dealer(start, shards, 0), "shard int, span binary")
+    scorer = _trained(scorer, first, passes, 0.012, 0.004)
+    return _trained(scorer, learned.mapInArrow(_dealer(start, shards), "shard int, span binary"), 1, 0.004, 0.0005)
 
 
 def score_documents(docs: DataFrame, path: str, held_out: Column, learn: Column, id_col: str = "doc_id",
