@@ -58,3 +58,32 @@ def test_occurrences_stand_in_order_and_reruns_agree(spark):
     again = [(r["doc_id"], r["mix_pass"], r["mix_taken"], r["mix_time"]) for r in mixing.mix(df.repartition(2)).collect()]
     assert first == again and [r[3] for r in first] == sorted(r[3] for r in first)
     assert all(0 <= r[3] <= 1 for r in first)
+
+
+def test_query_runs_the_schedules(spark, sf_small, monkeypatch):
+    """op3's rows come from the mix: in the order of first occurrence, which the schedules decide."""
+    from trailsift.llm.queries import QUERIES
+
+    def order():
+        return [(r["doc_id"], r["taken"]) for r in QUERIES["op3_curriculum_mix"](spark, sf_small).collect()]
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    first, taken = {}, {}
+    for r in mixing.mix(docs).collect():
+        first.setdefault(r["doc_id"], len(first))
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["mix_taken"]
+    got = order()
+    assert [i for i, t in got if t] == sorted(first, key=first.get)
+    assert dict(got) == {**dict.fromkeys((r["doc_id"] for r in docs.collect()), 0), **taken}
+    late = (((0.0, 0.01), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (1.0, 0.01)))
+    monkeypatch.setattr(mixing.mixed_documents, "__defaults__", (*mixing.mixed_documents.__defaults__[:-1], late))
+    assert order() != got and sorted(order()) == sorted(got)
+
+
+def test_mixed_documents_keep_awkward_rows(spark):
+    from tests.llm.helpers import awkward, awkward_frame
+    got = mixing.mixed_documents(awkward_frame(spark)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in awkward())
+    plan = mixing.plan_mix(awkward_frame(spark)).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got) == sorted(
+        (str(r["doc_id"]), r["mix"]["size"], sum(r["mix"]["taken"])) for r in plan)

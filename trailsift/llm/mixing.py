@@ -154,7 +154,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3,
         schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
     """Occurrences in training order: ``docs`` with ``mix_pass``, ``mix_taken``, ``mix_time``."""
-    planned = plan_mix(docs, id_col, text_col, source_col, weights, max_epochs)
+    return occurrences(plan_mix(docs, id_col, text_col, source_col, weights, max_epochs), schedules)
+
+
+def occurrences(planned: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
+    """The taken passes of a ``plan_mix``, sorted by the time at which each is due."""
     seen = planned.select("*", F.posexplode("mix.taken").alias("mix_pass", "mix_taken")).filter("mix_taken > 0")
     share = (F.col("mix_pass") * F.col("mix.source_size") + F.col("mix.start") + F.col("mix_taken") / 2.0) \
         / F.floor(F.col("mix.target") + 0.5)
@@ -163,3 +167,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         due = due_time(share, schedule)
         time = due if time is None else F.when(F.col("mix.rank") % len(schedules) == i, due).otherwise(time)
     return (seen.withColumn("mix_time", time).orderBy("mix_time", "mix.rank", "mix.order", "mix_pass"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3,
+                    schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
+    """(id, size, source_size, target, taken): every document once, in the order in which training
+    first meets it; what is not taken comes last. ``taken`` is the sum over its occurrences."""
+    planned = materialize(plan_mix(docs, id_col, text_col, source_col, weights, max_epochs)
+                          .select(F.col(id_col).alias("id"), "mix"), "mix-planned")
+    # A document that is taken has words, so no other one of its source starts where it does.
+    met = occurrences(planned, schedules).groupBy("mix.rank", "mix.start").agg(
+        F.max(F.struct("id", "mix.size", "mix.source_size", "mix.target")).alias("doc"),
+        F.sum("mix_taken").alias("taken"),
+        F.min(F.struct("mix_time", "mix.rank", "mix.order", "mix_pass")).alias("due")).select("doc.*", "taken", "due")
+    rest = planned.filter(~F.exists("mix.taken", lambda x: x > 0)).select(
+        "id", "mix.size", "mix.source_size", "mix.target", F.lit(0).cast("long").alias("taken"),
+        F.lit(None).cast(met.schema["due"].dataType).alias("due"))
+    return met.unionByName(rest).orderBy(F.col("due").asc_nulls_last(), "id").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken")

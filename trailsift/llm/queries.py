@@ -72,9 +72,7 @@ LEFT JOIN sets s ON s.g = q.g LEFT JOIN comps c ON c.node = s.node
 @query
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    planned = mixing.plan_mix(docs)
-    taken = F.aggregate("mix.taken", F.lit(0).cast("long"), lambda a, x: a + x)
-    return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
+    return mixing.mixed_documents(docs)
 
 
 SQL["op3_curriculum_mix"] = r"""
