@@ -131,3 +131,19 @@ def test_base_phrases():
     for text, want in (("CC-BY cc by", 2), ("ccc by", 0), ("cc byte", 0), ("cc é by", 0), ("all, rights\nreserved!", 1),
                        ("general public licenses", 0), ("The GENERAL-public_license", 1)):
         assert len(base.find(lower(text).encode())) == want, text
+
+
+def test_repeated_texts_in_runs_are_dropped(spark):
+    """A notice that is one more paragraph or list entry of a run goes, wherever it stands in it."""
+    notice = "<p>Subscribe to <b>our</b> letter</p>"
+    rows, want = [], {}
+    for i in range(24):
+        words = [f"word{i} number{k}" for k in range(1 + i % 4)]
+        paragraphs = [f"<p>{w}</p>" for w in words]
+        paragraphs.insert(i % (len(words) + 1), notice)
+        rows.append((i, f"https://runs.example/{i}", page(
+            f"<article>{''.join(paragraphs)}<ul><li>Print this<li>entry {i}<li>more {i}</ul></article>")))
+        want[i] = f"{' '.join(words)} entry {i} more {i}"
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

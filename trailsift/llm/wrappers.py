@@ -7,7 +7,8 @@ starred node, as in a list of paragraphs. The most frequent tree of a host is it
 Simple tree matching (the largest order-preserving matching of two trees' nodes, by dynamic
 programming over the children of matched nodes) aligns every page of the host with it, and the
 texts that meet at a seed node are counted over the host's distinct pages. A node whose
-text is the same on nearly all of them is template; starred nodes and headings are slots.
+text is the same on nearly all of them is template, and so is a text that some member of a
+run has on nearly all of them; the other members of runs, and headings, are slots.
 Together with the roles that tags, ``role`` and ``class`` state (menus, adverts, notices,
 comments and so on) this gives the host's wrapper.
 
@@ -31,7 +32,8 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -212,10 +214,17 @@ def _own_text(node: Node) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def shape(root: Node) -> tuple[list, list[tuple[int, int]]]:
-    """The collapsed tree [key, starred, children] and (number, text hash) of its texts; numbers the
-    nodes of the page. Only one node of a starred run is in the tree, and its text is a slot."""
-    texts: list[tuple[int, int]] = []
+def _text_hash(node: Node) -> int:
+    """Of the text that stands in the node itself; 0 if there is none."""
+    text = _own_text(node)
+    return zlib.crc32(text.encode("utf-8", "replace")) << 20 | len(text) & 0xFFFFF if text else 0
+
+
+def shape(root: Node) -> tuple[list, list[tuple[int, int, bool]]]:
+    """The collapsed tree [key, starred, children] and (number, text hash, lone) of its texts; numbers
+    the nodes of the page. Only one node of a starred run is in the tree; each text of its members
+    counts once, as not lone."""
+    texts: list[tuple[int, int, bool]] = []
     counter = [0]
 
     def plan(node: Node) -> tuple[list, list]:
@@ -237,10 +246,9 @@ def shape(root: Node) -> tuple[list, list[tuple[int, int]]]:
         counter[0] += 1
         for node, _ in runs:
             node.number = mine
-        if len(runs) == 1 and not starred and runs[0][0].tag not in HEADINGS:
-            text = _own_text(runs[0][0])
-            if text:
-                texts.append((mine, zlib.crc32(text.encode("utf-8", "replace")) << 20 | len(text) & 0xFFFFF))
+        if runs[0][0].tag not in HEADINGS:
+            lone = len(runs) == 1 and not starred
+            texts.extend((mine, h, lone) for h in sorted({_text_hash(node) for node, _ in runs} - {0}))
         for k, child in enumerate(tree[2]):
             members = [r for _, behind in runs for r in behind[k]]
             number(child, members, starred or bool(child[1]))
@@ -296,12 +304,15 @@ def match_trees(page: list, seed: list) -> dict[int, int]:
     return out
 
 
-def article_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks of the article in page order, joined by a space."""
+def article_text(root: Node, template: frozenset[int] = frozenset(),
+                 repeated: Mapping[int, frozenset[int]] = MappingProxyType({})) -> str:
+    """The main text: blocks of the article in page order, joined by a space. Nodes of ``template``
+    are silent, and those whose text is among the ``repeated`` ones of their number."""
     parts: list[str] = []
 
-    def add(node: Node) -> None:
-        silent = node.number in template
+    def add(node: Node, silent: bool = False) -> None:
+        silent = silent or node.number in template or (
+            node.number in repeated and _text_hash(node) in repeated[node.number])
         for item in node.items:
             if isinstance(item, str):
                 if not silent:
@@ -309,7 +320,7 @@ def article_text(root: Node, template: frozenset[int] = frozenset()) -> str:
             elif item.role == "other" and not _is_title(item):
                 parts.append("" if item.inline else " ")
             elif item.inline:
-                add(item)
+                add(item, silent and not item.role)
             else:
                 parts.append(" ")
                 add(item)
@@ -381,18 +392,19 @@ def _loose_blocks(root: Node) -> list[Node]:
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page: host, tree, texts by node, and a hash of all texts."""
     for batch in batches:
-        trees, numbers, hashes, wholes = [], [], [], []
+        trees, numbers, hashes, lone, wholes = [], [], [], [], []
         for page in batch.column("html"):
             text = page.as_py() or ""
             tree, texts = shape(parse(text))
             trees.append(json.dumps(tree, separators=(",", ":")))
-            numbers.append([n for n, _ in texts])
-            hashes.append([h for _, h in texts])
+            numbers.append([n for n, _, _ in texts])
+            hashes.append([h for _, h, _ in texts])
+            lone.append([x for _, _, x in texts])
             wholes.append(zlib.crc32(text.encode("utf-8", "replace")))
         yield pa.RecordBatch.from_arrays(
             [batch.column("host"), pa.array(trees, pa.string()), pa.array(numbers, pa.list_(pa.int32())),
-             pa.array(hashes, pa.list_(pa.int64())), pa.array(wholes, pa.int64())],
-            names=["host", "tree", "numbers", "hashes", "whole"])
+             pa.array(hashes, pa.list_(pa.int64())), pa.array(lone, pa.list_(pa.bool_())), pa.array(wholes, pa.int64())],
+            names=["host", "tree", "numbers", "hashes", "lone", "whole"])
 
 
 _aligned: dict[tuple[str, str], dict[int, int]] = {}
@@ -408,73 +420,93 @@ def _align(tree: str, seed: str) -> dict[int, int]:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, seed node, text hash) of every text that is aligned with its host's seed."""
+    """(host, seed node, text hash, lone) of every text that is aligned with its host's seed, and a row
+    with hash 0 for every page and seed node with a text."""
     for batch in batches:
-        hosts, nodes, found = [], [], []
-        for host, tree, seed, numbers, hashes in zip(*(batch.column(c).to_pylist() for c in (
-                "host", "tree", "seed", "numbers", "hashes"))):
+        hosts, nodes, found, alone = [], [], [], []
+        for host, tree, seed, numbers, hashes, lone in zip(*(batch.column(c).to_pylist() for c in (
+                "host", "tree", "seed", "numbers", "hashes", "lone"))):
             match = _align(tree, seed)
-            for n, h in zip(numbers, hashes):
-                if n in match:
-                    hosts.append(host)
-                    nodes.append(match[n])
-                    found.append(h)
+            rows = [(match[n], h, x) for n, h, x in zip(numbers, hashes, lone) if n in match]
+            rows += [(n, 0, False) for n in {n for n, _, _ in rows}]
+            hosts.extend([host] * len(rows))
+            nodes.extend(r[0] for r in rows)
+            found.extend(r[1] for r in rows)
+            alone.extend(r[2] for r in rows)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()),
-                                          pa.array(found, pa.int64())], names=["host", "node", "hash"])
+                                          pa.array(found, pa.int64()), pa.array(alone, pa.bool_())],
+                                         names=["host", "node", "hash", "lone"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, seed, template): a wrapper for each host of ``pages`` (host, html)."""
+    """(host, seed, template, repeated): a wrapper for each host of ``pages`` (host, html). Nodes of
+    ``template`` are constant where they stand alone; ``repeated`` has (node, hash) of constant texts."""
     shapes = materialize(pages.mapInArrow(
-        _shapes, "host string, tree string, numbers array<int>, hashes array<long>, whole long"), "wrapper-shapes")
+        _shapes, "host string, tree string, numbers array<int>, hashes array<long>, lone array<boolean>, whole long"), "wrapper-shapes")
     seeds = materialize(shapes.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(
         F.max_by("tree", F.struct("n", "tree")).alias("seed")), "wrapper-seeds")
     small = seeds.count() <= BROADCAST_HOSTS
     distinct = shapes.groupBy("host", "whole", "tree").agg(F.first("numbers").alias("numbers"),
-                                                            F.first("hashes").alias("hashes"))
+                                                            F.first("hashes").alias("hashes"),
+                                                            F.first("lone").alias("lone"))
     met = distinct.join(F.broadcast(seeds) if small else seeds, "host").select(
-        "host", "tree", "seed", "numbers", "hashes").mapInArrow(_meetings, "host string, node int, hash long")
-    nodes = met.groupBy("host", "node", "hash").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "node").agg(
-        F.sum("n").alias("total"), F.max("n").alias("top"))
-    constant = nodes.filter((F.col("total") >= LEAST_PAGES) & (F.col("top") >= TEMPLATE_SHARE * F.col("total")))
+        "host", "tree", "seed", "numbers", "hashes", "lone").mapInArrow(
+        _meetings, "host string, node int, hash long, lone boolean")
+    nodes = materialize(met.groupBy("host", "node", "hash").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("lone").alias("alone")), "wrapper-nodes")
+    pages_of = nodes.groupBy("host", "node").agg(
+        F.sum("alone").alias("total"), F.max("alone").alias("top"), F.max(F.when(F.col("hash") == 0, F.col("n"))).alias("pages"))
+    constant = pages_of.filter((F.col("total") >= LEAST_PAGES) & (F.col("top") >= TEMPLATE_SHARE * F.col("total")))
     template = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return materialize(seeds.join(template, "host", "left"), "wrappers")
+    # A text on fewer pages than this can't be on nearly all of LEAST_PAGES: the many rare ones are not dealt by node.
+    common = nodes.filter((F.col("hash") != 0) & (F.col("n") >= TEMPLATE_SHARE * LEAST_PAGES))
+    repeated = common.join(pages_of.filter(F.col("pages") >= LEAST_PAGES), ["host", "node"]).filter(
+        F.col("n") >= TEMPLATE_SHARE * F.col("pages")).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("repeated"))
+    return materialize(seeds.join(template, "host", "left").join(repeated, "host", "left"), "wrappers")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for page, seed, template in zip(batch.column("__html"), *(batch.column(c).to_pylist()
-                                                                  for c in ("seed", "template"))):
+        texts_out = []
+        for page, seed, template, repeated in zip(batch.column("__html"), *(batch.column(c).to_pylist() for c in (
+                "seed", "template", "repeated"))):
             root = parse(page.as_py() or "")
             drop: frozenset[int] = frozenset()
-            if template:
+            same: dict[int, frozenset[int]] = {}
+            if template or repeated:
                 tree, _ = shape(root)
-                fixed = set(template)
+                fixed, texts = set(template or ()), {}
+                for r in repeated or ():
+                    texts.setdefault(r["node"], set()).add(r["hash"])
                 match = _align(json.dumps(tree, separators=(",", ":")), seed)
-                # Seed nodes that are template never stand for a run or a heading: those have no text counted.
-                starred = _starred(tree)
-                drop = frozenset(n for n, s in match.items() if s in fixed and n not in starred)
-            texts.append(article_text(root, drop))
+                # Of a run only the repeated texts go; headings have no text counted.
+                starred, headings = _starred(tree)
+                drop = frozenset(n for n, s in match.items() if s in fixed and n not in starred and n not in headings)
+                same = {n: frozenset(texts[s]) for n, s in match.items() if s in texts and n not in headings}
+            texts_out.append(article_text(root, drop, same))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("__id", "__url")), pa.array(texts, pa.string())],
+            [*(batch.column(c) for c in ("__id", "__url")), pa.array(texts_out, pa.string())],
             names=["__id", "__url", "text"])
 
 
-def _starred(tree: list) -> set[int]:
-    """Numbers of nodes that are, or lie inside, a run."""
+def _starred(tree: list) -> tuple[set[int], set[int]]:
+    """Numbers of nodes that are, or lie inside, a run; and those of headings."""
     out: set[int] = set()
+    headings: set[int] = set()
     counter = [0]
 
     def walk(node: list, inside: bool) -> None:
         inside = inside or bool(node[1])
-        if inside or node[0].split(".")[0] in HEADINGS:
+        if inside:
             out.add(counter[0])
+        if node[0].split(".")[0] in HEADINGS:
+            headings.add(counter[0])
         counter[0] += 1
         for child in node[2]:
             walk(child, inside)
     walk(tree, False)
-    return out
+    return out, headings
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -486,7 +518,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     small = wrappers.count() <= BROADCAST_HOSTS
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     found = slim.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select(
-        "__id", "__url", "__html", "seed", "template").mapInArrow(
+        "__id", "__url", "__html", "seed", "template", "repeated").mapInArrow(
         _extract, f"__id {kinds['__id']}, __url {kinds['__url']}, text string")
     return found.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), "text",
                         F.length("text").cast("long").alias("n_chars"))
