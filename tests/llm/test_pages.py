@@ -147,3 +147,26 @@ def test_repeated_texts_in_runs_are_dropped(spark):
     got = {r["page_id"]: r["text"] for r in wrappers.extract(
         spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+DEEP = "<div>" * 400, "</div>" * 400
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<article><p>the <a href='/wiki/Hidden_Markov_model'>hidden model</a></p></article>", "the hidden model"),
+    ("<article><p>see <a href=\"/x?id=comments\">these words</a> <a title='role=menu'>too</a></p></article>",
+     "see these words too"),
+    ("<article><p>a <a href=/x?id=comments>b</a><a data-id='menu'>c</a><b x-hidden>d</b></p></article>", "a bcd"),
+    ("<article><p hidden>no</p><p title='x' HIDDEN>no</p><p id = ads>no</p><p a=1 class=\"ad x\">no</p>yes</article>", "yes"),
+    ("<div class='content'>" + DEEP[0] + "<p>deep</p>words<b>here</b>" + DEEP[1] + "<p>after</p></div>",
+     "deep wordshere after"),
+    ("<article>" + DEEP[0] + "a<nav><div><a>menu</a></div></nav>b<div hidden>no</div>" + DEEP[1] + "<p>c</p></article>",
+     "a b c"),
+    (DEEP[0] + "loose<article><header><h1>Title</h1></header><p>text<aside>no</aside></article>" + DEEP[1] + "<p>end</p>",
+     "Title text"),
+    (DEEP[0] + "<main>" * 30 + "<p>x</p><nav>no<p>no</p></nav>y" + "</main>" * 30 + DEEP[1], "x y"),
+])
+def test_attributes_and_depth_lose_no_words(html, want):
+    root = wrappers.parse(page(html))
+    wrappers.shape(root)
+    assert wrappers.article_text(root) == want

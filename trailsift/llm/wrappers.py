@@ -22,7 +22,8 @@ Edge cases
 Null or empty html: text ``""``. Null urls share the empty host. Unclosed, crossed and
 missing tags are tolerated; ``<`` that opens no tag is text. A host with fewer than
 ``LEAST_PAGES`` distinct pages has no template nodes, roles decide. Elements nested deeper than
-``DEEPEST`` count as part of the element there. Null ids and repeated rows are extracted like
+``DEEPEST`` count as part of the element there, unless they state a role; their end tags close only
+themselves. (``DEEPEST_ROLE`` levels of such elements are told apart; what is no article goes at any depth.) Null ids and repeated rows are extracted like
 any other; an empty table gives an empty table.
 """
 
@@ -44,7 +45,7 @@ from trailsift.llm.url_filter import host_and_path
 
 #: A text that this share of a host's distinct pages have at a node is template.
 TEMPLATE_SHARE, LEAST_PAGES = 0.9, 10
-DEEPEST = 150
+DEEPEST, DEEPEST_ROLE = 150, 20
 #: Wrappers of more hosts than this are joined by shuffle instead of broadcast.
 BROADCAST_HOSTS = 20_000
 
@@ -73,19 +74,22 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
                   r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
-                        re.I)
+#: One attribute after the other, name and value: a value is never searched for names.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
+_SAYS = frozenset(("class", "id", "role", "hidden", "style", "aria-hidden"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile("[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "role", "items", "number", "inline")
+    __slots__ = ("tag", "key", "role", "items", "number", "inline", "level", "shared")
 
     def __init__(self, tag: str, key: str, role: str):
         #: role: "" (nothing said), "article" or "other"; number: place in the page's tree, or -1.
         self.tag, self.key, self.role, self.items, self.number = tag, key, role, [], -1
         self.inline = tag in INLINE
+        #: Depth in the tree, and whether the node is none of the tree's own: its items are those of one around it.
+        self.level, self.shared = 1, False
 
 
 def _role(tag: str, attributes: str) -> tuple[str, str]:
@@ -98,7 +102,10 @@ def _role(tag: str, attributes: str) -> tuple[str, str]:
     if not attributes.strip():
         return role, words
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        name = m[1].lower()
+        if name not in _SAYS:
+            continue
+        value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             found = _WORDS.findall(value)
             if name == "class":
@@ -151,27 +158,40 @@ def parse(text: str) -> Node:
             continue
         if tag not in INLINE:
             _make_room(stack, tag)
-        if len(stack) >= DEEPEST:
-            if tag not in INLINE:
-                stack[-1].items.append(" ")
-            continue
         role, words = _role(tag, attributes)
         node = Node(tag, f"{tag}.{words}" if words else tag, role)
-        stack[-1].items.append(node)
+        parent = stack[-1]
+        if parent.level < DEEPEST or ((role or tag in HEADINGS) and parent.level < DEEPEST + DEEPEST_ROLE):
+            node.level = parent.level + 1
+            parent.items.append(node)
+        else:
+            node.level = parent.level
+            if role != "other":
+                node.items, node.shared = parent.items, True
+            if not node.inline:
+                parent.items.append(" ")
         stack.append(node)
     return root
 
 
+def _end(stack: list[Node], k: int) -> None:
+    """Ends the open elements from the k-th on."""
+    for node in stack[k:]:
+        if node.shared and not node.inline:
+            node.items.append(" ")
+    del stack[k:]
+
+
 def _make_room(stack: list[Node], tag: str) -> None:
     """A block element ends an open paragraph, and some elements end their like."""
     closes, scope = CLOSES.get(tag, ()), SCOPE.get(tag, ())
     for k in range(len(stack) - 1, 0, -1):
         name = stack[k].tag
         if name == "p":
-            del stack[k:]
+            _end(stack, k)
             return _make_room(stack, tag) if closes else None
         if name in closes:
-            del stack[k:]
+            _end(stack, k)
             if name == tag or tag in ("dt", "dd", "td", "th"):
                 return
             continue
@@ -182,7 +202,7 @@ def _make_room(stack: list[Node], tag: str) -> None:
 def _close(stack: list[Node], tag: str) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
-            del stack[k:]
+            _end(stack, k)
             return
         # A closing inline tag doesn't end blocks around it.
         if tag in INLINE and not stack[k].inline:
