@@ -170,3 +170,15 @@ def test_attributes_and_depth_lose_no_words(html, want):
     root = wrappers.parse(page(html))
     wrappers.shape(root)
     assert wrappers.article_text(root) == want
+
+
+@pytest.mark.parametrize("text, label", [
+    ("under the gnu general public license,\nversion 2 only", "gpl-2.0"), ("the mit\nlicense", "mit"),
+    ("apache license,  version\t2.0", "apache-2.0"), ("# gnu lesser general\n#  public license, version 3\n", "lgpl-3.0"),
+    (" * the gnu general\r\n *\r\n * public license, version 3", "gpl-3.0"), ("// bsd\n// 2-clause", "bsd-2-clause"),
+    ("/* permission is hereby granted, free of charge, to any\n * person obtaining a copy of", "mit"),
+    ("you may not use this file except\n    in compliance with the license.", "apache-2.0"),
+    *((body.replace(" ", "\n# "), label) for label, body in licenses.BODIES),
+])
+def test_licenses_across_line_breaks(text, label):
+    assert label in {r.label for _, _, r in licenses.Scanner().detect(text)}

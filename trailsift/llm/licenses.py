@@ -2,10 +2,12 @@
 
 Method
 ------
-Each license has names (regular expressions over lower-cased text) and an identifier; written
-into sentence patterns of several kinds they give some hundreds of rules with a priority and a
-confidence by kind: identifier tags first, grants next, then references and bare names. A
-keyword automaton runs over the whole text first, and only rules whose keyword occurs are
+Each license has names (regular expressions over lower-cased text), an identifier and, where it
+has wording of its own, sentences of its body. Names and identifiers written into sentence and tag
+patterns give some hundreds of generated rules with a priority and a confidence by kind: identifier
+tags first, grants and body sentences next, then references and bare names. The sentence patterns
+decide score and suppression; the label comes from the name. Runs of white space, and comment marks
+at the start of lines, count as one space. A keyword automaton runs over the whole text first, and only rules whose keyword occurs are
 tried. Detections are then taken by priority, length and place; one that lies inside a
 detection already taken is suppressed, so "license mit" inside "released under the mit
 license" counts once.
@@ -100,6 +102,34 @@ IDENTIFIERS = ("apache-2.0", "apache-1.1", "mit", "mit-0", "bsd-2-clause", "bsd-
                "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "gfdl", "mpl-1.1", "mpl-2.0", "epl-1.0",
                "epl-2.0", "cddl", "eupl", "artistic-2.0", "isc", "zlib", "unlicense", "wtfpl", "odbl", "odc-by",
                "ms-pl", "cc0", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd")
+#: Sentences of the licenses' own texts (lower case, single spaces), with their labels.
+BODIES = (
+    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("isc", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
+    ("bsd", "redistribution and use in source and binary forms, with or without modification"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("gpl-1.0", "either version 1, or (at your option) any later version"),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation; either version 2"),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation, either version 3"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation; either version 2.1"),
+    ("lgpl-3.0", "gnu lesser general public license as published by the free software foundation, either version 3"),
+    ("agpl-3.0", "gnu affero general public license as published by the free software foundation, either version 3"),
+    ("gfdl", "permission is granted to copy, distribute and/or modify this document under the terms of the gnu free "
+             "documentation license"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1.1"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("epl-1.0", "the accompanying materials are made available under the terms of the eclipse public license v1.0"),
+    ("epl-2.0", "the accompanying materials are made available under the terms of the eclipse public license 2.0"),
+    ("zlib", "this software is provided 'as-is', without any express or implied warranty"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("boost", "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+              "software and accompanying documentation"),
+    ("cc0", "waived all copyright and related or neighboring rights"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+)
+BODY_PRIORITY, BODY_CONFIDENCE = 4, 0.95
 #: Sentence patterns around a name: priority, confidence, text before, text after.
 KINDS = (
     (4, 0.95, r"(?:licensed|released|distributed|published|available|provided)"
@@ -124,9 +154,11 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules: every name in every sentence, and every identifier in two tag forms."""
+    """All rules: every name in every sentence, body sentences, and every identifier in two tag forms."""
     out = [Rule(label, keyword, priority, confidence, rf"(?<![a-z0-9]){before}(?:{name}){after}(?![a-z0-9])")
            for label, keyword, name in NAMES for priority, confidence, before, after in KINDS]
+    out += [Rule(label, body, BODY_PRIORITY, BODY_CONFIDENCE, rf"(?<![a-z0-9]){re.escape(body)}(?![a-z0-9])")
+            for label, body in BODIES]
     for label in IDENTIFIERS:
         spelled = re.escape(label)
         out.append(Rule(label, "spdx", 5, 1.0, rf"spdx-license-identifier: ?{spelled}(?:-only|-or-later|-[1-4]\.0)?"
@@ -135,6 +167,15 @@ def rules() -> list[Rule]:
     return out
 
 
+#: White space that is no single space, with the comment marks at the start of the next line.
+_RUNS = re.compile(r"[ \t\r\f\v\xa0]*\n(?:\s|(?:/{2,}|/?\*+|#+|;+|%+|--+|>+)(?=\s))*|[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]")
+
+
+def one_line(text: str) -> str:
+    """The text as the rules read it: places keep their order, so what lies inside what does not change."""
+    return _RUNS.sub(" ", text)
+
+
 class Scanner:
     """Compiled rules and the automaton over their keywords; one per Python worker."""
 
@@ -150,7 +191,9 @@ class Scanner:
         self.automaton.make_automaton()
 
     def detect(self, text: str) -> list[tuple[int, int, Rule]]:
-        """Detections (start, end, rule) in lower-cased text that no other one suppresses."""
+        """Detections (start, end, rule) in lower-cased text that no other one suppresses; places are
+        those of ``one_line(text)``."""
+        text = one_line(text)
         wanted: dict[int, list[int]] = {}
         for _, found in self.automaton.iter(text):
             wanted[id(found)] = found
