@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailsift.llm import language_id, minhash, mixing, packing, quality
-from trailsift.llm.common import WORD, materialize, prepare, read_table
+from trailsift.llm.common import materialize, prepare, read_table
 from trailsift.llm.queries import byte_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -64,15 +64,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Occurrences in training order: a document once per pass that the mix takes of it.
 
-    The one document at a source's target keeps its leading words, as many as the target has room for.
+    The one document at a source's target is taken whole or not at all, whichever lands nearer the target.
     """
     prepare(spark)
     seen = mixing.mix(docs.select(*COLUMNS))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    part = F.col("mix_taken") < F.col("mix.size")
-    text = F.when(part, F.array_join(F.slice(words, 1, F.col("mix_taken").cast("int")), " ")).otherwise(F.col("text"))
-    return seen.withColumn("text", text).withColumn(
-        "n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return seen.filter(2 * F.col("mix_taken") >= F.col("mix.size")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,11 @@ def test_mixed_documents_keep_awkward_rows(spark):
     plan = mixing.plan_mix(awkward_frame(spark)).collect()
     assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got) == sorted(
         (str(r["doc_id"]), r["mix"]["size"], sum(r["mix"]["taken"])) for r in plan)
+
+
+def test_the_pipeline_writes_whole_texts(spark):
+    import corpus_pipeline
+    rows = [(i, f"line {i}\n" + "word  " * (40 + 13 * i) + "end", "en", f"s{i % 3}", 7) for i in range(40)]
+    got = corpus_pipeline.mixed(spark, spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert got and {tuple(r) for r in got} <= set(rows)
