@@ -23,7 +23,7 @@ def test_sql(spark, sf_small, name):
 def test_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= names and set(SQL) <= set(entry.oracle_sql())
 
 

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage (op1 ... op10) and their DuckDB SQL."""
+"""The registered queries of this subpackage (op1 ... op13) and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from trailsift.llm import (language_id, licenses, lm_score, minhash, mixing, packing, quality, url_filter,
-                           vector_links, wrappers)
+from trailsift.llm import (centroids, credentials, language_id, licenses, lm_score, minhash, mixing, packing, quality,
+                           source_audit, url_filter, vector_links, wrappers)
 from trailsift.llm.common import fold, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,79 @@ def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_audit"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+places AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM places GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM places JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(max(z.v), 0) AS v, coalesce(sum(c.c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes z ON z.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + g.v) AS p,
+    1 + (1000000000::HUGEINT * (k.total + 1)) // (z.n + z.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes z ON z.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM cells WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dimension=64)
+
+
+def _cluster_sql(k: int, rounds: int, seed: int, dimension: int) -> str:
+    """Every round as a table of its own: centroids ``c<n>``, assignments ``a<n>``."""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, [floor(1024 * x::DOUBLE)::HUGEINT FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dimension}
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k, x FROM v QUALIFY k < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT id, vec_id, x, best.k AS k, best.d AS d FROM (
+    SELECT v.id, v.vec_id, v.x, min({{'d': list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) FOR i IN range(1, {dimension + 1})]),
+      'k': c.k}}) AS best FROM v CROSS JOIN c{n} c GROUP BY v.id, v.vec_id, v.x))""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+      SELECT k, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{n}, range(1, {dimension + 1}) r(i) GROUP BY k, i)
+    GROUP BY k) m ON m.k = c.k)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT a.vec_id, a.k::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string([y::VARCHAR FOR y IN c.x], ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+SQL["op12_centroid_clusters"] = _cluster_sql(8, 10, 3, 64)
+
+
+@query
+def op13_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(read_table(spark, sf_dir, "documents"))
