@@ -7,11 +7,11 @@ terms that stand in at least three of its documents; its groups (sources) and it
 and columns of a count matrix. A group gives a term p = 1 + floor(10^9 (count + 1) / (N + V)), and a pair of
 groups is priced by the sum of floor((p - q)^2 / q) over all kept terms.
 
-The matrix is stored as K-squared quadtrees, one for each tile of 64 groups and 4,096 terms (terms are
+The matrix is stored as K-squared quadtrees, one for each tile of 64 groups and 1,024 terms (terms are
 numbered from frequent to rare, so that zeros lie together). A quadrant without a count is uniform: each of
 its cells has the group's smallest p, so all-zero quadrants are priced analytically, from the number of
 terms and from a histogram of each group's counts. Where two trees both have nonzero quadrants over the same
-terms they are traversed jointly, for all group pairs of two tiles at once, down to leaves of 64 terms; those
+terms they are traversed jointly, for all group pairs of two tiles at once, down to leaves of 16 terms; those
 add what the analytic price lacks. All of it is integer arithmetic, so the result doesn't depend on the order.
 
 Counting runs in the tasks that read the text (bounded tables, written out when full); what is shuffled
@@ -44,7 +44,7 @@ from trailsift.operators.components import dense_index
 LEAST_DOCS = 3
 TOP_TERMS = 200
 #: A tile has 2^TILE_BITS rows and 2^TILE_BITS leaves of 2^LEAF_BITS terms.
-TILE_BITS, LEAF_BITS = 6, 6
+TILE_BITS, LEAF_BITS = 6, 4
 #: Distinct (group, term) entries a counting task holds before it writes them out, and bytes split at once.
 HELD_TERMS, HELD_BYTES = 300_000, 1 << 22
 
@@ -206,9 +206,10 @@ def count_matrix(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     p, least, q), one row per group and kept term with a count; q is the language's p."""
     slim = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in (
         (lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
+    # The tasks have added up their documents' counts: dealing them by key first spares Spark a second combining.
     counts = materialize(
         slim.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-counts")
+        .repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-counts")
     kept = (counts.filter(F.col("term").isNotNull()).groupBy("lang", "term")
             .agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
             .select("lang", "term", "total", (-F.col("total")).alias("__order")))
@@ -216,9 +217,7 @@ def count_matrix(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cells = materialize(counts.filter(F.col("term").isNotNull()).select("lang", "source", "term", "n")
                         .join(kept, ["lang", "term"]), "audit-cells")
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("__n"))
-    # V and N of a language from its terms: total and one count of each term stand in any one group's cells.
-    sizes = (cells.groupBy("lang", "term").agg(F.max("total").alias("total")).groupBy("lang")
-             .agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("__total")))
+    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("__total"))
     mass = F.coalesce("__n", F.lit(0).cast("long")) + F.col("terms")
     groups = (counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left")
               .join(sizes, "lang", "left")
