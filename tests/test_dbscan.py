@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from brute import sequential_dbscan, union_find_components
+from trailsift.operators import box_join
 from trailsift.operators.components import connected_components, dense_index
 from trailsift.operators.dbscan import dbscan_vectors
 
@@ -104,37 +105,63 @@ def test_dense_index_is_global_rank(spark):
     assert got == {k: k for k in range(500)}
 
 
-def _candidates(spark, cells, reach):
-    from trailsift.operators.dbscan import candidate_pairs
-    d = len(cells[0])
-    gcols = [f"g{i:02d}" for i in range(d)]
-    units = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(cells)],
-                                  "uid long, " + ", ".join(f"{g} long" for g in gcols))
-    rows = candidate_pairs(units, gcols, reach).select("a.uid", "b.uid").collect()
-    found = [tuple(r) for r in rows]
-    assert len(found) == len(set(found))
-    diff = np.abs(cells[:, None, :] - cells[None, :, :]).max(axis=2)
-    near = {(i, j) for i, j in zip(*np.nonzero(diff <= reach))}
-    assert near <= set(found)
-    return found, near
+def _near(spark, low, high, limit, side=0.4):
+    """Pairs found by the tree join, checked against all pairs; how many each level compared."""
+    n, d = low.shape
+    gcols, lo, hi = ([f"{c}{i:02d}" for i in range(d)] for c in ("g", "lo", "hi"))
+    cells = np.floor(low / side).astype(int)
+    rows = [(1000 + i, *map(int, g), *map(float, a), *map(float, b)) for i, (g, a, b) in enumerate(zip(cells, low, high))]
+    boxes = spark.createDataFrame(rows, "uid long, " + ", ".join(
+        [f"{g} long" for g in gcols] + [f"{c} double" for c in [*lo, *hi]]))
+    ranges = [(int(c.min()), int(c.max())) for c in cells.T]
+    placed = box_join.numbered(boxes, gcols, ranges, "uid").persist()
+    assert sorted(r.idx for r in placed.select("idx").collect()) == list(range(n))
+    seen = []
+    rows = [tuple(r) for r in box_join.near_pairs(placed, n, lo, hi, limit, "uid", seen).collect()]
+    assert len({frozenset(r) for r in rows}) == len(rows)
+    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+    want = {(i, j) for i, j in zip(*np.nonzero((gap ** 2).sum(axis=2) <= limit)) if i < j}
+    assert {(min(r) - 1000, max(r) - 1000) for r in rows} == want
+    compared = [s.count() for s in seen]
+    placed.unpersist()
+    return want, compared
+
+
+def test_near_boxes_on_narrow_axes(spark):
+    # 13 axes a standard deviation wide, no gaps: no single axis separates anything.
+    rng = np.random.default_rng(8)
+    low = rng.uniform(-3 ** .5, 3 ** .5, (2000, 13))
+    _, compared = _near(spark, low, low, 2.25)
+    pairs = 2000 * 1999 / 2
+    assert compared[-1] < 0.1 * pairs and sum(compared) < 0.33 * pairs
+
+
+def test_near_boxes_of_spread_and_gapped_data(spark):
+    rng = np.random.default_rng(5)
+    low = np.concatenate([rng.uniform(-120, 120, (1500, 4)), rng.uniform(0, 2.4, (1500, 9))], axis=1)
+    want, compared = _near(spark, low, low + rng.uniform(0, 0.3, low.shape), 2.25)
+    assert sum(compared) < 0.08 * 1500 * 1499 / 2  # a 16th of all pairs is what cells of four cost in the widest step
+    centres = rng.integers(0, 2, (600, 5)) * 40.0
+    low = centres + rng.uniform(0, 2, centres.shape)
+    want, compared = _near(spark, low, low, 2.25)
+    assert len(want) > 100 and sum(compared) < 0.12 * 600 * 599 / 2
 
 
-def test_candidates_of_spread_cells_are_few(spark):
-    rng = np.random.default_rng(5)
-    spread = rng.integers(-300, 300, (1500, 4))
-    narrow = rng.integers(0, 6, (1500, 9))
-    found, near = _candidates(spark, np.concatenate([spread, narrow], axis=1), 4)
-    assert len(found) <= 3 * len(near) + 1500
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 9])
+def test_near_boxes_few_and_equal(spark, n):
+    low = np.repeat([[1.0, -2.0]], n, axis=0)
+    want, _ = _near(spark, low, low, 0.0)
+    assert len(want) == n * (n - 1) // 2
 
 
-def test_gaps_separate_groups_without_replication(spark):
-    rng = np.random.default_rng(6)
-    centres = rng.integers(0, 2, (200, 5)) * 40
-    found, near = _candidates(spark, centres + rng.integers(0, 4, (200, 5)), 4)
-    assert set(found) == near          # one coarse cell a segment: exactly the members of a group
+def test_one_axis_and_one_cell(spark):
+    low = np.arange(300.0)[:, None]
+    want, compared = _near(spark, low, low + 0.25, 1.0)
+    assert len(want) == 299 and sum(compared) < 0.1 * 300 * 299 / 2
 
 
-def test_all_axes_narrow(spark):
-    rng = np.random.default_rng(7)
-    found, near = _candidates(spark, rng.integers(0, 3, (40, 13)), 4)
-    assert len(found) == len(near) == 1600
+def test_levels_end_in_one_root():
+    for n in (1, 2, 3, 4, 5, 256, 257, 10 ** 9):
+        sizes = box_join.levels(n)
+        assert sizes[0] == 1 and sizes[-1] >= n and all(b % a == 0 for a, b in zip(sizes, sizes[1:]))
+        assert len(sizes) == 1 or sizes[-2] < n

@@ -14,12 +14,11 @@ Plan (no per-row Python):
 3. Sub-cells of side ``eps / sqrt(d)``: any two points of a sub-cell are
    neighbours, so a sub-cell of weight >= ``min_samples`` is all core and
    internally connected without emitting a single pair.
-4. Candidate sub-cell pairs: equi-join on the segments between gaps wider than
-   eps on all axes and on a coarse grid over the most spread ones (one side
-   exploded to the 3^k adjacent coarse cells), then an exact integer filter on
-   the gap between the two boxes over all d axes. Where no axis spans more than
-   a few eps and none has a gap, most sub-cells are candidates of each other:
-   in 13 dimensions no partition by single axes separates such data.
+4. Candidate sub-cell pairs: those whose bounding boxes (of the points inside) are within
+   eps, found by walking down a tree of size-bounded cells (``box_join``): no axis has to
+   separate the data by itself, nothing is replicated. In 13 narrow dimensions without any
+   structure, most cells of four and more boxes stay near each other; the join then compares
+   about a quarter of all pairs of sub-cells (boxes and cells together).
 5. Bounding boxes of the points in each sub-cell decide a (point, sub-cell) or
    (sub-cell, sub-cell) pair wholesale when the boxes are entirely within or
    beyond eps; only partly overlapping pairs go to vector pairs with the exact
@@ -32,7 +31,6 @@ Plan (no per-row Python):
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -41,6 +39,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from trailsift.operators.box_join import near_pairs, numbered
 from trailsift.operators.components import connected_components, dense_index
 from trailsift.operators.features import (FEATURES, SCALED, collapse, first_pass_metrics,
                                          scale_stats, scaled_columns)
@@ -89,56 +88,11 @@ def _dist2(a: str, b: str, zcols: list[str]) -> Column:
     return F.expr(_sum_sql([_sq(f"{a}.{z} - {b}.{z}") for z in zcols]))
 
 
-def _occupied(units: DataFrame, gcols: list[str]) -> list[list[int]]:
-    """The cell numbers that occur on each axis, sorted (one aggregation; their number is
-    bounded by the spread of a standardised axis, at most sqrt(rows) / cell side)."""
-    row = units.agg(*[F.collect_set(g).alias(g) for g in gcols]).first()
-    return [sorted(row[g]) for g in gcols]
-
-
-def _cuts(cells: list[int], reach: int, most: int = 1000) -> list[int]:
-    """First cell after each gap wider than ``reach``: no neighbours lie on two sides of one.
-
-    Beyond ``most`` cuts an even selection of them is kept; fewer cuts prune less, but are as exact.
-    """
-    cuts = [b for a, b in zip(cells, cells[1:]) if b - a > reach]
-    step = -(-len(cuts) // most) if cuts else 1
-    return cuts[::step]
-
-
-def candidate_pairs(units: DataFrame, gcols: list[str], reach: int, max_axes: int = 4) -> DataFrame:
-    """(a, b) rows of ``units`` (uid, gcols) that may lie within ``reach`` cells on every axis.
-
-    An equi-join on the segments between gaps of all axes, which replicates nothing, and on a
-    coarse grid of cells ``reach`` wide over the axes with the most of them (one side takes the
-    3^k adjacent cells). A filter on the boxes decides; only its work depends on the choice of axes.
-    """
-    occupied = _occupied(units, gcols)
-    keys = []
-    for g, cells in zip(gcols, occupied):
-        cuts = _cuts(cells, reach)
-        if cuts:
-            keys.append(_segment(g, cuts))
-    segments = [f"s{j}" for j in range(len(keys))] or ["s0"]
-    base = units.select("uid", *gcols, *[k.alias(n) for k, n in zip(keys or [F.lit(0)], segments)])
-    coarse = [len({c // reach for c in cells}) for cells in occupied]
-    axes = [i for n, i in sorted(((n, i) for i, n in enumerate(coarse)), key=lambda t: (-t[0], t[1])) if n > 1][:max_axes]
-    ccols = [f"c{j}" for j in range(len(axes))]
-    a = base.select("*", *[F.floor(F.col(gcols[i]) / reach).cast("long").alias(c) for i, c in zip(axes, ccols)])
-    b = a
-    if axes:
-        offsets = F.array(*[F.array(*[F.lit(o) for o in off])
-                            for off in itertools.product((-1, 0, 1), repeat=len(axes))])
-        b = a.withColumn("off", F.explode(offsets)).select(
-            "uid", *gcols, *segments, *[(F.col(c) + F.col("off")[j]).alias(c) for j, c in enumerate(ccols)])
-    a, b = a.alias("a"), b.alias("b")
-    return a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*segments, *ccols]], "inner")
-
-
-def _segment(g: str, cuts: list[int]) -> Column:
-    """How many cuts lie at or below a cell number."""
-    listed = ", ".join(f"{c}L" if c >= 0 else f"({c}L)" for c in cuts)
-    return F.expr(f"size(filter(array({listed}), c -> c <= {g}))")
+def _extent(units: DataFrame, gcols: list[str]) -> tuple[int, list[tuple[int, int]]]:
+    """How many sub-cells there are, and the smallest and largest cell number of each axis."""
+    row = units.agg(F.count(F.lit(1)).alias("n"), *[F.min(g).alias(f"lo_{g}") for g in gcols],
+                    *[F.max(g).alias(f"hi_{g}") for g in gcols]).first()
+    return row["n"], [(row[f"lo_{g}"] or 0, row[f"hi_{g}"] or 0) for g in gcols]
 
 
 def dbscan_vectors(features: DataFrame, eps: float = DEFAULT_EPS,
@@ -180,8 +134,6 @@ def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str
     stats = scale_stats(vectors, cols, first=first)
 
     delta = eps / math.sqrt(d) * (1 - 1e-9)       # sub-cell side: diameter < eps
-    reach = int(math.floor(eps / delta)) + 1       # |cell index difference| of neighbours
-    gap_limit = d                                  # sum of squared box gaps (in cells) <= d
 
     scaled = vectors.select("vid", "w", *cols, *scaled_columns(stats, zcols))
     scaled = scaled.selectExpr("*", *[f"CAST(FLOOR({z} / {_dbl(delta)}) AS BIGINT) AS {g}"
@@ -197,18 +149,19 @@ def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str
     pts = _keep(scaled.join(units.select(*gcols, "uid", "unit_w"), gcols)
                 .withColumn("skey", _scan_key(cols)), cached)
 
-    # -- candidate pairs of distinct sub-cells ------------------------------------------
-    joined = candidate_pairs(units, gcols, reach)
-    gap = F.expr(_sum_sql([_sq(f"greatest(abs(a.{g} - b.{g}) - 1, 0)") for g in gcols]))
-    unit_pairs = _keep(joined.filter((F.col("a.uid") != F.col("b.uid")) & (gap <= gap_limit))
-                       .select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")), cached)
-
     # Bounding boxes of the points actually inside each sub-cell (a box per sub-cell:
     # lo/hi per axis). A point and a box, or two boxes, are decided wholesale when
     # the box distances are clearly within or beyond eps; only the rest goes to
     # vector pairs. Margins send near-eps cases to the exact path.
     within, beyond = eps * eps * (1 - 1e-9), eps * eps * (1 + 1e-9)
 
+    # -- candidate pairs of distinct sub-cells: boxes within eps of each other --------------
+    n_units, ranges = _extent(units, gcols)
+    placed = _keep(numbered(units.select("uid", *gcols, *lo, *hi), gcols, ranges, "uid"), cached)
+    half = materialize(near_pairs(placed, n_units, lo, hi, beyond, "uid"), "dbscan-boxes")
+    unit_pairs = half.select(F.col("x").alias("ua"), F.col("y").alias("ub")).unionByName(
+        half.select(F.col("y").alias("ua"), F.col("x").alias("ub")))
+
     def boxes(points: DataFrame) -> DataFrame:
         return points.groupBy("uid").agg(*[F.min(z).alias(l) for z, l in zip(zcols, lo)],
                                          *[F.max(z).alias(h) for z, h in zip(zcols, hi)])
@@ -285,8 +238,8 @@ def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str
     unit_root = (core_units.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
                  .select("uid", "ukey", F.coalesce("root", "uid").alias("root")))
     roots = unit_root.groupBy("root").agg(F.min("ukey").alias("rkey"))
-    numbered = dense_index(roots, ["rkey"], "cluster")
-    unit_cluster = _keep(unit_root.join(numbered.select("root", "cluster"), "root")
+    ordered = dense_index(roots, ["rkey"], "cluster")
+    unit_cluster = _keep(unit_root.join(ordered.select("root", "cluster"), "root")
                          .select("uid", F.col("cluster").cast("int").alias("cluster")), cached)
 
     # -- labels --------------------------------------------------------------------------
