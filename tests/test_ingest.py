@@ -206,3 +206,91 @@ def test_time_formats(spark, folder):
     got = {r.eventName: r.t for r in ev.select("eventName", F.col("eventTime").cast("string")
                                                 .alias("t")).collect()}
     assert got == {"A": "2020-09-25 12:00:00.123", "B": "2020-09-25 12:00:00", "C": None}
+
+
+def test_many_files_and_folders_without_calls_per_file(spark, folder, monkeypatch):
+    from py4j.java_gateway import GatewayClient
+    from trailsift.sources.listing import Listing
+    for i in range(500):
+        part = os.path.join(folder, f"f{i:03d}")
+        os.mkdir(part)
+        for j in range(10):
+            _write(part, f"{j}.json" if j else "0.JSON", "[]")
+    os.mkdir(os.path.join(folder, "f000", "deep"))
+    _write(os.path.join(folder, "f000", "deep"), "x.json", "[]")
+    calls, send = [0], GatewayClient.send_command
+
+    def counted(self, command, *args, **kw):
+        calls[0] += not command.startswith("m\n")  # without the garbage collector's
+        return send(self, command, *args, **kw)
+    monkeypatch.setattr(GatewayClient, "send_command", counted)
+
+    def listed(*globs):
+        calls[0] = 0
+        files = Listing(spark, [f"{folder}/{g}" for g in globs]).files()
+        return files, calls[0]
+    few = listed("f000", "f000/1.json*", "none")[1], listed("f00?", "f00?/1.json", "none")[1]
+    files, many = listed("f*", "f00?/1.json", "none")
+    assert many <= few[1] + 10 and few[1] < 2 * few[0]  # calls follow the arguments, not the files or folders
+    rows = files.collect()
+    assert len(rows) == 5010 and sum(r.from_dir for r in rows) == 5000
+    assert all(r.arg == (0 if r.from_dir else 1) for r in rows)
+    assert all(r.matched == (os.path.dirname(r.file) if r.from_dir else r.file) for r in rows)
+
+
+def test_files_in_lower_folders_are_not_opened(spark, folder):
+    from trailsift.sources.listing import Listing
+    _write(folder, "a.json", "[]")
+    os.mkdir(os.path.join(folder, "sub"))
+    _write(os.path.join(folder, "sub"), "b.json", "[]")
+    read = Listing(spark, [folder]).read("binaryFile").select("path", "content")
+    assert [os.path.basename(r.path) for r in read.collect()] == ["a.json"]
+    plan = read._jdf.queryExecution().executedPlan()
+    while plan.children().nonEmpty():
+        plan = plan.children().head()
+    assert plan.metrics().apply("numFiles").value() == 1
+
+
+@pytest.mark.parametrize("glob,yes,no", [
+    ("/a/*.json", ["/a/x.json", "/a/.json"], ["/a/b/x.json", "/a/xjson", "/b/a/x.json"]),
+    ("/a/?[0-9]/{x,y}.js*", ["/a/b1/x.json", "/a/c9/y.js"], ["/a/b1/z.json", "/a/1/x.json"]),
+    ("/a/[!b]\\*", ["/a/c*"], ["/a/b*", "/a/cx"]),
+])
+def test_glob_regex(glob, yes, no):
+    import re
+    from trailsift.sources.listing import glob_regex
+    assert all(re.search(glob_regex(glob), p) for p in yes) and not any(re.search(glob_regex(glob), p) for p in no)
+
+
+def _rows(got):
+    return sorted((r.src_file, r.src_pos, r.event_id, r.raw, r.eventName, r.userIdentity) for r in got.events.collect())
+
+
+def test_large_envelopes_are_read_by_ranges(spark, folder):
+    """The same records, positions and bad files as a read by rows, however the ranges fall."""
+    tricky = [record("A}{][", 1, text='br}ace "quoted" \\ }, {"x":[1,2]}', nested={"a": [{"b": "}"}, []], "Records": [1]}),
+              {}, record("ü日本", 2, tail="ends in backslash \\"), "plain } text", 12.5, None, [1, {"c": "],"}],
+              *[record(f"E{i}", i % 50, n=i, note="}" * (i % 7), userIdentity={"type": "IAMUser", "n": i}) for i in range(300)]]
+    files = {"object.json": json.dumps({"first": {"Records": [{"no": 1}]}, "list": [1, {"x": "}"}], "Records": tricky, "after": [2]}),
+             "list.json": json.dumps(tricky, indent=1, ensure_ascii=False) + "\n",
+             "compact.json": json.dumps({"Records": tricky}, separators=(",", ":")),
+             "spaced name+%.json": json.dumps([record("Odd", 3)] * 40),
+             "scalar.json": " " * 300 + "5", "none.json": json.dumps({"other": [1] * 200}),
+             "empty.json": '{"Records": [' + " " * 300 + "]}",
+             "cut.json": json.dumps({"Records": tricky})[:-1], "cut_string.json": json.dumps(tricky)[:-20],
+             "comma.json": json.dumps([{"eventName": "x"}] * 30)[:-1] + ", bad]"}
+    for name, text in files.items():
+        _write(folder, name, text)
+    args = [folder, f"{folder}/*.json"]
+    whole = read_audit_logs(spark, args)
+    want, bad = _rows(whole), sorted(os.path.basename(r.file) for r in whole.bad_files.collect())
+    assert {"cut.json", "cut_string.json", "comma.json", "scalar.json"} <= set(bad) and len(want) > 1000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2500", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_audit_logs(spark, args, large=200)
+            assert sorted(os.path.basename(r.file) for r in got.bad_files.collect()) == bad
+            assert _rows(got) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

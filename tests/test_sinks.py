@@ -9,7 +9,8 @@ import pytest
 from trailsift.plans.pipeline import detect
 from trailsift.sources.adapter import audit_events
 from trailsift.functions.scalars import iso_time
-from trailsift.sources.sinks import timeframes_json_lines, write_section
+from trailsift.sources.sinks import (clusters_json_lines, timeframes_json_lines, timeframes_pieces, write_json_document,
+                                     write_section)
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +78,30 @@ def test_csv_and_unknown(spark, detection):
         write_section(detection, "timeframes", "yaml", os.path.join(base, "x"))
     with pytest.raises(ValueError):
         write_section(detection, "nothing", "json", os.path.join(base, "y"))
+
+
+def _document(folder):
+    return json.loads("".join(open(os.path.join(folder, n), encoding="utf-8").read() for n in sorted(os.listdir(folder))
+                              if n.startswith("part-")))
+
+
+def test_documents_are_one_json_value(spark, detection):
+    base = tempfile.mkdtemp(prefix="trailsift-doc-")
+    for section in ("clusters", "suspicious", "timeframes"):
+        write_section(detection, section, "document", os.path.join(base, section))
+    clusters = _document(os.path.join(base, "clusters"))
+    lines = [json.loads(r.json) for r in clusters_json_lines(detection.profile).collect()]
+    assert clusters == {"clusters": sorted(lines, key=lambda x: x["cluster_id"])}
+    assert set(_document(os.path.join(base, "suspicious"))) == {"suspicious_clusters", "suspicious_count", "total_readonly"}
+    lines = [json.loads(r.json) for r in timeframes_json_lines(
+        detection.timeframes, detection.apis, detection.identities).orderBy("tf_start").collect()]
+    want = {"suspicious_timeframes": [{k: t[k] for k in ("start", "end", "confidence", "example_apis", "identities")}
+                                      for t in lines]}
+    assert _document(os.path.join(base, "timeframes")) == want and len(want["suspicious_timeframes"]) > 5
+    # Long identity lists go on in further lines and parts of the same document.
+    pieces = timeframes_pieces(detection.timeframes, detection.apis, detection.identities, per_line=4)
+    assert pieces.count() > len(want["suspicious_timeframes"])
+    write_json_document(pieces, "suspicious_timeframes", os.path.join(base, "small"))
+    assert _document(os.path.join(base, "small")) == want
+    write_json_document(pieces.limit(0), "suspicious_timeframes", os.path.join(base, "none"))
+    assert _document(os.path.join(base, "none")) == {"suspicious_timeframes": []}

@@ -292,6 +292,7 @@ SQL["json_missing_vs_null"] = with_ctes(
 SQL["ingest_files"] = with_ctes(
     """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN eventName END AS eventName,
   CASE WHEN event_id % 2 = 0 AND event_id % 10 <> 0 THEN 2 ELSE 1 END::BIGINT AS n FROM audit""", "audit")
+SQL["large_envelopes"] = with_ctes("SELECT event_id, eventTime, eventName, userAgent, readOnly FROM audit", "audit")
 SQL["bad_files"] = "SELECT 'no JSON object or list' AS reason, count(DISTINCT event_type) AS n FROM events"
 SQL["absent_fields"] = with_ctes("SELECT event_id, eventName FROM audit", "audit")
 SQL["time_range"] = with_ctes(
@@ -392,6 +393,7 @@ SQL["timeframe_report"] = with_ctes(
 SQL["clusters_json"] = with_ctes(
     "SELECT cluster AS cluster_id, size, round(error_rate, 9) AS error_rate, " + _join("names")
     + " AS event_names FROM prof", "prof")
+SQL["clusters_document"] = SQL["clusters_json"]
 SQL["suspicious_json"] = with_ctes(
     """SELECT (SELECT string_agg(cluster::VARCHAR, ',' ORDER BY rank) FROM top) AS suspicious_clusters,
   count(*) FILTER (WHERE suspicious) AS suspicious_count, count(*) AS total_readonly FROM flagged""",

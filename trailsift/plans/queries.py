@@ -109,6 +109,15 @@ def q_ingest_files(spark, sf_dir):
     return got.events.groupBy(_record_id(), "eventName").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_large_envelopes(spark, sf_dir):
+    """SRC-2/SRC-4: envelopes of 20,000 records each as files that are read by byte ranges, not as rows."""
+    path = table_path(spark, f"large-{uuid.uuid4().hex}")
+    EV.envelopes_from_events(audit_events(spark, sf_dir), records_per_file=20_000).select("value").write.option(
+        "maxRecordsPerFile", 1).text(path)
+    got = read_audit_logs(spark, f"{path}/*.txt", large=100_000)
+    return got.events.select(_record_id(), "eventTime", "eventName", "userAgent", "readOnly")
+
+
 def q_bad_files(spark, sf_dir):
     """SRC-5: files that hold no envelope, by reason."""
     folder, _, broken = _log_folders(spark, sf_dir)
@@ -326,6 +335,20 @@ def q_clusters_json(spark, sf_dir):
                       _joined(F.col("r.event_names")).alias("event_names"))
 
 
+def q_clusters_document(spark, sf_dir):
+    """SNK-1 as one document of several parts, read back as one JSON value (a row per cluster and name in it)."""
+    _, vectors = cluster_events(_readonly(spark, sf_dir))
+    path = table_path(spark, f"document-{uuid.uuid4().hex}")
+    SK.write_json_document(SK.clusters_pieces(P.vector_profile(vectors)), "clusters", path)
+    lines = spark.read.text(path).select(F.struct("_metadata.file_path", F.monotonically_increasing_id().alias("line"),
+                                                  "value").alias("l"))
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["value"]), "\n").alias("t"))
+    found = text.select(F.explode(F.from_json("t", "struct<clusters: array<struct<cluster_id: int, size: long, "
+                                                   "error_rate: double, event_names: array<string>>>>")["clusters"]).alias("r"))
+    return found.select("r.cluster_id", "r.size", _r("r.error_rate", 9).alias("error_rate"),
+                        _joined(F.col("r.event_names")).alias("event_names"))
+
+
 def q_suspicious_json(spark, sf_dir):
     lines = SK.suspicious_json(detect(audit_events(spark, sf_dir)).summary)
     rec = lines.select(F.from_json(
@@ -384,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "envelope_records": q_envelope_records,
     "json_missing_vs_null": q_json_missing_vs_null,
     "ingest_files": q_ingest_files,
+    "large_envelopes": q_large_envelopes,
     "bad_files": q_bad_files,
     "absent_fields": q_absent_fields,
     "time_range": q_time_range,
@@ -417,6 +441,7 @@ QUERIES: dict[str, Query] = {
     "timeframe_apis": q_timeframe_apis,
     "timeframe_report": q_timeframe_report,
     "clusters_json": q_clusters_json,
+    "clusters_document": q_clusters_document,
     "suspicious_json": q_suspicious_json,
     "timeframes_json": q_timeframes_json,
     "timeframes_csv": q_timeframes_csv,

@@ -47,6 +47,11 @@ def records_from_envelopes(envelopes: DataFrame, value_col: str = "value", file_
                             if isinstance(require_event_name, bool) else
                             require_event_name.alias("__require"),
                             F.posexplode(recs).alias("src_pos", "raw"))
+    return typed_records(rows)
+
+
+def typed_records(rows: DataFrame) -> DataFrame:
+    """Typed audit rows of record texts (src_file, __file_no, __require, src_pos, raw)."""
     keys = F.json_object_keys("raw")
     is_object = keys.isNotNull()
     has_name = F.coalesce(F.array_contains(keys, "eventName"), F.lit(False))

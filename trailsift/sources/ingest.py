@@ -1,11 +1,12 @@
-"""File ingest of audit logs (SRC-1, SRC-3, SRC-5, SRC-7, SRC-10).
+"""File ingest of audit logs (SRC-1, SRC-2, SRC-3, SRC-5, SRC-7, SRC-10).
 
-Spark lists and reads the files: one ``binaryFile`` read per argument, so names with spaces,
-``%`` or glob characters need no encoding of their own, and a damaged compressed file is a
-row of ``bad_files`` instead of a failed job. Files are numbered by a distributed index
-over (argument, name); names that Spark's readers never list (leading ``_`` or ``.``) are
+Spark lists and reads the files: all arguments are one ``binaryFile`` read (``listing``), so names with
+spaces, ``%`` or glob characters need no encoding of their own, and a damaged compressed file is a
+row of ``bad_files`` instead of a failed job. Files are numbered by a distributed index over
+(argument, match, name); names that Spark's readers never list (leading ``_`` or ``.``) are
 reported in ``bad_files`` too, so that events and bad files together account for every
-listed file.
+listed file. A file of more than ``large`` bytes is no row: its byte ranges are read in parallel
+(``ranges``), with the same records as result.
 
 For repeated analysis, land the result once as Parquet (``land_as_parquet``): rows are range
 partitioned by date and time, and carry ``is_readonly`` and ``service`` as typed columns
@@ -15,12 +16,12 @@ that filters push to the scan.
 from __future__ import annotations
 
 import gzip
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -28,11 +29,17 @@ from pyspark.sql.types import StringType
 from trailsift.functions.scalars import is_readonly, strip_service
 from trailsift.operators.components import dense_index
 from trailsift.session import literal_table, materialize
-from trailsift.sources.envelopes import is_envelope, records_from_envelopes
+from trailsift.sources.envelopes import is_envelope, records_from_envelopes, typed_records
+from trailsift.sources.listing import Listing
+from trailsift.sources.ranges import split_envelopes
 from trailsift.sources.schema import AUDIT_COLUMNS
 
 #: Indexes of more files than this are joined by shuffle instead of broadcast.
 BROADCAST_FILES = 200_000
+#: Files of more bytes are read by ranges instead of as one row.
+LARGE_FILE = 64 << 20
+#: Bytes that a row can hold; compressed files can't be read by ranges.
+ROW_LIMIT = (1 << 31) - 1
 
 
 @dataclass
@@ -48,74 +55,6 @@ class Ingested:
         return {f for f in fields if not row[f]}
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
-
-
-def _escaped(path: str) -> str:
-    """The path as a glob that matches itself only."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
-def _hidden(name: str) -> bool:
-    return name.startswith(("_", "."))
-
-
-def expand_paths(spark: SparkSession, patterns: list[str]) -> tuple[list[tuple[int, str, bool]], list[tuple[int, str]]]:
-    """SRC-1 / SRC-3: (number, path, is directory) of what the arguments name, and hidden files.
-
-    A pattern with ``*`` or ``?`` is a glob; other paths must exist and are skipped otherwise.
-    Matches of a glob come in name order. Overlapping arguments are not de-duplicated.
-    """
-    found: list[tuple[int, str, bool]] = []
-    hidden: list[tuple[int, str]] = []
-    for pattern in patterns:
-        if not pattern:
-            continue
-        fs, hpath = _filesystem(spark, pattern)
-        if "*" in pattern or "?" in pattern:
-            statuses = sorted(fs.globStatus(hpath) or [], key=lambda s: s.getPath().toString())
-        else:
-            statuses = [fs.getFileStatus(hpath)] if fs.exists(hpath) else []
-        for status in statuses:
-            path, number = status.getPath().toString(), len(found) + len(hidden)
-            if not status.isDirectory():
-                (hidden.append((number, path)) if _hidden(status.getPath().getName())
-                 else found.append((number, path, False)))
-                continue
-            found.append((number, path, True))
-            for child in fs.listStatus(status.getPath()):
-                name = child.getPath().getName()
-                if child.isFile() and _hidden(name) and name.lower().endswith(".json"):
-                    hidden.append((number, child.getPath().toString()))
-    return found, hidden
-
-
-def _listed(spark: SparkSession, found: list[tuple[int, str, bool]]) -> DataFrame:
-    """file, content, arg, from_dir: files named directly in one read, and one read per directory."""
-    parts = []
-    direct = [(n, p) for n, p, is_dir in found if not is_dir]
-    if direct:
-        # The same file may be named by several arguments: one row for each of them.
-        names = literal_table(spark, [(p, n) for n, p in direct], "file STRING, arg INT")
-        read = spark.read.format("binaryFile").load(sorted({_escaped(p) for _, p in direct}))
-        parts.append(read.select(F.col("path").alias("file"), "content").join(names, "file")
-                     .select("file", "content", "arg", F.lit(False).alias("from_dir")))
-    for number, path, is_dir in found:
-        if is_dir:
-            read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_escaped(path))
-            file = F.col("path")
-            inside = ~F.substring(file, len(path.rstrip("/")) + 2, 1 << 30).contains("/")
-            parts.append(read.filter(inside & F.lower(file).endswith(".json")).select(
-                file.alias("file"), "content", F.lit(number).alias("arg"), F.lit(True).alias("from_dir")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 @F.pandas_udf(StringType())
 def _unpacked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of gzip files; null where a file is damaged."""
@@ -128,7 +67,7 @@ def _unpacked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(text, na_action="ignore")
 
 
-def read_audit_logs(spark: SparkSession, patterns: list[str] | str) -> Ingested:
+def read_audit_logs(spark: SparkSession, patterns: list[str] | str, large: int = LARGE_FILE) -> Ingested:
     """Read audit-log files and directories into the audit-event table.
 
     Files named directly keep every record; files found by a directory scan keep only objects
@@ -136,35 +75,53 @@ def read_audit_logs(spark: SparkSession, patterns: list[str] | str) -> Ingested:
     """
     if isinstance(patterns, str):
         patterns = [patterns]
-    found, hidden = expand_paths(spark, patterns)
-    skipped = literal_table(spark, [(p, "hidden name, not listed by Spark") for _, p in hidden],
-                            "file STRING, reason STRING")
-    if not found:
+    listing = Listing(spark, patterns)
+    skipped = spark.createDataFrame(pa.table({"file": pa.array(sorted(listing.hidden), pa.string())})).withColumn(
+        "reason", F.lit("hidden name, not listed by Spark"))
+    if not listing.arguments:
         empty = literal_table(spark, [], "file STRING, file_no LONG, value STRING, from_dir BOOLEAN")
         return Ingested(records_from_envelopes(empty, require_event_name=F.col("from_dir")),
-                        skipped.distinct(), empty.select("file", "file_no", "from_dir"))
-    listed = _listed(spark, found)
-    # Numbers in (argument, name) order; only names are read for it.
-    index = dense_index(listed.select("arg", "file", "from_dir"), ["arg", "file"], "file_no")
-    index = materialize(index.select("arg", "file", "from_dir", F.col("file_no").cast("long").alias("file_no")),
+                        skipped, empty.select("file", "file_no", "from_dir"))
+    # Numbers in (argument, match, name) order; only names are read for it.
+    index = dense_index(listing.files(), ["arg", "matched", "file"], "file_no")
+    index = materialize(index.select("file", "length", "from_dir", F.col("file_no").cast("long").alias("file_no")),
                         "ingest-files")
-    small = index.count() <= BROADCAST_FILES
-    numbered = listed.drop("from_dir").join(F.broadcast(index) if small else index, ["arg", "file"])
     packed = F.lower("file").endswith(".gz")
+    by_range = ~packed & (F.col("length") > large)
+    facts = index.agg(F.count(F.lit(1)).alias("n"), F.bool_or(packed).alias("packed"),
+                      F.bool_or(by_range).alias("large")).first()
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(index) if facts["n"] <= BROADCAST_FILES else index, "file").drop("length")
+
+    # File sizes and names are known before a file is opened: these filters prune files.
+    rows = listing.read("binaryFile").filter((F.col("_metadata.file_size") <= large)
+                                             | F.lower("_metadata.file_name").endswith(".gz"))
+    rows = numbered(rows.filter(F.col("length") <= ROW_LIMIT).select(F.col("path").alias("file"), "content"))
     # Spark decodes plain files; only packed ones pass through Python.
-    plain = numbered.filter(~packed).withColumn("value", F.decode("content", "UTF-8"))
-    unpacked = numbered.filter(packed).withColumn("value", _unpacked("content"))
-    texts = plain.unionByName(unpacked) if _any_packed(index) else plain
+    texts = rows.filter(~packed).withColumn("value", F.decode("content", "UTF-8"))
+    if facts["packed"]:
+        texts = texts.unionByName(rows.filter(packed).withColumn("value", _unpacked("content")))
     events = records_from_envelopes(texts, require_event_name=F.col("from_dir"))
     bad = texts.filter(~is_envelope("value")).select("file", _reason(F.col("value")).alias("reason"))
-    return Ingested(events=events, bad_files=bad.unionByName(skipped).distinct(),
+    too_large = index.filter(packed & (F.col("length") > ROW_LIMIT)).select(
+        "file", F.lit("compressed file too large for a row").alias("reason"))
+    if facts["large"]:
+        fragments = listing.read("text", lineSep="}").filter(
+            (F.col("_metadata.file_size") > large) & ~F.lower("_metadata.file_name").endswith(".gz"))
+        records, broken = split_envelopes(fragments.select(
+            F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
+            F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+            F.make_valid_utf8("value").alias("value")))
+        cut = numbered(records).select(F.col("file").alias("src_file"), F.col("file_no").alias("__file_no"),
+                                       F.col("from_dir").alias("__require"), "src_pos", F.col("text").alias("raw"))
+        events = events.unionByName(typed_records(cut))
+        named = index.filter(by_range).join(broken, "file", "left_semi")
+        bad = bad.unionByName(named.select("file", _reason(F.col("file")).alias("reason")))
+    return Ingested(events=events, bad_files=bad.unionByName(too_large).unionByName(skipped).distinct(),
                     files=index.select("file", "file_no", "from_dir"))
 
 
-def _any_packed(index: DataFrame) -> bool:
-    return not index.filter(F.lower("file").endswith(".gz")).isEmpty()
-
-
 def _reason(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("damaged compressed file")).otherwise(F.lit("no JSON object or list"))
 
