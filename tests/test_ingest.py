@@ -294,3 +294,19 @@ def test_large_envelopes_are_read_by_ranges(spark, folder):
             assert _rows(got) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_absent_everywhere_and_absent_here(spark, folder):
+    """The four states of a field under ``missing_as='nan'``: a value, null, absent here, absent everywhere."""
+    recs = [{"eventName": "value", "errorCode": "X"}, {"eventName": "null", "errorCode": None}, {"eventName": "here"}]
+    path = _write(folder, "four.json", json.dumps(recs))
+    got = read_audit_logs(spark, path)
+    absent = got.absent("errorCode", "awsRegion", "userIdentity", "responseElements", "sourceIPAddress")
+    assert absent == {"awsRegion", "userIdentity", "responseElements", "sourceIPAddress"}
+    rows = {r.eventName: r for r in encode(got.events, keep=["eventName"], missing_as="nan", absent=absent).collect()}
+    assert [rows[k].f10 for k in ("value", "null", "here")] == [1.0, 0.0, 1.0]  # 'nan' is a text
+    null = encode(got.events, keep=["eventName"]).filter("eventName = 'here'").first()
+    assert [rows["here"][c] for c in ("f04", "f07", "f08", "f12")] == [null[c] for c in ("f04", "f07", "f08", "f12")]
+    unknown = encode(got.events, keep=["eventName"], missing_as="nan").filter("eventName = 'here'").first()
+    assert unknown.f08 != rows["here"].f08 and unknown.f12 == 3.0
+    assert got.schema() == "OBJECT<errorCode: STRING, eventName: STRING>"

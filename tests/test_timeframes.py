@@ -105,3 +105,27 @@ def test_first_identities_skewed_timeframe(spark):
                                      .alias("tf_start"), F.col("id").alias("ord"))
     got = T.first_identities(df, 5).orderBy("pos").collect()
     assert [r.ord for r in got] == [0, 1, 2, 3, 4]
+
+
+def _islands(spark, minutes, partitions=3):
+    base = dt.datetime(1970, 1, 3)
+    rows = [(base + dt.timedelta(minutes=m), 0.5 + m % 7 / 100) for m in minutes]
+    density = spark.createDataFrame(rows, "minute timestamp_ntz, density double").repartition(partitions)
+    found = T.islands(density, 0.4, F.lit("9999-01-01 00:00:00").cast("timestamp_ntz"))
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    return sorted((round((r.tf_start - base).total_seconds() / 60), round((r.tf_end - base).total_seconds() / 60),
+                   r.confidence) for r in found.collect())
+
+
+def test_islands_over_days(spark):
+    day = 1440
+    runs = [(-4 * day - 5, -3 * day + 1), (3, 9), (11, 11), (day - 1, day - 1), (day + 1, 4 * day - 1), (5 * day, 5 * day),
+            (6 * day - 2, 6 * day - 1), (6 * day + 1, 6 * day + 2), (8 * day - 3, 8 * day + 3)]
+    minutes = [m for a, b in runs for m in range(a, b + 1)]
+    assert _islands(spark, minutes) == [
+        (a, b + 1, max(0.5 + m % 7 / 100 for m in range(a, b + 1))) for a, b in runs]
+
+
+def test_islands_across_three_partitions(spark):
+    assert _islands(spark, range(100, 100 + 3 * 1440)) == [(100, 100 + 3 * 1440, 0.56)]
+    assert _islands(spark, []) == []

@@ -8,6 +8,7 @@ the scan stage.
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,46 +25,59 @@ FEATURES = [f"f{i:02d}" for i in range(len(FEATURE_SOURCES))]
 SCALED = [f"z{i:02d}" for i in range(len(FEATURE_SOURCES))]
 
 
-def _field(name: str, missing_as: str) -> Column:
-    """A record field, or the text 'nan' when ``missing_as='nan'`` and the key is absent."""
+#: Record fields that features read (``missing_as="nan"`` tells their absence apart).
+RECORD_FIELDS = ("eventName", "eventSource", "eventCategory", "eventType", "userIdentity", "sessionContext",
+                 "recipientAccountId", "sourceIPAddress", "awsRegion", "userAgent", "errorCode", "requestParameters",
+                 "responseElements")
+
+
+def _field(name: str, missing_as: str, absent: Collection[str], keys: Column) -> Column:
+    """A record field; with ``missing_as='nan'`` the text 'nan' where this record lacks the key but others have it.
+
+    The four states: a value, null, absent here ('nan'), absent from every record (as null, hence '')."""
     col = F.col(name)
-    if missing_as != "nan":
+    if missing_as != "nan" or name in absent:
         return col
-    absent = F.col("raw").isNotNull() & ~F.coalesce(
-        F.array_contains(F.json_object_keys("raw"), name), F.lit(False))
-    return F.when(absent, F.lit("nan")).otherwise(col)
+    missing = F.col("raw").isNotNull() & ~F.coalesce(F.array_contains(keys, name), F.lit(False))
+    return F.when(missing, F.lit("nan")).otherwise(col)
 
 
-def feature_columns(session_path: str = "$.sessionIssuer.type",
-                    missing_as: str = "null") -> list[Column]:
+def feature_columns(session_path: str = "$.sessionIssuer.type", missing_as: str = "null",
+                    absent: Collection[str] = (), keys: Column | None = None) -> list[Column]:
     """PRJ-1: the 13 feature expressions, in order, as DOUBLE.
 
     ``missing_as='nan'`` reproduces the reference's handling of a key that is
     absent from one record but present in others (it becomes the text 'nan');
-    it needs the ``raw`` record text.
+    it needs the ``raw`` record text (``keys``: the array of its keys, if the rows have it), and in
+    ``absent`` the fields that no record has (``Ingested.absent``): those are empty texts.
     """
     m = missing_as
-    ident = _field("userIdentity", m)
+    keys = F.json_object_keys("raw") if keys is None else keys
+
+    def field(name: str) -> Column:
+        return _field(name, m, absent, keys)
+
+    ident = field("userIdentity")
     ident_type = F.when(ident == "nan", F.lit("nan")).otherwise(S.identity_type(ident)) \
         if m == "nan" else S.identity_type(ident)
-    session = _field("sessionContext", m)
-    response = _field("responseElements", m)
+    session = field("sessionContext")
+    response = field("responseElements")
     resp_len = S.json_length(response)
     if m == "nan":
         resp_len = F.when(response == "nan", F.lit(3).cast("bigint")).otherwise(resp_len)
-    request = _field("requestParameters", m)
+    request = field("requestParameters")
     cols = [
-        S.hash32(_field("eventName", m)),
-        S.hash32(_field("eventSource", m)),
-        S.hash32(_field("eventCategory", m)),
-        S.hash32(_field("eventType", m)),
+        S.hash32(field("eventName")),
+        S.hash32(field("eventSource")),
+        S.hash32(field("eventCategory")),
+        S.hash32(field("eventType")),
         S.hash32(ident_type),
         S.hash32(S.session_issuer_type(session, session_path)),
-        S.hash32(_field("recipientAccountId", m)),
-        S.ip_to_int(_field("sourceIPAddress", m)),
-        S.hash32(_field("awsRegion", m)),
-        S.user_agent_num(_field("userAgent", m)),
-        S.error_flag(_field("errorCode", m)),
+        S.hash32(field("recipientAccountId")),
+        S.ip_to_int(field("sourceIPAddress")),
+        S.hash32(field("awsRegion")),
+        S.user_agent_num(field("userAgent")),
+        S.error_flag(field("errorCode")),
         F.when(request == "nan", F.lit(0)).otherwise(S.num_keys(request)) if m == "nan"
         else S.num_keys(request),
         resp_len,
@@ -72,10 +86,14 @@ def feature_columns(session_path: str = "$.sessionIssuer.type",
 
 
 def encode(events: DataFrame, keep: list[str] | None = None,
-           session_path: str = "$.sessionIssuer.type", missing_as: str = "null") -> DataFrame:
+           session_path: str = "$.sessionIssuer.type", missing_as: str = "null",
+           absent: Collection[str] = ()) -> DataFrame:
     """PRJ-2: ``keep`` columns (default: all) followed by ``f00..f12``."""
     keep_cols = events.columns if keep is None else keep
-    return events.select(*keep_cols, *feature_columns(session_path, missing_as))
+    if missing_as != "nan":
+        return events.select(*keep_cols, *feature_columns(session_path, missing_as))
+    keyed = events.withColumn("__keys", F.json_object_keys("raw"))  # parsed once for all fields
+    return keyed.select(*keep_cols, *feature_columns(session_path, missing_as, absent, F.col("__keys")))
 
 
 def collapse(features: DataFrame, cols: list[str] = FEATURES, extras: tuple[Column, ...] = ()) -> DataFrame:

@@ -7,8 +7,8 @@ Plan, with no dense minute spine and no one-partition window over events:
    the event count; it is materialised once because every later step reads it.
 2. ``rolling_density``: each minute is exploded to the ``window`` minutes it
    contributes to, then grouped -> trailing sums over (t - window, t].
-3. ``islands``: flagged minutes merged with ``session_window`` (gap 1 minute);
-   ``end`` is the first minute after the run, or the last minute when the run is
+3. ``islands``: flagged minutes merged within days, then the runs that touch midnight
+   over days; ``end`` is the first minute after the run, or the last minute when the run is
    still open. Input is flagged minutes only.
 4. ``timeframe_events``: interval join of suspicious events to timeframes,
    equi-join on an hour bucket plus the exact range predicate.
@@ -25,6 +25,8 @@ from trailsift.functions import scalars as S
 from trailsift.session import materialize
 
 HOUR_MICROS = 3_600_000_000
+#: Added to minute numbers so that none is negative (whole days, beyond the year 1); more minutes than any series has.
+MINUTES_TO_ZERO, ALL_MINUTES = 1440 << 20, 1440 << 30
 
 
 def _minute(c: str | Column) -> Column:
@@ -92,13 +94,34 @@ def dense_density(minutes: DataFrame, window_minutes: int = 60) -> DataFrame:
                     F.coalesce("density", F.lit(0.0)).alias("density")))
 
 
+def _merged(runs: DataFrame, minutes: int) -> DataFrame:
+    """Runs (first, last as minute numbers; tf_start, last_flagged, confidence) that follow each other without
+    a gap become one, within buckets of ``minutes``; adds whether a run touches an end of its bucket."""
+    bucket = F.floor(F.col("first") / minutes)
+    order = Window.partitionBy("bucket").orderBy("first")
+    begins = F.coalesce(F.col("first") > F.lag("last").over(order) + 1, F.lit(True)).cast("long")
+    merged = (runs.withColumn("bucket", bucket).withColumn("begins", begins)
+              .withColumn("run", F.sum("begins").over(order)).groupBy("bucket", "run").agg(
+                  *[F.min(c).alias(c) for c in ("first", "tf_start")],
+                  *[F.max(c).alias(c) for c in ("last", "last_flagged", "confidence")]))
+    return merged.withColumn("open", (F.col("first") % minutes == 0) | (F.col("last") % minutes == minutes - 1))
+
+
 def islands(density: DataFrame, threshold: float, last_minute: Column) -> DataFrame:
-    """FLT-8 + WIN-5 + AGG-9: runs of minutes with density >= threshold."""
+    """FLT-8 + WIN-5 + AGG-9: runs of minutes with density >= threshold.
+
+    Runs form within days, each day by itself; only those that touch midnight (two a day at most) meet
+    once more, to be joined over the days they cross.
+    """
     flagged = density.filter(F.col("density") >= F.lit(threshold))
-    runs = flagged.groupBy(F.session_window("minute", "1 minute")).agg(
-        F.min("minute").alias("tf_start"), F.max("minute").alias("last_flagged"),
-        F.max("density").alias("confidence"))
-    return runs.select(
+    micros = F.unix_micros(F.col("minute").cast("timestamp"))
+    number = F.floor(micros / F.lit(60_000_000)).cast("long") + F.lit(MINUTES_TO_ZERO)
+    daily = _merged(flagged.select(number.alias("first"), number.alias("last"), F.col("minute").alias("tf_start"),
+                                   F.col("minute").alias("last_flagged"), F.col("density").alias("confidence")), 1440)
+    names = ["tf_start", "last_flagged", "confidence"]
+    whole = daily.filter(~F.col("open")).select(*names)
+    crossing = _merged(daily.filter("open").drop("bucket", "run", "open"), ALL_MINUTES).select(*names)
+    return whole.unionByName(crossing).select(
         "tf_start",
         F.least(F.col("last_flagged") + F.expr("INTERVAL 1 MINUTE"), last_minute).alias("tf_end"),
         "confidence")

@@ -288,7 +288,8 @@ SQL["json_missing_vs_null"] = with_ctes(
   CAST({json_len('responseElements')} AS DOUBLE) AS resp_len_null,
   CAST(CASE WHEN errorCode IS NULL THEN 1 ELSE (errorCode <> '')::INT END AS DOUBLE) AS error_flag_nan,
   CAST(CASE WHEN responseElements IS NULL THEN 3 ELSE {json_len('responseElements')} END AS DOUBLE)
-    AS resp_len_nan FROM audit""", "audit")
+    AS resp_len_nan, CAST({h32("''")} AS DOUBLE) AS region_everywhere_absent,
+  CAST({h32("'nan'")} AS DOUBLE) AS region_absent_here FROM audit""", "audit")
 SQL["ingest_files"] = with_ctes(
     """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN eventName END AS eventName,
   CASE WHEN event_id % 2 = 0 AND event_id % 10 <> 0 THEN 2 ELSE 1 END::BIGINT AS n FROM audit""", "audit")

@@ -50,14 +50,14 @@ BROADCAST_VECTORS = 200_000
 
 def cluster_events(readonly: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
                    session_path: str = "$.sessionIssuer.type", missing_as: str = "null",
-                   keep: list[str] | None = None):
+                   keep: list[str] | None = None, absent: Collection[str] = ()):
     """Encode and cluster; returns (encoded events, labelled vectors with ``vector_extras``).
 
     The encode (JSON parsing, md5 hashes, regexes) runs once: its narrow output is written and
     is the only copy of the events; profiles, totals and the choice follow from the vectors.
     """
     feats = materialize(encode(readonly, keep=keep or LABELLED_COLUMNS, session_path=session_path,
-                               missing_as=missing_as), "encoded")
+                               missing_as=missing_as, absent=absent), "encoded")
     return feats, dbscan_vectors(feats, eps=eps, min_samples=min_samples, extras=P.vector_extras()).vectors
 
 
@@ -92,7 +92,7 @@ def detect(events: DataFrame, start_time: str | None = None, end_time: str | Non
     """The job over ``events``.
 
     ``absent`` names the fields that no record has (``Ingested.absent``): filters on them keep
-    every row. ``approach``: "clustering" flags the events of the top clusters, "signature" the
+    every row, and with ``missing_as="nan"`` they are empty texts, not 'nan'. ``approach``: "clustering" flags the events of the top clusters, "signature" the
     events whose API is on the reconnaissance list; timeframes follow from either flag.
     """
     filtered = filter_by_services(filter_by_time(events, start_time, end_time, absent=absent), services, absent)
@@ -106,7 +106,7 @@ def detect(events: DataFrame, start_time: str | None = None, end_time: str | Non
         flagged = materialize(flagged, "flagged")
         vectors = prof = totals = chosen = None
     elif approach == "clustering":
-        feats, vectors = cluster_events(readonly, eps, min_samples, session_path, missing_as)
+        feats, vectors = cluster_events(readonly, eps, min_samples, session_path, missing_as, absent=absent)
         prof = P.vector_profile(vectors)
         totals = P.vector_totals(vectors)
         chosen = materialize(P.top_clusters(prof, top_k), "chosen")

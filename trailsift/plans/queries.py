@@ -20,7 +20,7 @@ from trailsift.operators import profile as P
 from trailsift.operators import signatures as SG
 from trailsift.operators import timeframes as T
 from trailsift.operators.dbscan import dbscan_vectors
-from trailsift.operators.features import (FEATURES, SCALED, encode, feature_columns,
+from trailsift.operators.features import (FEATURES, RECORD_FIELDS, SCALED, encode, feature_columns,
                                          scaled_columns)
 from trailsift.plans.pipeline import cluster_events, detect, flag_events, label_events
 from trailsift.session import materialize, table_path
@@ -69,16 +69,20 @@ def q_envelope_records(spark, sf_dir):
 
 
 def q_json_missing_vs_null(spark, sf_dir):
-    """SCL-1 and the missing/null matrix: records where errorCode is null, absent or set."""
+    """SCL-1 and the missing/null matrix: errorCode is null, absent or set; awsRegion is absent from every record."""
+    events = audit_events(spark, sf_dir).withColumn("awsRegion", F.lit(None).cast("string"))
     records = EV.records_from_envelopes(EV.envelopes_from_events(
-        audit_events(spark, sf_dir), drop_null_keys=["errorCode", "responseElements"]))
+        events, drop_null_keys=["errorCode", "responseElements", "awsRegion"]))
+    absent = Ingested(records, records, records).absent(*RECORD_FIELDS)
     records = records.withColumn("event_id", _record_id())
     present = F.coalesce(F.array_contains(F.json_object_keys("raw"), "errorCode"), F.lit(False))
-    as_null, as_nan = feature_columns(missing_as="null"), feature_columns(missing_as="nan")
+    as_null, as_nan = feature_columns(missing_as="null"), feature_columns(missing_as="nan", absent=absent)
+    each = feature_columns(missing_as="nan")  # without that knowledge: absent here
     return records.select(
         "event_id", present.alias("error_key_present"),
         as_null[10].alias("error_flag_null"), as_null[12].alias("resp_len_null"),
-        as_nan[10].alias("error_flag_nan"), as_nan[12].alias("resp_len_nan"))
+        as_nan[10].alias("error_flag_nan"), as_nan[12].alias("resp_len_nan"),
+        as_nan[8].alias("region_everywhere_absent"), each[8].alias("region_absent_here"))
 
 
 def _log_folders(spark, sf_dir) -> tuple[str, str, str]:

@@ -54,6 +54,10 @@ class Ingested:
         row = self.events.agg(*[F.bool_or(F.array_contains(keys, f)).alias(f) for f in fields]).first()
         return {f for f in fields if not row[f]}
 
+    def schema(self) -> str:
+        """SRC-8: the schema that the records themselves have, merged over all of them (one aggregation)."""
+        return self.events.agg(F.schema_of_variant_agg(F.try_parse_json("raw"))).first()[0]
+
 
 @F.pandas_udf(StringType())
 def _unpacked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
