@@ -122,7 +122,7 @@ def test_the_model_learns_from_every_training_window(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SPAN", 7)
     texts = [np.random.default_rng(i).integers(0, 40, 37 * i).astype("<u2") for i in range(12)]
     docs = spark.createDataFrame([(i, i != 3, bytearray(t.tobytes())) for i, t in enumerate(texts)],
-                                 "row long, learn boolean, subs binary").repartition(3)
+                                 "id long, learn boolean, subs binary").repartition(3)
     rounds = []
     monkeypatch.setattr(lm_score, "_trained", lambda scorer, spans, *_: rounds.append(spans.collect()) or scorer)
     scorer = lm_score.fit(docs, np.full(40, 5_000_000), 12)
@@ -134,3 +134,29 @@ def test_the_model_learns_from_every_training_window(spark, monkeypatch):
         want.extend(w.astype("<u2").tobytes() for w in np.where(real, ids, scorer.other + 2))
     assert got == sorted(want)
     assert len({r["shard"] for r in every}) > 10 and sorted(first) == sorted(r for r in every if r["shard"] == 0)
+
+
+def test_row_keys_of_many_partitions(monkeypatch):
+    """A row's key is its block and the place in it: positive and distinct whatever the number of partitions."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([5, 6], pa.int64()), "held_out": [False, True],
+                                        "learn": [True, False], "text": ["a b", "c"]})
+    keys = []
+    for number in (0, 40_000, 70_000, 70_000 - 65_536, 2 ** 31 - 1):
+        monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: number)))
+        found = [r for part in lm_score._encoder(byte_bpe())(iter([batch, batch])) for r in part.to_pylist()]
+        keys += [(r["block"], r["row"]) for r in found if r["row"] is not None]
+    assert len(keys) == len(set(keys)) == 20 and all(block >= 0 and row >= 0 for block, row in keys)
+
+
+def test_shards_do_not_follow_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SPAN", 7)
+    texts = [np.random.default_rng(i).integers(0, 40, 90 * i).astype("<u2") for i in range(9)]
+    docs = spark.createDataFrame([(None if i == 4 else i, bytearray(t.tobytes())) for i, t in enumerate(texts)],
+                                 "id long, subs binary")
+    import pickle
+    deal = lm_score._dealer(pickle.dumps(lm_score.Scorer(np.full(40, 9), 9)), 5)
+    dealt = [sorted((r["shard"], bytes(r["span"])) for r in part.mapInArrow(deal, "shard int, span binary").collect())
+             for part in (docs.coalesce(1), docs.repartition(7))]
+    assert dealt[0] == dealt[1] and len({s for s, _ in dealt[0]}) == 5

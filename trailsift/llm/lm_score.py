@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -65,7 +66,7 @@ ENCODED = ("row long, block long, id {kind}, held_out boolean, learn boolean, co
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        block = TaskContext.get().partitionId() << 24
+        block = TaskContext.get().partitionId() << 24  # with the place in it, a row's key
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             for a, b in row_blocks(offsets, BLOCK):
@@ -94,7 +95,7 @@ def _encode_block(encode, rows: pa.RecordBatch, data: np.ndarray, offsets: np.nd
         sub_total[:len(found)] += found
         n, part = b - a, rows.slice(a, b - a)
         yield pa.RecordBatch.from_arrays([
-            pa.array((np.int64(block) << 24) + np.arange(a, b)), pa.array(np.full(n, block, np.int64)),
+            pa.array(np.arange(a, b)), pa.array(np.full(n, block, np.int64)),
             part.column("id"), part.column("held_out"), part.column("learn"),
             pa.array([codes[ends[i] - n_words[i]:ends[i]].tobytes() for i in range(a, b)], pa.binary()),
             pa.array([x.astype("<u2").tobytes() for x in subs], pa.binary()),
@@ -149,7 +150,7 @@ def _base_scores(total: int, distinct: int, end_count: int):
             n_tokens[i] += len(at)
             n_known[i] = int((counts[at] > 0).sum()) + (end_count > 0)
             base[i] = float(logs[at].sum()) + end
-        return pa.table({"row": docs.column("row"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base})
+        return pa.table({"row": docs.column("row"), "block": docs.column("block"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base})
     return run
 
 
@@ -205,24 +206,26 @@ def _score_rows(model: bytes):
                         else np.zeros(0, np.int64) for i in range(a, b)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("row", "id", "held_out")), pa.array(scorer.score(subs))],
-                    names=["row", "id", "held_out", "score"])
+                    [*(part.column(c) for c in ("row", "block", "id", "held_out")), pa.array(scorer.score(subs))],
+                    names=["row", "block", "id", "held_out", "score"])
     return run
 
 
 def _dealer(model: bytes, shards: int, only: int | None = None):
     """All training windows, dealt to shards by spans of a document (those of shard ``only``, if given).
 
-    A span is the line its windows are cut from: 2 bytes a token, where the windows overlap.
+    A span is the line its windows are cut from: 2 bytes a token, where the windows overlap. The shard follows
+    from the document's id and text alone, not from where it is stored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = pickle.loads(model)
         for batch in batches:
             found, spans = [], []
-            for row, subs in zip(batch.column("row").to_pylist(), batch.column("subs").to_pylist()):
+            for doc, subs in zip(batch.column("id").to_pylist(), batch.column("subs").to_pylist()):
+                seed = crc32(str(doc).encode()), crc32(subs)
                 subs = np.frombuffer(subs, "<u2")
                 n = att.window_count(len(subs))
-                to = np.random.default_rng(row).integers(shards, size=-(-n // SPAN))
+                to = np.random.default_rng(seed).integers(shards, size=-(-n // SPAN))
                 if only is not None and not (to == only).any():
                     continue
                 line = att.text_line(scorer.place[subs], scorer.closing, scorer.other + 2).astype("<u2")
@@ -305,7 +308,7 @@ def fit(docs: DataFrame, counts: np.ndarray, texts: int) -> Scorer:
         return scorer
     shards = max(1, round(tokens / SHARD_TOKENS))
     passes = int(min(MAX_PASSES, max(1, round(2 * SHARD_TOKENS * shards / tokens))))
-    learned, start = docs.filter("learn").select("row", "subs"), pickle.dumps(scorer)
+    learned, start = docs.filter("learn").select("id", "subs"), pickle.dumps(scorer)
     first = learned.mapInArrow(_dealer(start, shards, 0), "shard int, span binary")
     scorer = _trained(scorer, first, passes, 0.012, 0.004)
     return _trained(scorer, learned.mapInArrow(_dealer(start, shards), "shard int, span binary"), 1, 0.004, 0.0005)
@@ -320,12 +323,12 @@ def score_documents(docs: DataFrame, path: str, held_out: Column, learn: Column,
     encoded = _written(rows.mapInArrow(_encoder(path), ENCODED.format(kind=kind)), "lm-encoded")
     texts = encoded.filter(F.col("row").isNotNull())
     pieces = encoded.filter(F.col("piece").isNotNull())
-    dictionary = _written(
-        pieces.select("block", "piece", "words", "counts").mapInArrow(
-            _dictionary_rows, "word long, block long, place int, n long")
-        .selectExpr("word", "block", "place", "n", "sum(n) OVER (PARTITION BY word) AS total",
-                    "row_number() OVER (PARTITION BY word ORDER BY block) AS nth")
-        .select("block", "place", "total", ((F.col("nth") == 1) & (F.col("total") > 0)).alias("new"), "n"),
+    places = pieces.select("block", "piece", "words", "counts").mapInArrow(
+        _dictionary_rows, "word long, block long, place int, n long")
+    # A frequent word has a row in every block: its rows are combined before they meet, and joined back.
+    totals = places.groupBy("word").agg(F.sum("n").alias("total"), F.min("block").alias("first"))
+    dictionary = _written(places.join(totals, "word").select(
+        "block", "place", "total", ((F.col("block") == F.col("first")) & (F.col("total") > 0)).alias("new"), "n"),
         "lm-counts")
     learned = texts.filter("learn").count()
     sums = dictionary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
@@ -334,7 +337,7 @@ def score_documents(docs: DataFrame, path: str, held_out: Column, learn: Column,
     base = (texts.select("row", "block", "codes").groupBy("block")
             .cogroup(dictionary.select("block", "place", "total").groupBy("block"))
             .applyInArrow(_base_scores(total, distinct, learned),
-                          "row long, n_tokens long, n_known long, base_score double"))
+                          "row long, block long, n_tokens long, n_known long, base_score double"))
     # At most one row per subword id of the vocabulary file.
     sub_rows = pieces.select("sub_ids", "sub_counts").mapInArrow(_subword_rows, "sub int, n long").groupBy("sub").agg(
         F.sum("n").alias("n")).collect()
@@ -342,8 +345,8 @@ def score_documents(docs: DataFrame, path: str, held_out: Column, learn: Column,
     for r in sub_rows:
         counts[r["sub"]] = r["n"]
     scorer = fit(texts, counts, learned)
-    scored = texts.select("row", "id", "held_out", "subs").mapInArrow(
-        _score_rows(pickle.dumps(scorer)), f"row long, id {kind}, held_out boolean, score double")
-    return scored.join(base, "row").select(
+    scored = texts.select("row", "block", "id", "held_out", "subs").mapInArrow(
+        _score_rows(pickle.dumps(scorer)), f"row long, block long, id {kind}, held_out boolean, score double")
+    return scored.join(base, ["block", "row"]).select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         "base_score", "score")
