@@ -80,6 +80,24 @@ def test_query_runs_the_schedules(spark, sf_small, monkeypatch):
     assert order() != got and sorted(order()) == sorted(got)
 
 
+def test_positions_and_times_follow_the_schedules(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    first = {}
+    for r in mixing.mix(docs).collect():
+        first.setdefault(r["doc_id"], r["mix_time"])
+    late = (((0.0, 0.01), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (1.0, 0.01)))
+    found = [mixing.mixed_documents(docs, schedules=s).collect() for s in (mixing.SCHEDULES, late)]
+    for rows in found:
+        met = [r for r in rows if r["taken"]]
+        assert [r["position"] for r in met] == list(range(len(met))) and rows[:len(met)] == met
+        times = [r["due_time"] for r in met]
+        assert times == sorted(times) and 0 <= times[0] and times[-1] <= 1
+        assert all(r["position"] is None and r["due_time"] is None for r in rows[len(met):])
+    assert {r["doc_id"]: r["due_time"] for r in found[0] if r["taken"]} == first
+    other = {r["doc_id"]: r["due_time"] for r in found[1]}
+    assert sum(other[i] != t for i, t in first.items()) > len(first) / 2
+
+
 def test_mixed_documents_keep_awkward_rows(spark):
     from tests.llm.helpers import awkward, awkward_frame
     got = mixing.mixed_documents(awkward_frame(spark)).collect()

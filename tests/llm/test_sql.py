@@ -16,7 +16,7 @@ def test_sql(spark, sf_small, name):
     assert sorted(want.columns) == columns
 
     def rows(found):
-        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in found)
+        return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in found), key=str)
     assert rows(tuple(r) for r in got.select(columns).collect()) == rows(want.select(*columns).fetchall())
 
 

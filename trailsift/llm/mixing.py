@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailsift.llm.common import WORD, materialize
+from trailsift.operators.components import dense_index
 
 #: Schedules by rank, repeating: knots (time, relative weight), linear in between.
 Schedule = Sequence[tuple[float, float]]
@@ -172,8 +173,12 @@ def occurrences(planned: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) -
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3,
                     schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
-    """(id, size, source_size, target, taken): every document once, in the order in which training
-    first meets it; what is not taken comes last. ``taken`` is the sum over its occurrences."""
+    """(id, size, source_size, target, taken, due_time, position): every document once, sorted by position.
+
+    ``taken`` is the sum over a document's occurrences, ``due_time`` the training time (0 to 1) at which its
+    source's schedule first calls for it, and ``position`` its place among all documents in that order, from 0.
+    What is not taken has neither and comes last.
+    """
     planned = materialize(plan_mix(docs, id_col, text_col, source_col, weights, max_epochs)
                           .select(F.col(id_col).alias("id"), "mix"), "mix-planned")
     # A document that is taken has words, so no other one of its source starts where it does.
@@ -181,8 +186,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.max(F.struct("id", "mix.size", "mix.source_size", "mix.target")).alias("doc"),
         F.sum("mix_taken").alias("taken"),
         F.min(F.struct("mix_time", "mix.rank", "mix.order", "mix_pass")).alias("due")).select("doc.*", "taken", "due")
+    met = dense_index(met, ["due", "id"], "position").withColumn("due_time", F.col("due.mix_time")).drop("due")
     rest = planned.filter(~F.exists("mix.taken", lambda x: x > 0)).select(
         "id", "mix.size", "mix.source_size", "mix.target", F.lit(0).cast("long").alias("taken"),
-        F.lit(None).cast(met.schema["due"].dataType).alias("due"))
-    return met.unionByName(rest).orderBy(F.col("due").asc_nulls_last(), "id").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+        F.lit(None).cast("long").alias("position"), F.lit(None).cast("double").alias("due_time"))
+    return met.unionByName(rest).orderBy(F.col("position").asc_nulls_last(), "id").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken", "due_time", "position")

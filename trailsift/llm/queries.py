@@ -72,7 +72,24 @@ LEFT JOIN sets s ON s.g = q.g LEFT JOIN comps c ON c.node = s.node
 @query
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs).withColumn("due_time", F.round("due_time", 9))
+
+
+def _due_sql(share: str, schedule: mixing.Schedule) -> str:
+    """The time at which a share of a source's demand is due: the schedule's integral is a quadratic a piece."""
+    total = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]))
+    cases, before = [], 0.0
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        start, slope = w0 / total, (w1 - w0) / (t1 - t0) / total
+        part = (t1 - t0) * (w0 + w1) / 2 / total
+        left = f"greatest({share} - {before!r}::DOUBLE, 0::DOUBLE)"
+        root = f"sqrt(greatest({start * start!r}::DOUBLE + ({2 * slope!r})::DOUBLE * {left}, 0::DOUBLE))"
+        before += part
+        cases.append((before, f"{t0!r}::DOUBLE + 2::DOUBLE * {left} / ({start!r}::DOUBLE + {root})"))
+    text = cases[-1][1]
+    for end, value in reversed(cases[:-1]):
+        text = f"CASE WHEN {share} <= {end!r}::DOUBLE THEN {value} ELSE {text} END"
+    return f"least({text}, 1::DOUBLE)"
 
 
 SQL["op3_curriculum_mix"] = r"""
@@ -80,8 +97,8 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 src AS (
-  SELECT source, sum(size)::DOUBLE AS s, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
-  FROM sized GROUP BY source),
+  SELECT source, sum(size)::DOUBLE AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r,
+    1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM sized GROUP BY source),
 shares AS (
   SELECT *, sum(s) OVER () AS total, sum(w) OVER () AS all_w,
     (sum(s) OVER () - coalesce(sum(3 * s) OVER lower, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER lower, 0)) AS share
@@ -90,17 +107,24 @@ rest AS (
   SELECT *, 3 * s / w < share AS capped,
     total - sum(CASE WHEN 3 * s / w < share THEN 3 * s ELSE 0 END) OVER () AS left_over,
     all_w - sum(CASE WHEN 3 * s / w < share THEN w ELSE 0 END) OVER () AS free FROM shares),
-goal AS (SELECT source, s, CASE WHEN capped OR free <= 0 THEN 3 * s ELSE least(3 * s, w * left_over / free) END AS target
+goal AS (SELECT source, s, r, CASE WHEN capped OR free <= 0 THEN 3 * s ELSE least(3 * s, w * left_over / free) END AS target
   FROM rest),
 placed AS (
-  SELECT z.doc_id, z.size, g.s, g.target, floor(g.target + 0.5) AS quota,
+  SELECT z.doc_id, z.size, z.k, g.s, g.r, g.target, floor(g.target + 0.5) AS quota,
     coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY z.k, z.doc_id NULLS FIRST, z.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized z JOIN goal g ON z.source IS NOT DISTINCT FROM g.source)
+  FROM sized z JOIN goal g ON z.source IS NOT DISTINCT FROM g.source),
+met AS (
+  SELECT *, greatest(0, least(size, quota - start)) AS first, (start + first / 2.0::DOUBLE) / quota AS share FROM placed),
+due AS (
+  SELECT *, CASE WHEN first > 0 THEN CASE r % 3 WHEN 0 THEN """ + _due_sql("share", mixing.SCHEDULES[0]) + """
+    WHEN 1 THEN """ + _due_sql("share", mixing.SCHEDULES[1]) + " ELSE " + _due_sql("share", mixing.SCHEDULES[2]) + r""" END END
+    AS due FROM met)
 SELECT doc_id, size, s::BIGINT AS source_size, target,
-  (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - s - start))
-   + greatest(0, least(size, quota - 2 * s - start)))::BIGINT AS taken
-FROM placed
+  (first + greatest(0, least(size, quota - s - start)) + greatest(0, least(size, quota - 2 * s - start)))::BIGINT AS taken,
+  round(due, 9) AS due_time,
+  CASE WHEN first > 0 THEN row_number() OVER (PARTITION BY first > 0 ORDER BY due, r, k, doc_id NULLS FIRST) - 1 END AS position
+FROM due
 """
 
 
