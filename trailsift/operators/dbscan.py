@@ -157,8 +157,9 @@ def _clustered(features: DataFrame, eps: float, min_samples: int, cols: list[str
 
     # -- candidate pairs of distinct sub-cells: boxes within eps of each other --------------
     n_units, ranges = _extent(units, gcols)
-    placed = _keep(numbered(units.select("uid", *gcols, *lo, *hi), gcols, ranges, "uid"), cached)
-    half = materialize(near_pairs(placed, n_units, lo, hi, beyond, "uid"), "dbscan-boxes")
+    # Both are written: every level of the tree reads the boxes twice, and a cached plan would be part of each.
+    placed = materialize(numbered(units.select("uid", *gcols, *lo, *hi), gcols, ranges, "uid"), "dbscan-boxes")
+    half = materialize(near_pairs(placed, n_units, lo, hi, beyond, "uid"), "dbscan-pairs")
     unit_pairs = half.select(F.col("x").alias("ua"), F.col("y").alias("ub")).unionByName(
         half.select(F.col("y").alias("ua"), F.col("x").alias("ub")))
 

@@ -20,6 +20,8 @@ _DEFAULTS = {
     # Lets AQE coalesce the small shuffle partitions of persisted intermediates too.
     "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The driver keeps the text of every plan; those of iterative jobs are megabytes long.
+    "spark.sql.maxPlanStringLength": "20000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -36,7 +38,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.maxPlanStringLength"):
         spark.conf.set(key, _DEFAULTS[key])
     ensure_checkpoint_dir(spark)
     return spark
