@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trailsift.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["fold", "materialize", "read_table", "prepare", "row_blocks", "string_bytes", "word_starts",
+__all__ = ["fold", "materialize", "read_table", "prepare", "releasing", "row_blocks", "string_bytes", "word_starts",
            "SPACE", "WORD", "lower_ascii"]
 
 #: A word, everywhere in the contracts: a run of code points that are no ASCII white space.
@@ -85,3 +87,23 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(start)
     counts = np.diff(np.searchsorted(starts, offsets))
     return starts, counts
+
+
+def releasing(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run`` for ``mapInArrow``, giving memory back when a task ends.
+
+    Spark reuses Python workers for the stages that follow; what the allocators keep for later, and what
+    ``forget`` drops, would stand beside those stages' own needs.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+    return task

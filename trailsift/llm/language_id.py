@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from trailsift.llm.common import row_blocks, string_bytes
+from trailsift.llm.common import releasing, row_blocks, string_bytes
 
 #: Bytes of a block; units of a state in one direction; blocks that run side by side.
 STEPS, UNITS, WIDTH = 64, 8, 2048
@@ -255,6 +255,6 @@ def identify(docs: DataFrame, model: bytes | None, keep: list[str], text_col: st
         return slim.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = StructType([*slim.drop("__text").schema.fields, StructField("lang_pred", StringType()),
                          StructField("score", DoubleType())])
-    found = slim.mapInArrow(_labeller(model, text), schema)
+    found = slim.mapInArrow(releasing(_labeller(model, text)), schema)
     return found.select(*keep, F.when(F.col("__lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
                         F.when(F.col("__lettered"), F.col("score")).otherwise(0.0).alias("score"))

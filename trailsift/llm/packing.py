@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailsift.llm.common import materialize
+from trailsift.llm.common import materialize, releasing
 
 #: Letters of the texts that are split here: ASCII, Latin-1 and Latin Extended-A.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -220,12 +220,16 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece."""
+         text_col: str = "text", release: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece.
+
+    ``release``: workers forget their encoder after each task, for jobs whose other stages need the memory.
+    """
     spark = docs.sparkSession
+    cutter = _cutter(path, capacity)
     pieces = materialize(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_cutter(path, capacity), _piece_schema(docs, id_col))
+        .mapInArrow(releasing(cutter, _encoders.clear) if release else cutter, _piece_schema(docs, id_col))
         .withColumn("part", F.spark_partition_id()), "packing-pieces")
     # At most one row per possible length reaches the driver.
     histogram = {r["length"]: r["n"] for r in
