@@ -74,7 +74,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all occurrences with their places in sequences of 2048 tokens."""
     prepare(spark)
-    return packing.pack(docs.select("doc_id", "text"), byte_bpe(), 2048)
+    return packing.pack(docs.select("doc_id", "text"), byte_bpe(), 2048, release=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
