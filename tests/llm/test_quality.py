@@ -53,3 +53,39 @@ def test_junk_goes_and_prose_stays(spark):
     kept = {r["doc_id"] for r in quality.judge(df).filter("kept").collect()}
     assert kept == {r[0] for r in good}
     assert all(not r["kept"] for r in quality.judge(awkward_frame(spark)).filter("base_failed").collect())
+
+
+SALAD = [a + b + c for a in ("br", "st", "gl", "m", "v") for b in ("a", "o", "i") for c in ("nter", "lk", "rm", "dden")]
+
+
+def test_word_salad_goes(spark):
+    rng = random.Random(3)
+    good = [(i, prose(rng, 120).capitalize() + ".", "en", "a", 0) for i in range(80)]
+    salad = [(100 + i, prose(rng, 160, SALAD).capitalize() + ".", "en", "a", 0) for i in range(30)]
+    short = [(200 + i, prose(rng, 70, SALAD).capitalize() + ".", "en", "a", 0) for i in range(5)]  # too short to tell
+    df = spark.createDataFrame(good + salad + short, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in quality.judge(df).filter("kept").collect()}
+    assert kept == {r[0] for r in good + short}
+
+
+def test_word_limit():
+    n = len(quality.WORDS)
+    assert quality.word_limit([0.0] * n + [1.0]) is None  # a language without any of the common words
+    limit = quality.word_limit([0.3] + [0.0] * (n - 1) + [0.7])
+    void = math.sqrt((math.log2(1 / 0.85) + 0.3 * math.log2(0.3 / 0.15) + 0.7 * math.log2(0.7 / 0.85)) / 2)
+    assert abs(limit - 0.9 * void) < 1e-12
+
+
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 120).capitalize() + ".", "en", "a", 0) for i in range(60)]
+    # 250 small languages, which write most letters large: far from English, but not from their own kind.
+    rows += [(1000 * k + i, prose(rng, 120, [w.upper() for w in SALAD]), f"l{k:03d}", "a", 0)
+             for k in range(1, 251) for i in range(2)]
+    rows += [(i, prose(rng, 120, [w.upper() for w in SALAD]), "en", "a", 0) for i in (900, 901)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    found = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert len(found) == len(rows)
+    assert all(found[r[0]]["kept"] for r in rows if r[0] not in (900, 901))
+    # The two that are labelled as English are excused by no reference of their own language.
+    assert not found[900]["kept"] and not found[901]["kept"]

@@ -8,7 +8,13 @@ Language references are the mean histograms of the corpus's documents by ``lang`
 documents that pass the base rules. A document is kept when the Jensen-Shannon distance
 to the nearest reference is small for both histograms. References are learned twice, the
 second time without documents that lie far from all first ones. Short documents have noisy word
-histograms, so these are only held against documents of enough words.
+histograms, so these are only held against documents of enough words. How far a word histogram may
+lie follows from its reference: less far than a text without any common word lies. A reference
+that hardly has common words says nothing that way and excuses the documents of its own language only
+(that of all documents: those without a language).
+
+The most frequent languages' references are compared with every document; a document of any other
+language meets its own reference by a join, so that no language goes without one.
 
 Repetition is counted inside each row: windows of three words are hashed to 64 bits and
 sorted, equal neighbours mark their positions, and marked positions are unrolled to words.
@@ -22,6 +28,8 @@ With no document to learn a reference from, the base rules decide. Only the name
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +43,17 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "por"),
 }
 WORDS = tuple(dict.fromkeys(w for words in COMMON.values() for w in words))
-#: Largest distances (0 to 1) of a kept document, and the words it needs for the second one.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_COMMON_WORDS = 0.30, 0.45, 100
+#: Largest distance (0 to 1) of a kept document's characters, and the words it needs for the word rule.
+MAX_CHAR_DISTANCE, MIN_COMMON_WORDS = 0.30, 100
+#: Its largest word distance, as a share of the distance of a text without common words; references
+#: for which that distance is below the second value (common words of about 4 % and less) don't decide.
+VOID_SHARE, MIN_VOID_DISTANCE = 0.9, 0.14
 #: A document that is beyond both of these goes too: odd marks and hardly a common word.
 BOTH_CHAR_DISTANCE, BOTH_WORD_DISTANCE = 0.18, 0.25
 #: Documents farther than this from every first reference don't shape the second ones.
 TRIM_CHAR_DISTANCE, TRIM_WORD_DISTANCE = 0.12, 0.24
-#: References are kept for this many languages at most, the most frequent ones; the reference
-#: of all documents stands for the others.
-MAX_LANGUAGES = 64
+#: The references of this many languages, the most frequent ones, are compared with all documents.
+COMPARED_LANGUAGES = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 _CLASSES = 7
 
@@ -124,29 +134,71 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def _nearest(column: str, table: Column) -> Column:
-    return F.array_min(F.transform(table, lambda q: js_distance(F.col(column), q)))
-
-
-def references(measured: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """Mean histograms by language and of all documents: a bounded number of short arrays."""
-    n = len(WORDS) + 1
-    usable = measured.filter(~F.col("base_failed"))
-    means = [F.avg(F.col("chars")[i]).alias(f"c{i}") for i in range(_CLASSES)] + [
-        F.avg(F.col("common")[i]).alias(f"w{i}") for i in range(n)]
-    rows = (usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means)
-            .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    pooled = usable.agg(*means).collect()
-    return [([r[f"c{i}"] for i in range(_CLASSES)], [r[f"w{i}"] for i in range(n)])
-            for r in [*rows, *pooled] if r["c0"] is not None]
-
-
-def _distances(known: list[tuple[list[float], list[float]]]) -> dict[str, Column]:
-    """Distance to the nearest reference, for both histograms; 0 without references."""
-    if not known:
-        return {"char_distance": F.lit(0.0), "word_distance": F.lit(0.0)}
-    tables = [F.array(*[F.array(*[F.lit(float(x)) for x in ref[k]]) for ref in known]) for k in (0, 1)]
-    return {"char_distance": _nearest("chars", tables[0]), "word_distance": _nearest("common", tables[1])}
+def _to_each(column: str, table: Column) -> Column:
+    return F.transform(table, lambda q: js_distance(F.col(column), q))
+
+
+def word_limit(common: list[float]) -> float | None:
+    """The largest word distance to a reference, None where it can't decide."""
+    rest = common[-1]  # the share of words that are not common
+    void = 0.0  # distance of a text without common words
+    for p, q in [(0.0, x) for x in common[:-1]] + [(1.0, rest)]:
+        m = (p + q) / 2
+        void += sum(x * math.log2(x / m) for x in (p, q) if x > 0) / 2
+    void = math.sqrt(max(void, 0.0))
+    return VOID_SHARE * void if void >= MIN_VOID_DISTANCE else None
+
+
+class References:
+    """Mean histograms: ``near`` for all documents to be compared with, as (lang, chars, common, is_pooled),
+    a bounded number of short arrays; ``others`` (or None) by language, for the documents of that language."""
+
+    def __init__(self, measured: DataFrame):
+        n = len(WORDS) + 1
+        usable = measured.filter(~F.col("base_failed"))
+        means = [F.array(*[F.avg(F.col("chars")[i]) for i in range(_CLASSES)]).alias("ref_chars"),
+                 F.array(*[F.avg(F.col("common")[i]) for i in range(n)]).alias("ref_common")]
+        by_lang = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means)
+        rows = by_lang.orderBy(F.desc("n"), "lang").limit(COMPARED_LANGUAGES + 1).collect()
+        self.others = None
+        if len(rows) > COMPARED_LANGUAGES:
+            rows.pop()
+            self.others = materialize(by_lang.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(
+                [r["lang"] for r in rows if r["lang"] is not None])).select(
+                "lang", "ref_chars", "ref_common"), "quality-references")
+        self.near = [(r["lang"], r["ref_chars"], r["ref_common"], False) for r in rows]
+        if rows:
+            pooled = usable.agg(*means).collect()[0]
+            self.near.append((None, pooled["ref_chars"], pooled["ref_common"], True))
+
+    def compare(self, measured: DataFrame) -> DataFrame:
+        """Adds char_distance and word_distance (to the nearest reference, 0 without any) and word_fine."""
+        if not self.near:
+            return measured.withColumns({"char_distance": F.lit(0.0), "word_distance": F.lit(0.0),
+                                         "word_fine": F.lit(True)})
+        tables = [F.array(*[F.array(*[F.lit(float(x)) for x in ref[k]]) for ref in self.near]) for k in (1, 2)]
+        limits = []
+        for lang, _, common, is_pooled in self.near:
+            limit = word_limit(common)
+            if limit is None:
+                same = F.col("lang").isNull() if is_pooled else F.col("lang").eqNullSafe(F.lit(lang))
+                limits.append(F.when(same, F.lit(1.0)).otherwise(F.lit(-1.0)))
+            else:
+                limits.append(F.lit(limit))
+        distances = [_to_each("chars", tables[0]), _to_each("common", tables[1])]
+        char_distance, word_distance = map(F.array_min, distances)
+        fine = F.exists(F.zip_with(distances[1], F.array(*limits), lambda d, most: d <= most), lambda x: x)
+        if self.others is not None:
+            measured = measured.join(self.others, "lang", "left")
+            has_own = F.col("ref_common").isNotNull()
+            own = js_distance(F.col("common"), F.col("ref_common"))
+            # The distance of a text without common words: all of its words are others.
+            void = js_distance(F.array(*[F.lit(0.0)] * len(WORDS), F.lit(1.0)), F.col("ref_common"))
+            char_distance = F.least(char_distance, F.when(has_own, js_distance(F.col("chars"), F.col("ref_chars"))))
+            word_distance = F.least(word_distance, F.when(has_own, own))
+            fine = fine | (has_own & ((own <= VOID_SHARE * void) | (void < MIN_VOID_DISTANCE)))
+        return measured.withColumns({"char_distance": char_distance, "word_distance": word_distance,
+                                     "word_fine": fine}).drop("ref_chars", "ref_common")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -157,11 +209,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # Once with all documents, then without those far from every first reference, so that
     # junk does not colour what it is compared with.
     near = (F.col("char_distance") <= TRIM_CHAR_DISTANCE) & (F.col("word_distance") <= TRIM_WORD_DISTANCE)
-    first = references(measured)
-    known = references(measured.withColumns(_distances(first)).filter(near)) or first
+    first = References(measured)
+    known = References(first.compare(measured).filter(near))
     fine = (F.col("char_distance") <= MAX_CHAR_DISTANCE) & (
-        (F.col("n_words") < MIN_COMMON_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE)) & ~(
+        (F.col("n_words") < MIN_COMMON_WORDS) | F.col("word_fine")) & ~(
         (F.col("char_distance") > BOTH_CHAR_DISTANCE) & (F.col("word_distance") > BOTH_WORD_DISTANCE))
-    return measured.withColumns(_distances(known)).select(
+    return (known if known.near else first).compare(measured).select(
         F.col("id").alias(id_col), *(["carried"] if carry else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "char_distance", "word_distance", "base_failed", (~F.col("base_failed") & fine).alias("kept"))
