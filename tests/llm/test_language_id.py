@@ -1,5 +1,9 @@
+import pickle
+
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from trailsift.llm import language_id as li
 from trailsift.llm.queries import QUERIES
 
@@ -43,3 +47,17 @@ def test_held_out_accuracy(spark, sf_small):
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
     rows = [r for r in QUERIES["op1_language_id"](spark, sf_small).collect() if r["held_out"]]
     assert rows and np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in rows]) >= 0.95
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"text of {i}", f"l{i % 250:03d}") for i in range(500)] + [(900, "no label", None), (901, None, "l000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = pickle.loads(li.fit(df, "text", "lang", F.xxhash64("doc_id")))
+    assert network.languages == [f"l{i:03d}" for i in range(250)]
+
+
+def test_long_texts_reach_the_learning_task_as_blocks(spark):
+    df = spark.createDataFrame([(i, "ab " * 100_000, "a") for i in range(8)], "doc_id long, text string, lang string")
+    rows = df.select("text", "lang", F.xxhash64("doc_id").alias("at"), F.lit(0).cast("long").alias("tie"))
+    cut = rows.mapInPandas(li._cut_blocks, "lang string, at long, tie long, blocks array<binary>").collect()
+    assert all(sum(map(len, r["blocks"])) <= li.SAMPLE_BLOCKS * li.STEPS for r in cut) and len(cut) == 8

@@ -36,8 +36,8 @@ from trailsift.llm.common import releasing, row_blocks, string_bytes
 STEPS, UNITS, WIDTH = 64, 8, 2048
 #: The training sample: rows of each language, and blocks of each of these rows.
 SAMPLE_ROWS, SAMPLE_BLOCKS = 400, 6
-#: Learned languages: at most this many, the most frequent ones.
-MAX_LANGUAGES = 200
+#: Rows of the whole sample: with very many languages each has an equal share of them, but a row at least.
+SAMPLE_TOTAL = 80_000
 UNKNOWN = "und"
 _PAD = 256
 
@@ -172,33 +172,42 @@ def _blocks_of(text: str, key: int) -> list[bytes]:
 def fit(labelled: DataFrame, text_col: str, lang_col: str, order: Column) -> bytes | None:
     """A pickled Network, or None without a labelled row.
 
-    At most SAMPLE_ROWS rows of each of MAX_LANGUAGES languages are learned from: those with the
-    smallest ``order`` (a hash), found among the share of rows that is expected to hold twice
-    as many.
+    Every label is learned. At most SAMPLE_ROWS rows of each language (SAMPLE_TOTAL of all) are learned
+    from: those with the smallest ``order`` (a hash), found among the share of rows that is
+    expected to hold twice as many. Their blocks are cut where the rows are, so that the task that
+    learns receives a few hundred bytes of each, whatever the lengths of the texts.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), order.alias("at")).filter(
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
+                           order.alias("at")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("at").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(
-        MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each label
     if not sizes:
         return None
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // len(sizes)))
     place = F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     below = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (
-        r["lang"], min(1.0, (2 * SAMPLE_ROWS + 50) / r["n"]))]), F.col("lang"))
-    first = Window.partitionBy("lang").orderBy("at", "text")
-    sample = (rows.filter(F.col("lang").isin(*[r["lang"] for r in sizes])).filter(place < below)
-              .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_ROWS)
+        r["lang"], min(1.0, (2 * most + 50) / r["n"]))]), F.col("lang"))
+    first = Window.partitionBy("lang").orderBy("at", "tie")
+    cut = rows.filter(place < below).withColumn("tie", F.xxhash64("text")).mapInPandas(
+        _cut_blocks, "lang string, at long, tie long, blocks array<binary>")
+    sample = (cut.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most)
               .groupBy(F.lit(1).alias("one")).applyInPandas(_train_on, "model binary"))
     models = sample.collect()
     return bytes(models[0]["model"]) if models else None
 
 
+def _cut_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        rows["blocks"] = [_blocks_of(text, int(key)) for text, key in zip(rows["text"], rows["at"])]
+        yield rows[["lang", "at", "tie", "blocks"]]
+
+
 def _train_on(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["lang", "at", "text"])
+    rows = rows.sort_values(["lang", "at", "tie"])
     blocks, labels = [], []
-    for text, lang, key in zip(rows["text"], rows["lang"], rows["at"]):
-        for block in _blocks_of(text, int(key)):
-            blocks.append(block)
+    for lang, some in zip(rows["lang"], rows["blocks"]):
+        for block in some:
+            blocks.append(bytes(block))
             labels.append(lang)
     network = train(blocks, labels) if blocks else None
     return pd.DataFrame({"model": [pickle.dumps(network)]})
