@@ -54,8 +54,17 @@ def _byte_names() -> dict[int, str]:
 
 
 _BYTE_NAMES = _byte_names()
-#: Pieces of text a Python worker remembers: two generations of this many.
-REMEMBERED = 200_000
+#: Pieces of text a Python worker remembers: two generations of this many (about 220 bytes each).
+REMEMBERED = 400_000
+#: Writers of n ids, for the usual small n.
+_WRITE = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
+def _spelled(piece: str) -> str:
+    """The piece as byte-level BPE files spell it. Printable ASCII but the space names itself."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _BYTE_NAMES[0x20])
+    return piece.encode().decode("latin-1").translate(_BYTE_NAMES)
 
 
 class Encoder:
@@ -86,8 +95,9 @@ class Encoder:
         # A piece is one word to the model already, so its merges are asked for directly.
         merge = self.tokenizer.model.tokenize
         for piece in new:
-            ids = [t.id for t in merge(piece.encode().decode("latin-1").translate(_BYTE_NAMES))]
-            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            ids = [t.id for t in merge(_spelled(piece))]
+            known[piece] = (_WRITE[len(ids)](*ids) if len(ids) < len(_WRITE)
+                            else struct.pack(f"<{len(ids)}I", *ids))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
