@@ -77,12 +77,47 @@ def compact_json(c: ColumnOrName) -> Column:
     return F.regexp_replace(_col(c), r'("(?:[^"\\]|\\.)*")|\s+', "$1")
 
 
+def _number_lengths(tokens: Column) -> Column:
+    """Characters by which Python prints JSON numbers with a fraction or an exponent, all together.
+
+    A token of at most 15 digits prints with just these digits; a longer one, or one with an exponent
+    of three digits, with those of its double. Exponents from -4 to 15 are written out, others as ``e+16`` or ``e-05``.
+    """
+    texts = F.transform(tokens, lambda x: F.when(
+        (F.length(F.regexp_replace(x, r"[eE].*|[-.]", "")) <= 15) & ~x.rlike("[eE][+-]?[0-9]{3}"), x)
+        .otherwise(x.cast("double").cast("string")))
+    parts = F.transform(texts, lambda t: F.struct(
+        t.startswith("-").cast("int").alias("sign"), t.endswith("y").alias("infinite"),
+        F.regexp_extract(t, r"^-?([0-9]+)", 1).alias("whole"), F.regexp_extract(t, r"\.([0-9]+)", 1).alias("fraction"),
+        F.coalesce(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("exponent")))
+    digits = F.transform(parts, lambda p: F.struct(
+        p["sign"].alias("sign"), p["infinite"].alias("infinite"), (p["exponent"] + F.length(p["whole"]) - 1).alias("first"),
+        F.concat(p["whole"], p["fraction"]).alias("all"),
+        F.ltrim(F.concat(p["whole"], p["fraction"]), F.lit("0")).alias("kept")))
+    placed = F.transform(digits, lambda d: F.struct(
+        d["sign"].alias("sign"), d["infinite"].alias("infinite"), F.length(F.rtrim(d["kept"], F.lit("0"))).alias("n"),
+        (d["first"] - F.length(d["all"]) + F.length(d["kept"])).alias("e")))
+
+    def size(x: Column) -> Column:
+        n, e = x["n"], x["e"]
+        power = 2 + F.greatest(F.lit(2), F.length(F.abs(e).cast("string")))  # the e, its sign, two digits or more
+        return x["sign"] + (F.when(x["infinite"], F.lit(8)).when(n == 0, F.lit(3))
+                            .when((e >= 0) & (e < 16), F.greatest(e + 3, n + 1))
+                            .when((e < 0) & (e >= -4), n - e + 1)
+                            .otherwise(n + F.when(n > 1, F.lit(1)).otherwise(F.lit(0)) + power))
+
+    return F.aggregate(placed, F.lit(0), lambda total, x: total + size(x).cast("int"))
+
+
 def json_length(c: ColumnOrName) -> Column:
     """SCL-5: length of the JSON text as Python's ``json.dumps`` prints the value.
 
     Separators ``", "`` and ``": "`` add one character per ``,``/``:`` outside
     strings; DEL and non-ASCII characters are escaped (``\\uXXXX``: +5 in the BMP, a
-    surrogate pair: +11 above it). Null prints ``null`` (4).
+    surrogate pair: +11 above it). Escapes that Python would not write so shrink (``\\/``, ``\\u0041``,
+    ``\\u000a``), numbers with a fraction or an exponent are spelled anew, ``-0`` prints as ``0``.
+    Null prints ``null`` (4). Keys that one object repeats all count; numbers of more than 15 digits and those
+    with exponents of three digits have the digits that Java prints, which may be one more.
     """
     js = _col(c)
     compact = compact_json(js)
@@ -91,6 +126,17 @@ def json_length(c: ColumnOrName) -> Column:
          + F.regexp_count(structure, F.lit("[,:]"))
          + F.lit(5) * F.regexp_count(compact, F.lit(r"[\x{7F}-\x{FFFF}]"))
          + F.lit(11) * F.regexp_count(compact, F.lit(r"[\x{10000}-\x{10FFFF}]")))
+    # Once escaped backslashes are out of the way, every backslash starts an escape.
+    escapes = F.regexp_replace(compact, r"\\\\", "xx")
+    shorter = (F.regexp_count(escapes, F.lit(r"\\/"))
+               + F.lit(4) * F.regexp_count(escapes, F.lit(r"\\u00(?:0[89aAcCdD]|22|5[cC])"))
+               + F.lit(5) * F.regexp_count(escapes, F.lit(
+                   r"\\u00(?:2[013-9a-fA-F]|[346][0-9a-fA-F]|5[0-9abdefABDEF]|7[0-9a-eA-E])")))
+    numbers = F.regexp_extract_all(structure, F.lit(r"(-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))"), F.lit(1))
+    respelled = _number_lengths(numbers) - F.aggregate(numbers, F.lit(0), lambda total, x: total + F.length(x))
+    n = (n - F.when(js.contains("\\u00") | js.contains("\\/"), shorter).otherwise(F.lit(0))
+         + F.when(structure.rlike("[0-9][.eE]"), respelled).otherwise(F.lit(0))
+         - F.when(structure.contains("-0"), F.regexp_count(structure, F.lit(r"-0(?![.eE0-9])"))).otherwise(F.lit(0)))
     return F.when(js.isNull(), F.lit(4)).otherwise(n).cast("bigint")
 
 
