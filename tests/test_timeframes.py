@@ -100,6 +100,27 @@ def test_interval_join_and_identities(spark):
     assert rep.identities_shown.split(" || ")[1] == "5.6.7.8 / P / Boto3/1 Windows / Windows"
 
 
+def test_hour_with_most_events_is_no_single_task(spark):
+    base = dt.datetime(2024, 1, 1, 9, 0)
+    ev = spark.range(10_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") < 9000, F.lit(base)).otherwise(
+            F.lit(base + dt.timedelta(hours=3))).cast("timestamp_ntz").alias("eventTime"))
+    tfs = spark.createDataFrame([(base, base + dt.timedelta(minutes=2), 0.5),
+                                 (base + dt.timedelta(hours=1), base + dt.timedelta(hours=4), 0.6)],
+                                "tf_start TIMESTAMP_NTZ, tf_end TIMESTAMP_NTZ, confidence DOUBLE")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:  # the plan as it is without run-time help
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        tasks = T.timeframe_events(tfs, ev).groupBy(F.spark_partition_id().alias("task"), "tf_start").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in tasks) == sum(r.events for r in tasks) == 10_000
+    assert max(r.n for r in tasks if r.tf_start == base) < 5000
+
+
 def test_first_identities_skewed_timeframe(spark):
     df = spark.range(0, 5000).select(F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
                                      .alias("tf_start"), F.col("id").alias("ord"))

@@ -77,6 +77,7 @@ def distinct_apis_per_user(labelled: DataFrame) -> DataFrame:
 def value_overlap(labelled: DataFrame) -> DataFrame:
     """DOC-4: per cluster, the mean over users of the share of their distinct source IPs,
     user agents and OSes that also occur in another cluster (noise counts as one)."""
+    is_os = F.col("kind") == "os"
     base = labelled.select("cluster", S.iam_name("userIdentity").alias("user"),
                            F.explode(F.array(
                                F.struct(F.lit("ip").alias("kind"),
@@ -86,11 +87,15 @@ def value_overlap(labelled: DataFrame) -> DataFrame:
                                F.struct(F.lit("os").alias("kind"),
                                         S.guess_os("userAgent").alias("value")))).alias("kv"))
     triples = base.select("cluster", "user", "kv.kind", "kv.value").distinct()
-    spread = (triples.select("kind", "value", "cluster").distinct()
-              .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_clusters")))
-    shares = (triples.filter(F.col("cluster") != -1).join(spread, ["kind", "value"])
-              .groupBy("cluster", "user", "kind")
-              .agg(F.avg((F.col("n_clusters") > 1).cast("double")).alias("share")))
+    # A value is shared when its smallest and largest cluster differ: two numbers a value, combined in every task.
+    shared = (triples.groupBy("kind", "value").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+              .filter("lo < hi").select("kind", "value", F.lit(1.0).alias("shared")))
+    clustered = triples.filter(F.col("cluster") != -1)
+    # There are only a handful of OS names, each with all users: their rows don't meet by name.
+    parts = [clustered.filter(~is_os).join(shared.filter(~is_os), ["kind", "value"], "left"),
+             clustered.filter(is_os).join(F.broadcast(shared.filter(is_os)), ["kind", "value"], "left")]
+    shares = (parts[0].unionByName(parts[1]).groupBy("cluster", "user", "kind")
+              .agg(F.avg(F.coalesce("shared", F.lit(0.0))).alias("share")))
     return shares.groupBy("cluster").pivot("kind", ["ip", "ua", "os"]).agg(F.avg("share")) \
         .select("cluster", F.col("ip").alias("ip_overlap"), F.col("ua").alias("ua_overlap"),
                 F.col("os").alias("os_overlap"))

@@ -25,6 +25,8 @@ from trailsift.functions import scalars as S
 from trailsift.session import materialize
 
 HOUR_MICROS = 3_600_000_000
+#: Join keys that the events of one hour are dealt to.
+HOUR_SHARES = 32
 #: Added to minute numbers so that none is negative (whole days, beyond the year 1); more minutes than any series has.
 MINUTES_TO_ZERO, ALL_MINUTES = 1440 << 20, 1440 << 30
 
@@ -162,16 +164,21 @@ def timeframe_events(timeframes: DataFrame, suspicious: DataFrame,
     """JOIN-3 / FLT-7: suspicious events with ``tf_start <= t <= tf_end``.
 
     Equi-join on the hour bucket (timeframes exploded to the hours they cover,
-    a set bounded by the time span), then the exact range predicate. AQE turns it
-    into a broadcast join when the timeframe side is small at run time.
+    a set bounded by the time span), then the exact range predicate. The events of an hour are dealt to
+    HOUR_SHARES keys by a hash, and every hour of a timeframe stands under all of them, so that an hour with
+    most of the events is no single task's. AQE turns it into a broadcast join when the timeframe side is
+    small at run time.
     """
     tf_hours = timeframes.select(
         "tf_start", "tf_end", "confidence",
-        F.explode(F.sequence(_hour_no("tf_start"), _hour_no("tf_end"))).alias("hour_no"))
-    ev = suspicious.withColumn("hour_no", _hour_no(time_col))
-    joined = ev.join(tf_hours, "hour_no", "inner").filter(
+        F.explode(F.sequence(_hour_no("tf_start"), _hour_no("tf_end"))).alias("hour_no")).withColumn(
+        "hour_share", F.explode(F.sequence(F.lit(0), F.lit(HOUR_SHARES - 1))))
+    dealt = [time_col, *(c for c in ("event_id", "eventName", "sourceIPAddress") if c in suspicious.columns)]
+    ev = suspicious.withColumns({"hour_no": _hour_no(time_col),
+                                 "hour_share": F.pmod(F.xxhash64(*dealt), F.lit(HOUR_SHARES)).cast("int")})
+    joined = ev.join(tf_hours, ["hour_no", "hour_share"], "inner").filter(
         (F.col(time_col) >= F.col("tf_start")) & (F.col(time_col) <= F.col("tf_end")))
-    return joined.drop("hour_no")
+    return joined.drop("hour_no", "hour_share")
 
 
 def identity_columns(time_col: str = "eventTime") -> list[Column]:
