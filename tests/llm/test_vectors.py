@@ -30,9 +30,11 @@ def brute(rows, threshold):
     return {i: (links.get(i, 0), find(i)) for i, _, _ in rows if i is not None}
 
 
-@pytest.mark.parametrize("cell,piece", [(2048, 2048), (20, 16)])
-def test_against_brute_force(spark, monkeypatch, cell, piece):
+@pytest.mark.parametrize("cell,piece,cells", [(2048, 2048, 200_000), (20, 16, 200_000), (20, 16, 0)])
+def test_against_brute_force(spark, monkeypatch, cell, piece, cells):
     monkeypatch.setattr(vl, "CELL", cell)
+    monkeypatch.setattr(vl, "SHARE", 8 * piece)
+    monkeypatch.setattr(vl, "BROADCAST_CELLS", cells)
     monkeypatch.setattr(vl, "PIECE", piece)
     rng = np.random.default_rng(3)
     rows = []
@@ -60,3 +62,30 @@ def test_empty_and_null_ids(spark):
     rows = vl.near_vectors(spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1)], kind)).collect()
     assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows} == {
         (None, 0, None, True), (1, 0, 1, True)}
+
+
+def test_dense_group_costs_rows_by_its_size(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 0.02 * rng.standard_normal(16)).tolist(), "one") for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    coded = df.selectExpr("vec_id AS id", "label", "embedding AS vector").mapInArrow(
+        vl._encode, "id long, label string, vector binary").selectExpr(
+        "id AS node", "label", "16 AS size", "1L AS copies", "vector")
+    found = vl.range_links(coded, 0.93).collect()
+    assert len(found) < 5000                                   # and not the 1,124,250 links
+    assert sum(r["n"] for r in found if r["y"] is None) == 1500 * 1499
+    got = vl.near_vectors(df).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(1499, 0)}
+
+
+def test_many_labels_clashing_columns_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i % 3)], f"l{i // 6}", "x", 7) for i in range(3000)] + [(0, [0.0, 1.0], "l0", "x", 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, node string, place int")
+    rows = vl.near_vectors(df, 0.999).collect()
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in rows if r["vec_id"] > 5}
+    # Six vectors of a label, two of each direction.
+    assert got == {(i, 1, i - 3 if i % 6 > 2 else i) for i in range(6, 3000)}
+    # Id 0 stands for [1, 0], which vector 3 equals, and for [0, 1], which has no link.
+    two = [r for r in rows if r["vec_id"] == 0]
+    assert [(r["component_id"], r["kept"]) for r in two] == [(0, True)] * 2

@@ -12,7 +12,9 @@ every pair is found in the cell of its smaller id, and cells join independently.
 Equal vectors of a label are one node with a count. A cell's owners and guests come in pieces
 of at most ``PIECE`` rows; every pair of pieces is a group of its own, so no cell, label or
 vector gathers unboundedly. Pieces are compared by matrix products in double precision, and
-pairs near the threshold once more by exactly rounded sums. Vectors without clusters are
+pairs near the threshold once more by exactly rounded sums. A pair of pieces returns how many links
+each node has there and a spanning forest of them, so that a dense group costs rows by its
+size, not by its pairs. Vectors without clusters are
 replicated to most cells (distances concentrate in many dimensions): the join then costs what
 comparing all vectors of a label costs, and stays exact.
 
@@ -38,8 +40,10 @@ from pyspark.sql import functions as F
 from trailsift.llm.common import materialize
 from trailsift.operators.components import connected_components
 
-#: Vectors a cell is meant to own, pivots of a group at most, rows of a piece.
-CELL, MAX_PIVOTS, PIECE = 2048, 256, 2048
+#: Vectors a cell is meant to own, pivots of a label at most, rows of a piece, nodes of a label dealt to cells at a time.
+CELL, MAX_PIVOTS, PIECE, SHARE = 2048, 256, 2048, 16_384
+#: The sizes of more cells than this are joined by shuffle instead of broadcast.
+BROADCAST_CELLS = 200_000
 #: Cosines this close to the threshold are computed again with exactly rounded sums.
 DOUBT = 1e-9
 
@@ -67,34 +71,53 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "label", "vector"])
 
 
-def _dealer(pivots: dict[tuple[str, int], np.ndarray], radius: float):
-    """Each node's own cell, and the cells it is a guest of."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for (label, size), rows in frame.groupby(["label", "size"]):
-                p = pivots[(label, size)]
-                x = _matrix(rows["vector"])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                square = np.maximum(2 - 2 * (x @ p.T), 0)
-                own = square.argmin(axis=1)
-                between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
-                # 1e-9: rounding must never lose a guest.
-                guest = square - square[np.arange(len(x)), own][:, None] <= 2 * radius * between[own] + 1e-9
-                at, cell = np.nonzero(guest)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                    "label": label, "size": size, "cell": cell.astype(np.int32), "owner": own[at] == cell,
-                    "node": rows["node"].to_numpy()[at], "copies": rows["copies"].to_numpy()[at],
-                    "vector": rows["vector"].to_numpy()[at]}), preserve_index=False)
+def _dealer(radius: float):
+    """Each node's own cell, and the cells it is a guest of: a share of a label's nodes, with all its pivots."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        pivots, nodes = rows[rows["pivot"]].sort_values(["place", "vector"]), rows[~rows["pivot"]]
+        # A label whose sample came out empty has one pivot: everything is one cell.
+        p = _matrix(pivots["vector"]) if len(pivots) else np.eye(1, int(rows["size"].iloc[0]))
+        p = p / np.linalg.norm(p, axis=1, keepdims=True)
+        between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
+        parts = []
+        for start in range(0, len(nodes), PIECE):
+            piece = nodes.iloc[start:start + PIECE]
+            x = _matrix(piece["vector"])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            square = np.maximum(2 - 2 * (x @ p.T), 0)
+            own = square.argmin(axis=1)
+            # 1e-9: rounding must never lose a guest.
+            guest = square - square[np.arange(len(x)), own][:, None] <= 2 * radius * between[own] + 1e-9
+            at, cell = np.nonzero(guest)
+            parts.append(piece.iloc[at][["label", "size", "node", "copies", "vector"]].assign(
+                cell=cell.astype(np.int32), owner=own[at] == cell))
+        names = ["label", "size", "cell", "owner", "node", "copies", "vector"]
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
     return run
 
 
+def _forest(near: np.ndarray) -> np.ndarray:
+    """A spanning forest of a symmetric matrix of links, as rows (from, to): every node is visited once."""
+    new, out = np.ones(len(near), bool), [np.empty((0, 2), np.int64)]
+    for start in np.flatnonzero(near.any(axis=1)):
+        todo = [start] if new[start] else []
+        new[start] = False
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(near[at] & new)
+            new[found] = False
+            todo.extend(found)
+            out.append(np.column_stack([np.full(len(found), at), found]))
+    return np.concatenate(out)
+
+
 def _linker(threshold: float):
-    """Links of one pair of pieces: owners of a cell against its owners and guests."""
+    """One pair of pieces, owners of a cell against its owners and guests: the links each of their nodes has here
+    (y null, n further vectors), and a spanning forest of the links (n null)."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         owners, others = rows[rows["left"]], rows[~rows["left"]]
         if not len(owners) or not len(others):
-            return pd.DataFrame({"x": [], "y": [], "nx": [], "ny": []}).astype("int64")
+            return pd.DataFrame({"x": [], "y": [], "n": []}).astype("Int64")
         raw_a, raw_b = _matrix(owners["vector"]), _matrix(others["vector"])
         a = raw_a / np.linalg.norm(raw_a, axis=1, keepdims=True)
         b = raw_b / np.linalg.norm(raw_b, axis=1, keepdims=True)
@@ -102,48 +125,59 @@ def _linker(threshold: float):
         cosine = a @ b.T
         # A pair of two owners is seen from both sides, once; a guest always meets an owner, and the
         # pair is counted in the cell that owns the smaller id.
-        i, j = np.nonzero((cosine >= threshold - DOUBT) & (ids_a[:, None] < ids_b[None, :]))
-        sure = np.array([cosine[s, t] > threshold + DOUBT or exact_cosine(raw_a[s], raw_b[t]) >= threshold
-                         for s, t in zip(i, j)], bool)
-        i, j = i[sure], j[sure]
-        return pd.DataFrame({"x": ids_a[i], "y": ids_b[j], "nx": owners["copies"].to_numpy()[i],
-                             "ny": others["copies"].to_numpy()[j]})
+        linked = (cosine >= threshold - DOUBT) & (ids_a[:, None] < ids_b[None, :])
+        for s, t in zip(*np.nonzero(linked & (cosine <= threshold + DOUBT))):
+            linked[s, t] = exact_cosine(raw_a[s], raw_b[t]) >= threshold
+        copies_a, copies_b = owners["copies"].to_numpy(), others["copies"].to_numpy()
+        of_a, of_b = linked @ copies_b, linked.T @ copies_a
+        has_a, has_b = of_a > 0, of_b > 0
+        # A node that is on both sides is one row of the matrix.
+        ids, row = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+        near = np.zeros((len(ids), len(ids)), bool)
+        i, j = np.nonzero(linked)
+        i, j = row[i], row[len(ids_a) + j]
+        near[i, j] = near[j, i] = True
+        tree = np.sort(ids[_forest(near)], axis=1)
+        counted = np.full(int(has_a.sum() + has_b.sum()), None)
+        return pd.DataFrame({
+            "x": pd.array(np.concatenate([ids_a[has_a], ids_b[has_b], tree[:, 0]]), "Int64"),
+            "y": pd.array(np.concatenate([counted, tree[:, 1]]), "Int64"),
+            "n": pd.array(np.concatenate([of_a[has_a], of_b[has_b], np.full(len(tree), None)]), "Int64")})
     return run
 
 
 def range_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, nx, ny): pairs of nodes (x < y) of a label with cosine >= threshold and their copies.
+    """(x, y, n) for nodes of a label with cosine >= threshold: with y null, x has n further vectors as links (in
+    one of several rows of x); with n null, x and y (x < y) link, and these links connect all that links connect.
 
-    ``nodes`` has node, label (text), size, vector (bytes), copies.
+    ``nodes`` has node, label (text), size, vector (bytes), copies. The rows grow with the nodes and the cells
+    they meet in, not with the number of links.
     """
     groups = nodes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.ceil(
-        F.col("n") / CELL)))).withColumn("share", F.least(F.lit(1.0), (F.col("k") * 4 + 16) / F.col("n")))
+    wanted = materialize(groups.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(MAX_PIVOTS), F.ceil(
+        F.col("n") / CELL)))).withColumn("share", F.least(F.lit(1.0), (F.col("k") * 4 + 16) / F.col("n"))).withColumn(
+        "shares", F.greatest(F.lit(1), F.ceil(F.col("n") / SHARE)).cast("int")), "vectors-labels")
     # Pivots: a few nodes of each label by hash, at most MAX_PIVOTS of them.
     place = F.xxhash64("node", F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1))
-    sample = (nodes.join(wanted, ["label", "size"]).filter(place / F.lit(float(1 << 40)) <= F.col("share"))
-              .groupBy("label", "size", "k").agg(F.sort_array(F.collect_list(F.struct(
-                  place.alias("at"), "vector"))).alias("found"))
-              .select("label", "size", F.slice("found", F.lit(1), F.col("k").cast("int")).alias("found")))
-    pivots = {}
-    for r in sample.collect():
-        p = np.stack([np.frombuffer(x["vector"], "<f8") for x in r["found"]])
-        pivots[(r["label"], r["size"])] = p / np.linalg.norm(p, axis=1, keepdims=True)
-    if not pivots:
-        return nodes.sparkSession.createDataFrame([], "x long, y long, nx long, ny long")
-    # A group whose sample came out empty has one pivot: everything is one cell.
-    for r in groups.select("label", "size").collect():
-        key = (r["label"], r["size"])
-        if key not in pivots:
-            pivots[key] = np.eye(1, r["size"])
+    placed = nodes.join(wanted, ["label", "size"]).withColumn("place", place)
+    pivots = (placed.filter(F.col("place") / F.lit(float(1 << 40)) <= F.col("share"))
+              .groupBy("label", "size", "k", "shares").agg(F.sort_array(F.collect_list(F.struct(
+                  "place", "vector"))).alias("found"))
+              .select("label", "size", "shares", F.explode(F.slice("found", F.lit(1), F.col("k").cast("int"))).alias("p"))
+              .select("label", "size", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("dealt"),
+                      F.lit(True).alias("pivot"), "p.place", F.lit(None).cast("long").alias("node"),
+                      F.lit(None).cast("long").alias("copies"), "p.vector"))
+    members = placed.select("label", "size", F.pmod(F.xxhash64("node", F.lit(7)), F.col("shares")).cast("int").alias("dealt"),
+                            F.lit(False).alias("pivot"), "place", "node", "copies", "vector")
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    dealt = materialize(nodes.select("label", "size", "node", "copies", "vector").mapInArrow(
-        _dealer(pivots, radius), "label string, size int, cell int, owner boolean, node long, copies long, "
+    dealt = materialize(members.unionByName(pivots).groupBy("label", "size", "dealt").applyInPandas(
+        _dealer(radius), "label string, size int, cell int, owner boolean, node long, copies long, "
         "vector binary"), "vectors-cells")
-    sizes = dealt.groupBy("label", "size", "cell").agg(
+    sizes = materialize(dealt.groupBy("label", "size", "cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count_if("owner") / PIECE)).cast("int").alias("owner_pieces"),
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PIECE)).cast("int").alias("all_pieces"))
-    rows = dealt.join(F.broadcast(sizes), ["label", "size", "cell"])
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PIECE)).cast("int").alias("all_pieces")), "vectors-sizes")
+    # Beyond the checked number of cells a shuffle join, whose hot cells Spark splits.
+    rows = dealt.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes, ["label", "size", "cell"])
     key = F.xxhash64("node", F.lit(5))
     left = rows.filter("owner").select(
         "*", F.pmod(key, F.col("owner_pieces")).cast("int").alias("a"),
@@ -153,7 +187,7 @@ def range_links(nodes: DataFrame, threshold: float) -> DataFrame:
         F.pmod(key, F.col("all_pieces")).cast("int").alias("b"), F.lit(False).alias("left"))
     columns = ["label", "size", "cell", "a", "b", "left", "node", "copies", "vector"]
     return left.select(columns).unionByName(right.select(columns)).groupBy(
-        "label", "size", "cell", "a", "b").applyInPandas(_linker(threshold), "x long, y long, nx long, ny long")
+        "label", "size", "cell", "a", "b").applyInPandas(_linker(threshold), "x long, y long, n long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
@@ -168,10 +202,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
         .withColumn("size", (F.length("vector") / 8).cast("int")), "vectors-nodes")
     links = materialize(range_links(nodes, threshold), "vectors-links")
-    both = links.select(F.col("x").alias("node"), F.col("ny").alias("n")).unionByName(
-        links.select(F.col("y").alias("node"), F.col("nx").alias("n")))
-    degree = both.groupBy("node").agg(F.sum("n").alias("n"))
-    roots = connected_components(links.select("x", "y"))
+    degree = links.filter(F.col("y").isNull()).groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("n"))
+    roots = connected_components(links.filter(F.col("y").isNotNull()).select("x", "y"))
     found = nodes.join(degree, "node", "left").join(roots, "node", "left").select(
         "label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("root", "node").alias("component_id"))
