@@ -24,20 +24,24 @@ missing tags are tolerated; ``<`` that opens no tag is text. A host with fewer t
 ``LEAST_PAGES`` distinct pages has no template nodes, roles decide. Elements nested deeper than
 ``DEEPEST`` count as part of the element there, unless they state a role; their end tags close only
 themselves. (``DEEPEST_ROLE`` levels of such elements are told apart; what is no article goes at any depth.) Null ids and repeated rows are extracted like
-any other; an empty table gives an empty table.
+any other; an empty table gives an empty table. A very long page is aligned with its seed in time that grows with the
+page where heads, tails or kinds of blocks are alike, and with the product of the differing blocks else; memory with
+the blocks times their root.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator, Mapping
 from types import MappingProxyType
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailsift.llm.common import materialize
@@ -46,8 +50,9 @@ from trailsift.llm.url_filter import host_and_path
 #: A text that this share of a host's distinct pages have at a node is template.
 TEMPLATE_SHARE, LEAST_PAGES = 0.9, 10
 DEEPEST, DEEPEST_ROLE = 150, 20
-#: Wrappers of more hosts than this are joined by shuffle instead of broadcast.
-BROADCAST_HOSTS = 20_000
+#: Trees and wrappers of more bytes than this are joined by shuffle instead of broadcast; characters of the trees
+#: whose alignment a worker remembers.
+BROADCAST_BYTES, REMEMBERED = 16 << 20, 8 << 20
 
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,49 +283,127 @@ def shape(root: Node) -> tuple[list, list[tuple[int, int, bool]]]:
     return tree, texts
 
 
-def match_trees(page: list, seed: list) -> dict[int, int]:
-    """Simple tree matching: page node number -> seed node number (both in preorder)."""
-    def listed(tree: list, out: list) -> list:
-        out.append(tree)
-        for child in tree[2]:
-            listed(child, out)
-        return out
-
-    number_of = {id(t): i for i, t in enumerate(listed(page, []))}
-    seed_number = {id(t): i for i, t in enumerate(listed(seed, []))}
-    known: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def size(a: list, b: list) -> tuple[int, list]:
-        """Matched nodes of two trees, and the pairs of children in a best matching."""
-        if a[0] != b[0]:
-            return 0, []
-        at = (id(a), id(b))
-        if at in known:
-            return known[at]
-        n, m = len(a[2]), len(b[2])
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1],
-                                 best[i - 1][j - 1] + size(a[2][i - 1], b[2][j - 1])[0])
-        pairs, i, j = [], n, m
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
+def _best_pairs(kinds: np.ndarray, others: np.ndarray, weight: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs of an order-preserving matching of two sequences of kinds that weighs most.
+
+    The table's rows are kept at every ``step`` th place and filled in again from there on the way back, so that
+    memory is the length times its root.
+    """
+    n, m = len(kinds), len(others)
+    step = max(1, math.isqrt(n))
+    gains: dict[int, np.ndarray] = {}
+
+    def filled(row: np.ndarray, start: int, stop: int) -> list[np.ndarray]:
+        rows = [row]
+        for i in range(start, stop):
+            kind = int(kinds[i])
+            if kind not in gains:
+                if len(gains) >= step:
+                    gains.clear()
+                gains[kind] = weight[kind][others]
+            row = rows[-1].copy()
+            np.maximum(row[1:], rows[-1][:-1] + gains[kind], out=row[1:])
+            np.maximum.accumulate(row, out=row)
+            rows.append(row)
+        return rows
+
+    kept = [np.zeros(m + 1, np.int32)]
+    for start in range(0, n, step):
+        kept.append(filled(kept[-1], start, min(n, start + step))[-1])
+    best, pairs, i, j = int(kept[-1][m]), [], n, m
+    for part in range(len(kept) - 2, -1, -1):
+        start = part * step
+        rows = filled(kept[part], start, i) if j else []
+        while i > start and j:
+            if rows[i - start][j] == rows[i - start - 1][j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
+            elif rows[i - start][j] == rows[i - start][j - 1]:
+                # The first place with this weight is as good as any up to j.
+                j = int(np.searchsorted(rows[i - start][:j + 1], rows[i - start][j]))
             else:
                 i, j = i - 1, j - 1
-                pairs.append((a[2][i], b[2][j]))
-        known[at] = best[n][m] + 1, pairs
-        return known[at]
+                pairs.append((i, j))
+        i = min(i, start)
+    return best, pairs
+
+
+def match_trees(page: list, seed: list) -> dict[int, int]:
+    """Simple tree matching: page node number -> seed node number (both in preorder).
 
-    out, todo = {}, [(page, seed)]
+    Equal subtrees are one kind and are compared once. Children that two nodes have in common at their
+    heads and tails match each other (no matching weighs more); those between are matched by a table of numpy rows.
+    """
+    kind_of: dict[tuple, int] = {}
+    facts: list[tuple[str, tuple[int, ...], int]] = []  # by kind: key, kinds of the children, nodes
+
+    def listed(tree: list, number: int, out: list) -> int:
+        """Appends (number, kind, children's places in ``out``), children first; returns the last number used."""
+        mine, below = number, []
+        for child in tree[2]:
+            number = listed(child, number + 1, out)
+            below.append(len(out) - 1)
+        fact = (tree[0], tuple(out[c][1] for c in below))
+        if fact not in kind_of:
+            kind_of[fact] = len(facts)
+            facts.append((*fact, 1 + sum(facts[c][2] for c in fact[1])))
+        out.append((mine, kind_of[fact], below))
+        return number
+
+    pages, seeds = [], []
+    listed(page, 0, pages)
+    listed(seed, 0, seeds)
+    known: dict[tuple[int, int], int] = {}
+
+    def pairs_of(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        """Matched nodes below two kinds of one key, and the places of the children that match."""
+        below_a, below_b = facts[a][1], facts[b][1]
+        head, most = 0, min(len(below_a), len(below_b))
+        while head < most and below_a[head] == below_b[head]:
+            head += 1
+        tail = 0
+        while tail < most - head and below_a[-1 - tail] == below_b[-1 - tail]:
+            tail += 1
+        pairs = [(k, k) for k in range(head)]
+        pairs += [(len(below_a) - 1 - k, len(below_b) - 1 - k) for k in range(tail)]
+        total = sum(facts[below_a[k]][2] for k, _ in pairs)
+        mine, others = below_a[head:len(below_a) - tail], below_b[head:len(below_b) - tail]
+        if mine and others:
+            kinds_a, at_a = np.unique(mine, return_inverse=True)
+            kinds_b, at_b = np.unique(others, return_inverse=True)
+            weight = np.zeros((len(kinds_a), len(kinds_b)), np.int32)
+            by_key: dict[str, list[int]] = {}
+            for j, y in enumerate(kinds_b.tolist()):
+                by_key.setdefault(facts[y][0], []).append(j)
+            for i, x in enumerate(kinds_a.tolist()):
+                for j in by_key.get(facts[x][0], ()):
+                    weight[i, j] = size(x, int(kinds_b[j]))
+            between, found = _best_pairs(at_a, at_b, weight)
+            total += between
+            pairs += [(i + head, j + head) for i, j in found]
+        return total, pairs
+
+    def size(a: int, b: int) -> int:
+        """Matched nodes of two kinds of trees."""
+        if a == b:
+            return facts[a][2]
+        if facts[a][0] != facts[b][0]:
+            return 0
+        if not facts[a][1] or not facts[b][1]:
+            return 1
+        if (a, b) not in known:
+            known[a, b] = 1 + pairs_of(a, b)[0]
+        return known[a, b]
+
+    out, todo = {}, [(len(pages) - 1, len(seeds) - 1)]
+    placed: dict[tuple[int, int], list[tuple[int, int]]] = {}
     while todo:
-        a, b = todo.pop()
-        if a[0] == b[0]:
-            out[number_of[id(a)]] = seed_number[id(b)]
-            todo.extend(size(a, b)[1])
+        i, j = todo.pop()
+        (number, a, below_a), (other, b, below_b) = pages[i], seeds[j]
+        if facts[a][0] == facts[b][0]:
+            out[number] = other
+            if (a, b) not in placed:
+                placed[a, b] = pairs_of(a, b)[1]
+            todo.extend((below_a[x], below_b[y]) for x, y in placed[a, b])
     return out
 
 
@@ -428,13 +511,16 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _aligned: dict[tuple[str, str], dict[int, int]] = {}
+_remembered = [0]
 
 
 def _align(tree: str, seed: str) -> dict[int, int]:
-    """match_trees, remembered for the pairs of trees a worker meets (a bounded number of them)."""
+    """match_trees, remembered for the pairs of trees a worker meets, up to a length of all of them."""
     if (tree, seed) not in _aligned:
-        if len(_aligned) > 5000:
+        _remembered[0] += len(tree) + len(seed)
+        if _remembered[0] > REMEMBERED:
             _aligned.clear()
+            _remembered[0] = len(tree) + len(seed)
         _aligned[(tree, seed)] = match_trees(json.loads(tree), json.loads(seed))
     return _aligned[(tree, seed)]
 
@@ -458,6 +544,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["host", "node", "hash", "lone"])
 
 
+def _bytes(hosts: DataFrame, more: Column) -> int:
+    """About how much memory a table of hosts takes."""
+    return hosts.agg(F.sum(F.lit(64) + F.coalesce(F.length("host"), F.lit(0)) + F.greatest(more, F.lit(0)))).first()[0] or 0
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, seed, template, repeated): a wrapper for each host of ``pages`` (host, html). Nodes of
     ``template`` are constant where they stand alone; ``repeated`` has (node, hash) of constant texts."""
@@ -465,7 +556,7 @@ def induce(pages: DataFrame) -> DataFrame:
         _shapes, "host string, tree string, numbers array<int>, hashes array<long>, lone array<boolean>, whole long"), "wrapper-shapes")
     seeds = materialize(shapes.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(
         F.max_by("tree", F.struct("n", "tree")).alias("seed")), "wrapper-seeds")
-    small = seeds.count() <= BROADCAST_HOSTS
+    small = _bytes(seeds, F.length("seed")) <= BROADCAST_BYTES
     distinct = shapes.groupBy("host", "whole", "tree").agg(F.first("numbers").alias("numbers"),
                                                             F.first("hashes").alias("hashes"),
                                                             F.first("lone").alias("lone"))
@@ -535,7 +626,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     slim = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("host"),
                         F.col(html_col).cast("string").alias("__html"))
     wrappers = induce(slim.select("host", F.col("__html").alias("html")))
-    small = wrappers.count() <= BROADCAST_HOSTS
+    small = _bytes(wrappers, F.length("seed") + 4 * F.coalesce(F.size("template"), F.lit(0)) + 24 * F.coalesce(
+        F.size("repeated"), F.lit(0))) <= BROADCAST_BYTES
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     found = slim.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select(
         "__id", "__url", "__html", "seed", "template", "repeated").mapInArrow(
