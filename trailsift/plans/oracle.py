@@ -363,6 +363,10 @@ SQL["rolling_density"] = with_ctes(
     "round(density, 9) AS density FROM e_dens WHERE roll_total > 0", "e_dens")
 SQL["error_timeframes"] = with_ctes(
     "SELECT tf_start, tf_end, round(confidence, 9) AS confidence FROM e_tf", "e_tf")
+SQL["timeframes_stream"] = with_ctes(
+    "SELECT tf_start, tf_end, round(confidence, 9) AS confidence FROM e_tf "
+    "WHERE tf_end + INTERVAL 90 SECOND - INTERVAL 1 MICROSECOND <= "
+    "(SELECT date_trunc('millisecond', max(eventTime)) FROM ro)", "e_tf", "ro")
 SQL["timeframes"] = with_ctes(
     "SELECT tf_start, tf_end, round(confidence, 9) AS confidence FROM s_tf", "s_tf")
 SQL["timeframes_5min_40pct"] = with_ctes(

@@ -28,6 +28,7 @@ from trailsift.sources import envelopes as EV
 from trailsift.sources import sinks as SK
 from trailsift.sources.adapter import audit_events, read_table
 from trailsift.sources.ingest import Ingested, read_audit_logs
+from trailsift.streaming import streaming_timeframes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,6 +297,22 @@ def q_error_timeframes(spark, sf_dir):
     return tfs.select("tf_start", "tf_end", _r("confidence", 9).alias("confidence"))
 
 
+def q_timeframes_stream(spark, sf_dir):
+    """§2.12: the events as a stream; its timeframes up to the last event's time, less the run open then."""
+    folder = table_path(spark, f"stream-{uuid.uuid4().hex}")
+    source = _readonly(spark, sf_dir).select(F.col("eventTime").cast("timestamp").alias("eventTime"), "eventName",
+                                             F.coalesce(_error_flag(), F.lit(False)).alias("flag"))
+    source.write.parquet(f"{folder}/source")
+    stream = spark.readStream.schema(source.schema).parquet(f"{folder}/source")
+    found = streaming_timeframes(stream, "flag", 60, 0.10, watermark="0 seconds")
+    run = (found.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
+           .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+    run.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{folder}/rows")
+    return rows.select(F.col("tf_start").cast("timestamp_ntz").alias("tf_start"),
+                       F.col("tf_end").cast("timestamp_ntz").alias("tf_end"), _r("confidence", 9).alias("confidence"))
+
+
 def q_timeframes(spark, sf_dir):
     d = detect(audit_events(spark, sf_dir))
     return d.timeframes.select("tf_start", "tf_end", _r("confidence", 9).alias("confidence"))
@@ -438,6 +455,7 @@ QUERIES: dict[str, Query] = {
     "minute_spine": q_minute_spine,
     "rolling_density": q_rolling_density,
     "error_timeframes": q_error_timeframes,
+    "timeframes_stream": q_timeframes_stream,
     "timeframes": q_timeframes,
     "timeframes_5min_40pct": q_timeframes_5min_40pct,
     "timeframe_identities": q_timeframe_identities,
