@@ -416,6 +416,20 @@ SQL["timeframes_json"] = with_ctes(
 SQL["timeframes_csv"] = (
     "SELECT ordinal, period_start, period_end, duration_seconds, confidence_pct, apis_shown, identities_shown, "
     "n_identities FROM (" + SQL["timeframe_report"] + ")")
+SQL["sections_written"] = with_ctes(
+    """SELECT 'clusters' AS section, cluster::VARCHAR AS name, size::BIGINT AS n FROM prof
+  UNION ALL SELECT 'suspicious', (SELECT string_agg(cluster::VARCHAR, ',' ORDER BY rank) FROM top),
+    count(*) FILTER (WHERE suspicious) FROM flagged
+  UNION ALL SELECT 'timeframes', strftime(tf_start, '%Y-%m-%d %H:%M:%S') || ' UTC',
+    (epoch(tf_end) - epoch(tf_start))::BIGINT FROM s_tf""", "prof", "top", "flagged", "s_tf")
+SQL["empty_range"] = with_ctes(
+    """SELECT unnest(['readonly', 'profile', 'chosen', 'timeframes', 'identities', 'apis', 'report']) AS result,
+  (SELECT count(*) FROM audit WHERE eventTime >= TIMESTAMP '2100-01-01') AS n""", "audit")
+SQL["names_by_prefix"] = with_ctes(
+    "SELECT hour, " + _prefix_groups("names") + """ AS names_shown FROM (
+  SELECT hour, list_sort(list(DISTINCT name)) AS names FROM (
+    SELECT hour(eventTime)::INTEGER AS hour, unnest([eventSource, eventName]) AS name FROM audit)
+  WHERE name IS NOT NULL GROUP BY hour)""", "audit")
 SQL["timeframes_signature"] = with_ctes(
     "SELECT tf_start, tf_end, round(confidence, 9) AS confidence FROM g_tf", "g_tf")
 SQL["distinct_apis_per_user"] = with_ctes(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -395,6 +396,39 @@ def q_timeframes_csv(spark, sf_dir):
     return rows.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+def q_sections_written(spark, sf_dir):
+    """SNK-7: sections written by name and format, read back from the files (a row per cluster, summary and timeframe)."""
+    d = detect(audit_events(spark, sf_dir))
+    at = table_path(spark, f"sections-{uuid.uuid4().hex}")
+    for section, fmt in (("clusters", "csv"), ("suspicious", "json"), ("timeframes", "csv")):
+        SK.write_section(d, section, fmt, f"{at}/{section}")
+    clusters = spark.read.csv(f"{at}/clusters", header=True).select(
+        F.lit("clusters").alias("section"), F.col("cluster").alias("name"), F.col("size").cast("long").alias("n"))
+    summary = spark.read.json(f"{at}/suspicious").select(
+        F.lit("suspicious").alias("section"), _joined(F.col("suspicious_clusters").cast("array<string>")).alias("name"),
+        F.col("suspicious_count").cast("long").alias("n"))
+    frames = spark.read.csv(f"{at}/timeframes", header=True).select(
+        F.lit("timeframes").alias("section"), F.col("period_start").alias("name"),
+        F.col("duration_seconds").cast("long").alias("n"))
+    return clusters.unionByName(summary).unionByName(frames)
+
+
+def q_empty_range(spark, sf_dir):
+    """SRC-10: a time range without events leaves every result of the detection empty (a row per result)."""
+    d = detect(audit_events(spark, sf_dir), start_time="2100-01-01")
+    counts = [getattr(d, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("result"), "n")
+              for name in ("readonly", "profile", "chosen", "timeframes", "identities", "apis", "report")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def q_names_by_prefix(spark, sf_dir):
+    """SCL-13, AGG-12 on dotted names: hosts and plain event names of each hour of the day, by prefix."""
+    ev = audit_events(spark, sf_dir)
+    names = ev.select(F.hour("eventTime").alias("hour"), F.explode(F.array("eventSource", "eventName")).alias("name"))
+    found = names.filter(F.col("name").isNotNull()).groupBy("hour").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return found.select("hour", T.grouped_by_prefix(F.col("names")).alias("names_shown"))
+
+
 def q_timeframes_signature(spark, sf_dir):
     """DOC-1 as the first stage of the detection."""
     d = detect(audit_events(spark, sf_dir), approach="signature")
@@ -467,6 +501,9 @@ QUERIES: dict[str, Query] = {
     "suspicious_json": q_suspicious_json,
     "timeframes_json": q_timeframes_json,
     "timeframes_csv": q_timeframes_csv,
+    "sections_written": q_sections_written,
+    "empty_range": q_empty_range,
+    "names_by_prefix": q_names_by_prefix,
     "timeframes_signature": q_timeframes_signature,
     "signature_match": q_signature_match,
     "signature_frequency": q_signature_frequency,
