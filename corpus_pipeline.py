@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import language_id, minhash, mixing, packing, quality
-from trailsift.llm.common import materialize, prepare, read_table
+from trailsift.llm import common, language_id, minhash, mixing, packing, quality
+from trailsift.llm.common import materialize, read_table
 from trailsift.llm.queries import byte_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +21,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.4
 #: More kept ids than this are joined by shuffle instead of broadcast (16 bytes each).
 BROADCAST_IDS = 2_000_000
+#: Bytes of one Arrow batch. The JVM and the worker hold each batch several times over, and the stages follow each
+#: other on executors whose JVM keeps what it once took.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of every stage."""
+    common.prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,34 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
     assert [x for a in range(0, len(texts), 70) for x in encode(texts[a:a + 70])] == want
 
 
+def test_a_releasing_job_remembers_fewer_pieces():
+    import pyarrow as pa
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)) for _ in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(a, a + 5)), "text": texts[a:a + 5]}) for a in range(0, 60, 5)]
+
+    def cut(remembered):
+        packing._encoders.clear()
+        rows = [r for out in packing._cutter(byte_bpe(), 2048, remembered)(iter(batches)) for r in out.to_pylist()]
+        found = packing.encoder(byte_bpe())
+        packing._encoders.clear()
+        return rows, len(found.known), len(found.older)
+    rows, known, older = cut(None)
+    few, known_few, older_few = cut(500)
+    assert few == rows and known + older > 2000 and max(known_few, older_few) <= 500
+
+
+def test_the_pipeline_bounds_its_batches(spark):
+    import corpus_pipeline
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        corpus_pipeline.prepare(spark)
+        assert 0 < int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(5)
     for _ in range(200):

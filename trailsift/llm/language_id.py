@@ -189,7 +189,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, order: Column) -> byt
         r["lang"], min(1.0, (2 * most + 50) / r["n"]))]), F.col("lang"))
     first = Window.partitionBy("lang").orderBy("at", "tie")
     cut = rows.filter(place < below).withColumn("tie", F.xxhash64("text")).mapInPandas(
-        _cut_blocks, "lang string, at long, tie long, blocks array<binary>")
+        releasing(_cut_blocks), "lang string, at long, tie long, blocks array<binary>")
     sample = (cut.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most)
               .groupBy(F.lit(1).alias("one")).applyInPandas(_train_on, "model binary"))
     models = sample.collect()

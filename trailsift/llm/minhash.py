@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailsift.llm.common import lower_ascii, materialize, row_blocks, string_bytes, word_starts
+from trailsift.llm.common import lower_ascii, materialize, releasing, row_blocks, string_bytes, word_starts
 from trailsift.operators.components import connected_components
 
 BINS, ROWS, BANDS = 256, 6, 42
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     meta = materialize(texts.mapInArrow(
-        _sketcher(shingle), "id long, n_shingles long, set_key binary, bands array<long>"), "minhash-meta")
+        releasing(_sketcher(shingle)), "id long, n_shingles long, set_key binary, bands array<long>"), "minhash-meta")
 
     # One node per distinct set: the smallest id that has it. An id that repeats with another
     # text ties both sets together below.
@@ -313,13 +313,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(
-        _full_sets(shingle), "id long, shingles binary, low binary"), "minhash-sets")
+        releasing(_full_sets(shingle)), "id long, shingles binary, low binary"), "minhash-sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("left_set"))
         right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("right_set"))
         return (edges.join(left, "x").join(right, "y").select("x", "y", "left_set", "right_set")
-                .mapInArrow(_confirm(percent), "x long, y long"))
+                .mapInArrow(releasing(_confirm(percent)), "x long, y long"))
 
     def comparable(a: str, b: str):
         return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        "own", "node", "n", "comp")
                .join(sets.select(F.col("id").alias("node"), "low"), "node"))
     pairs = materialize(untried.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-                        .mapInArrow(_open_pairs(percent), "x long, y long").distinct(), "minhash-open")
+                        .mapInArrow(releasing(_open_pairs(percent)), "x long, y long").distinct(), "minhash-open")
     if not pairs.isEmpty():
         roots = materialize(connected_components(confirmed(pairs).unionByName(
             roots.select(F.col("node").alias("x"), F.col("root").alias("y")))), "minhash-roots")

@@ -78,11 +78,16 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: How many pieces each generation holds; None: ``REMEMBERED``.
+        self.remembered: int | None = None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _full(self, more: set[str]) -> bool:
+        return len(self.known) + len(more) > (self.remembered or REMEMBERED)
+
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
+        if self._full(pieces):
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         new = []
@@ -124,7 +129,7 @@ class Encoder:
                 late.append(i)
         if late:
             # Known pieces may move to the older generation meanwhile, so all of these texts' pieces are asked for.
-            if len(self.known) + len(missing) > REMEMBERED:
+            if self._full(missing):
                 missing = {p for i in late for p in split[i]}
             self._learn(missing)
             known = self.known
@@ -155,9 +160,10 @@ def text_blocks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[
         yield start, len(texts)
 
 
-def _cutter(path: str, capacity: int):
+def _cutter(path: str, capacity: int, remembered: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        encode.remembered = remembered
         closing = np.zeros(1, "<u4").tobytes()
         for batch in batches:
             ids = batch.column("id")
@@ -233,10 +239,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id
          text_col: str = "text", release: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece.
 
-    ``release``: workers forget their encoder after each task, for jobs whose other stages need the memory.
+    ``release``: workers remember fewer pieces and forget their encoder after each task, for jobs whose other
+    stages need the memory.
     """
     spark = docs.sparkSession
-    cutter = _cutter(path, capacity)
+    cutter = _cutter(path, capacity, REMEMBERED // 4 if release else None)
     pieces = materialize(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .mapInArrow(releasing(cutter, _encoders.clear) if release else cutter, _piece_schema(docs, id_col))
